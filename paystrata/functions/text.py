@@ -20,7 +20,7 @@ def contains_like(pattern: str, *columns: str) -> Column:
     """
     needle = F.lit(f"%{pattern.lower()}%")
     return reduce(lambda left, right: left | right,
-                  [F.lower(F.col(name)).like(needle) for name in columns])
+                  [F.like(F.lower(F.col(name)), needle) for name in columns])
 
 
 def collated(column: Column, collation: str | None) -> Column:

@@ -6,7 +6,7 @@ them:
 
 * ``employees`` are customers; a small balance means no department yet, a
   negative one an inactive employee, a large one no position.
-* ``payroll_records`` are a customer's orders of one month. The pair (employee,
+* ``payroll_records`` are a customer's orders of one month, ten years on. The pair (employee,
   period) is unique. Status F makes the month processed, else O a draft, else
   it is paid. Drafts have no processing time and lock 0.
 * ``users`` are event users, except those whose last event is an error: those
@@ -24,6 +24,7 @@ from paystrata.functions.money import pay_columns
 from paystrata.schema import EMPLOYEES, MONEY, PAYROLL_RECORDS, USERS
 
 _EPOCH = "2024-01-01 00:00:00"
+_YEARS_ON = 10  # orders begin in 1995, payroll years in 2000
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,7 +65,7 @@ def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
         _read(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("employee_id"),
                  F.month("o_orderdate").alias("payroll_month"),
-                 F.year("o_orderdate").alias("payroll_year"))
+                 (F.year("o_orderdate") + _YEARS_ON).alias("payroll_year"))
         .agg((F.min("o_orderkey") + 1).alias("payroll_id"),
              F.sum(F.col("o_totalprice").cast(MONEY)).cast(MONEY).alias("basic"),
              F.min("o_orderstatus").alias("first_status"),
@@ -76,7 +77,8 @@ def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
         *[amount.alias(name) for name, amount in pay_columns(F.col("basic")).items()],
         F.when(F.col("first_status") == "F", "processed").when(draft, "draft")
         .otherwise("paid").alias("payroll_status"),
-        F.when(~draft, F.col("last_order")).alias("processed_at"),
+        F.when(~draft, F.col("last_order") + F.make_ym_interval(F.lit(_YEARS_ON)))
+        .alias("processed_at"),
         F.when(draft, 0).otherwise(1).alias("lock_version"),
     )
     return derived.select([F.col(f.name).cast(f.dataType) for f in PAYROLL_RECORDS])
@@ -220,7 +222,7 @@ def staged_payroll(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_order"),
         "employee_id",
         F.month("shipped").alias("payroll_month"),
-        F.year("shipped").alias("payroll_year"),
+        (F.year("shipped") + _YEARS_ON).alias("payroll_year"),
         "basic_salary",
         F.col("quantity").alias("allowances_amount"),
         F.col("quantity").alias("overtime_amount"),

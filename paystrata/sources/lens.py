@@ -61,6 +61,7 @@ def employees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
+    status = F.col("o_orderstatus")
     monthly = (
         _read(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("employee_id"),
@@ -68,14 +69,15 @@ def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
                  (F.year("o_orderdate") + _YEARS_ON).alias("payroll_year"))
         .agg((F.min("o_orderkey") + 1).alias("payroll_id"),
              F.sum(F.col("o_totalprice").cast(MONEY)).cast(MONEY).alias("basic"),
-             F.min("o_orderstatus").alias("first_status"),
+             # A number, not the letter: text in an aggregate forces a sort.
+             F.min(F.when(status == "F", 0).when(status == "O", 1).otherwise(2)).alias("stage"),
              F.max("o_orderdate").alias("last_order"))
     )
-    draft = F.col("first_status") == "O"
+    draft = F.col("stage") == 1
     derived = monthly.select(
         "payroll_id", "employee_id", "payroll_month", "payroll_year",
         *[amount.alias(name) for name, amount in pay_columns(F.col("basic")).items()],
-        F.when(F.col("first_status") == "F", "processed").when(draft, "draft")
+        F.when(F.col("stage") == 0, "processed").when(draft, "draft")
         .otherwise("paid").alias("payroll_status"),
         F.when(~draft, F.col("last_order") + F.make_ym_interval(F.lit(_YEARS_ON)))
         .alias("processed_at"),

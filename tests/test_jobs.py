@@ -1,0 +1,241 @@
+"""Data-changing jobs against a one-request-at-a-time reference in plain Python."""
+
+import datetime as dt
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from paystrata.plans import jobs
+from tests.fixtures import employee, employees, record, records
+
+STAMP = "2026-06-01 00:00:00"
+NOW = dt.datetime(2026, 6, 1)
+
+
+def serve(requests, n_keys):
+    """Accept a request when none of its non-NULL keys was used by an accepted one."""
+    used, accepted = [set() for _ in range(n_keys)], set()
+    for order, *keys in sorted(requests):
+        if all(k is None or k not in u for k, u in zip(keys, used)):
+            accepted.add(order)
+            for k, u in zip(keys, used):
+                u.add(k)
+    return accepted
+
+
+@pytest.mark.parametrize("seed,n,codes,emails,hot", [(1, 60, 8, 8, 0.0), (2, 120, 20, 5, 0.34), (3, 40, 30, 30, 0.0)])
+def test_first_come_equals_serial_service(spark, seed, n, codes, emails, hot):
+    rng = random.Random(seed)
+    rows = [(i * 3 + 1, "hot" if rng.random() < hot else f"c{rng.randrange(codes)}",
+             rng.choice([None, *[f"m{j}" for j in range(emails)]])) for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "request_order long, code string, email string")
+    assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == serve(rows, 2)
+
+
+def test_first_come_follows_a_long_chain(spark):
+    # each request collides with the one before it, through alternating keys
+    rows = [(i, f"c{(i + 1) // 2}", f"m{i // 2}") for i in range(9)]
+    df = spark.createDataFrame(rows, "request_order long, code string, email string")
+    assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == {0, 2, 4, 6, 8} == serve(rows, 2)
+    assert jobs.first_come(df.limit(0), ["code", "email"]).count() == 0
+
+
+CANDIDATE = ("request_order long, employee_code string, first_name string, last_name string, email string, "
+             "department string, emp_position string, basic_salary string, hire_date string")
+
+
+def candidate(order, code, email, **values):
+    base = dict(first_name="Ann", last_name="Lee", department="Finance", emp_position="Clerk",
+                basic_salary="100.00", hire_date="2024-01-01")
+    base.update(values)
+    return (order, code, base["first_name"], base["last_name"], email, base["department"],
+            base["emp_position"], base["basic_salary"], base["hire_date"])
+
+
+def test_validation_messages(spark):
+    rows = [candidate(1, "A", "a@example.com"), candidate(2, " ", "nope", first_name=None, basic_salary="abc"),
+            candidate(3, "B", "b@x.example.org", last_name="0", basic_salary="-5", hire_date=""),
+            candidate(4, "C", "", hire_date="2024-13-01"), candidate(5, "D", "a..b@example.com"),
+            candidate(6, "E", "a b@example.com"), candidate(7, "F", "a@-x.com")]
+    errors = {r.request_order: r.errors for r in
+              jobs.validate_employees(spark.createDataFrame(rows, CANDIDATE)).collect()}
+    assert errors[1] == []
+    assert errors[2] == ["Employee code required", "First name required", "Valid salary required", "Invalid email format"]
+    assert errors[3] == ["Last name required", "Valid salary required", "Hire date required"]
+    assert errors[4] == ["Email required", "Valid hire date required"]
+    assert errors[5] == errors[6] == errors[7] == ["Invalid email format"]
+    periods = spark.createDataFrame([(0, 2026), (12, 1999), (None, 2000), (1, 2000)], "payroll_month int, payroll_year int")
+    assert [len(r.errors) for r in jobs.validate_periods(periods).collect()] == [1, 1, 1, 0]
+
+
+def test_add_employees(spark):
+    emp = employees(spark, employee(1), employee(5, email=None))
+    rows = [
+        candidate(1, "EMP001", "new1@example.com"),          # code is held
+        candidate(2, "N2", "e1@example.com"),                # e-mail is held
+        candidate(3, "N3", "n3@example.com"),
+        candidate(4, "N3", "n4@example.com"),                # code taken by 3
+        candidate(5, "N5", "n4@example.com"),                # free: 4 was refused
+        candidate(6, "N6", "bad"),                           # invalid
+        candidate(7, " N7 ", " n7@example.com "),
+    ]
+    state, outcome = jobs.add_employees(emp, spark.createDataFrame(rows, CANDIDATE), STAMP)
+    codes = {r.request_order: r.result_code for r in outcome.collect()}
+    assert codes == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 3, 7: 0}
+    added = {r.employee_id: r for r in state.filter("employee_id > 5").collect()}
+    assert [(k, added[k].employee_code, added[k].emp_status, added[k].version_number) for k in sorted(added)] == [
+        (6, "N3", "active", 1), (7, "N5", "active", 1), (8, "N7", "active", 1)]
+    assert state.count() == 5 and state.schema.names == emp.schema.names
+
+
+def test_add_employees_under_a_collation(spark):
+    emp = employees(spark, employee(1))
+    rows = [candidate(1, "emp001 ", "x@example.com"), candidate(2, "N2", "E1@EXAMPLE.com"),
+            candidate(3, "n3", "y@example.com"), candidate(4, "N3", "z@example.com")]
+    df = spark.createDataFrame(rows, CANDIDATE)
+    codes = {r.request_order: r.result_code
+             for r in jobs.add_employees(emp, df, STAMP, collation="UNICODE_CI_AI_RTRIM")[1].collect()}
+    assert codes == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert {r.result_code for r in jobs.add_employees(emp, df, STAMP)[1].collect()} == {0}
+
+
+EDIT = ("request_order long, employee_id long, current_version int, first_name string, last_name string, "
+        "email string, department string, emp_position string, basic_salary string, emp_status string")
+
+
+def edit(order, id, version, email, **values):
+    base = dict(first_name="New", last_name="Name", department="HR", emp_position="Lead", basic_salary="77.00",
+                emp_status="active")
+    base.update(values)
+    return (order, id, version, base["first_name"], base["last_name"], email, base["department"],
+            base["emp_position"], base["basic_salary"], base["emp_status"])
+
+
+def test_update_employees(spark):
+    emp = employees(spark, employee(1), employee(2, version_number=4), employee(3), employee(4), employee(5))
+    rows = [
+        edit(1, 99, 1, "q@example.com"),                     # not found
+        edit(2, 2, 3, "e2@example.com"),                     # stale
+        edit(3, 2, 4, "e1@example.com"),                     # e-mail of employee 1
+        edit(4, 2, 4, "e2@example.com", emp_status="terminated"),  # keeps its own e-mail
+        edit(5, 2, 4, "other@example.com"),                  # lost to 4
+        edit(6, 3, 1, "shared@example.com"),
+        edit(7, 4, 1, "shared@example.com"),                 # e-mail taken by 6
+        edit(8, 4, 1, "own4@example.com"),                   # may go: 7 failed
+        edit(9, 5, 1, "e5@example.com", basic_salary="0"),   # invalid
+        edit(10, 5, 0, "bad"),                               # stale comes before invalid
+        edit(11, 1, 1, "e1@example.com", emp_status="asleep"),
+    ]
+    state, outcome = jobs.update_employees(emp, spark.createDataFrame(rows, EDIT), STAMP)
+    assert {r.request_order: r.outcome for r in outcome.collect()} == {
+        1: "not found", 2: "conflict", 3: "duplicate email", 4: "updated", 5: "conflict at write", 6: "updated",
+        7: "duplicate email", 8: "updated", 9: "invalid", 10: "conflict", 11: "invalid"}
+    after = {r.employee_id: r for r in state.collect()}
+    assert {i: r.version_number for i, r in after.items()} == {1: 1, 2: 5, 3: 2, 4: 2, 5: 1}
+    assert (after[2].emp_status, after[2].employee_code, after[2].basic_salary) == ("terminated", "EMP002", Decimal("77.00"))
+    assert after[2].updated_at == NOW and after[1].updated_at == dt.datetime(2020, 1, 1)
+
+
+def test_deactivate(spark):
+    emp = employees(spark, employee(1, version_number=7), employee(2))
+    ids = spark.createDataFrame([(1,), (1,), (9,)], "employee_id long")
+    after = {r.employee_id: r for r in jobs.deactivate_employees(emp, ids, STAMP).collect()}
+    assert (after[1].emp_status, after[1].version_number) == ("inactive", 8)
+    assert (after[2].emp_status, after[2].version_number) == ("active", 1) and len(after) == 2
+
+
+def test_run_payroll_guards(spark):
+    emp = employees(spark, employee(1), employee(2, department="HR"), employee(3, emp_status="inactive"))
+    rec = records(spark, record(40, 1, 2026, 1, "10.00", payroll_status="draft"))
+    state, outcome = jobs.run_payroll(rec, emp, 2026, 1, STAMP)
+    assert outcome.first().result_code == 1 and state.count() == 1       # a draft is enough to refuse
+    state, outcome = jobs.run_payroll(rec, emp, 2026, 1, STAMP, guard="employee")
+    assert {(r.payroll_id, r.employee_id) for r in state.collect()} == {(40, 1), (41, 2)}
+    assert outcome.first().record_count == 1
+    state, outcome = jobs.run_payroll(rec, emp, 2026, 2, STAMP, mode="department", department="HR")
+    row = state.filter("payroll_id = 41").first()
+    assert (row.employee_id, row.payroll_status, row.lock_version, row.processed_at) == (2, "processed", 1, NOW)
+    assert row.net_amount == Decimal("-950.00")                          # 1000 + 100 + 50 - 100 - 2000
+    assert outcome.first().result_msg.endswith("February 2026")
+    assert jobs.run_payroll(rec, emp, 2026, 2, STAMP, mode="department", department="X")[1].first().result_code == 3
+    for bad in ((2026, 13), (1999, 1)):
+        with pytest.raises(ValueError):
+            jobs.run_payroll(rec, emp, *bad, STAMP)
+
+
+STAGED = ("request_order long, employee_id long, payroll_month int, payroll_year int, basic_salary string, "
+          "allowances_amount string, overtime_amount string, tax_amount string, sss_amount string, "
+          "philhealth_amount string, pagibig_amount string, other_deductions string, expected_lock int")
+
+
+def staged_row(order, id, month, lock, basic="100.00", year=2026, **values):
+    parts = ["10.00", "5.00", "10.00", "1.00", "1.00", "1.00", values.get("other", "2.00")]
+    return (order, id, month, year, basic, *parts, lock)
+
+
+def merge_serially(emp, rec, rows):
+    """Judge against the first state, then write in order."""
+    active = {r.employee_id for r in emp if r.emp_status == "active"}
+    locks = {(r.employee_id, r.payroll_year, r.payroll_month): r.lock_version for r in rec}
+    written, codes = set(), {}
+    for r in sorted(rows):
+        order, id, month, year, basic, lock = r[0], r[1], r[2], r[3], r[4], r[-1]
+        key = (id, year, month)
+        if id not in active or not 1 <= month <= 12 or year < 2000 or basic is None:
+            codes[order] = 3
+        elif key in locks and locks[key] != lock:
+            codes[order] = 2
+        elif key in locks and lock == 0:
+            codes[order] = 1
+        else:
+            codes[order] = 2 if key in written else 0
+            written.add(key)
+    return codes, written
+
+
+def test_merge_payroll(spark):
+    emp = employees(spark, employee(1), employee(2), employee(3, emp_status="inactive"))
+    rec = records(spark, record(7, 1, 2026, 1, "10.00", lock_version=3),
+                  record(8, 1, 2026, 2, "10.00", payroll_status="draft", processed_at=None, lock_version=0),
+                  record(9, 2, 2026, 1, "10.00"))
+    rows = [
+        staged_row(1, 9, 1, 0), staged_row(2, 3, 1, 0),                     # absent, inactive
+        staged_row(3, 1, 1, 2), staged_row(4, 1, 1, 0),                     # stale, and 0 against 3
+        staged_row(5, 1, 1, 3), staged_row(6, 1, 1, 3, "999.00"),           # update, then beaten
+        staged_row(7, 1, 2, 0),                                             # exists, none expected
+        staged_row(8, 2, 5, 0), staged_row(9, 2, 5, 0),                     # insert, then beaten
+        staged_row(10, 2, 13, 0), staged_row(11, 2, 6, 0, None), staged_row(12, 2, 1, None),
+        staged_row(13, 2, 7, 5),                                            # no record: the lock is not looked at
+    ]
+    state, outcome = jobs.merge_payroll(rec, emp, spark.createDataFrame(rows, STAGED), STAMP)
+    codes = {r.request_order: r.result_code for r in outcome.collect()}
+    assert codes == {1: 3, 2: 3, 3: 2, 4: 2, 5: 0, 6: 2, 7: 1, 8: 0, 9: 2, 10: 3, 11: 3, 12: 2, 13: 0}
+    after = {r.payroll_id: r for r in state.collect()}
+    assert sorted(after) == [7, 8, 9, 10, 11]
+    assert (after[7].lock_version, after[7].payroll_status, after[7].basic_salary) == (4, "processed", Decimal("100.00"))
+    assert (after[7].gross_amount, after[7].total_deductions_amount, after[7].net_amount) == (
+        Decimal("115.00"), Decimal("15.00"), Decimal("100.00"))
+    assert (after[8].lock_version, after[8].payroll_status) == (0, "draft")
+    assert (after[10].employee_id, after[10].payroll_month, after[10].lock_version) == (2, 5, 1)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_payroll_equals_serial_service(spark, seed):
+    rng = random.Random(seed)
+    emp = employees(spark, *[employee(i, emp_status=rng.choice(["active", "active", "inactive"])) for i in range(1, 7)])
+    rec = records(spark, *[record(10 * i + m, i, 2026, m, "5.00", lock_version=rng.randrange(3))
+                           for i in range(1, 7) for m in range(1, 4) if rng.random() < 0.6])
+    rows = [staged_row(i, 1 if rng.random() < 0.34 else rng.randrange(1, 9), rng.randrange(0, 6), rng.randrange(3),
+                       rng.choice(["1.00", "2.00", None])) for i in range(80)]
+    state, outcome = jobs.merge_payroll(rec, emp, spark.createDataFrame(rows, STAGED), STAMP)
+    codes, written = merge_serially(emp.collect(), rec.collect(), rows)
+    assert {r.request_order: r.result_code for r in outcome.collect()} == codes
+    keys = [(r.employee_id, r.payroll_year, r.payroll_month) for r in state.collect()]
+    assert len(keys) == len(set(keys))
+    assert set(keys) == written | {(r.employee_id, r.payroll_year, r.payroll_month) for r in rec.collect()}
+    sums = state.filter(F.col("processed_at") == F.lit(STAMP).cast("timestamp_ntz")).filter(
+        "gross_amount <> basic_salary + allowances_amount + overtime_amount or net_amount <> gross_amount - total_deductions_amount")
+    assert sums.isEmpty()

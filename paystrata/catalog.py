@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paystrata.operators import aggregates as agg
 from paystrata.operators import filters, joins, topk, windows
 from paystrata.operators.ranking import global_row_number
-from paystrata.plans import etl, jobs
+from paystrata.plans import activity, etl, jobs
 from paystrata.schema import ETL_JOBS, OPERATIONAL
 from paystrata.sources import lens, sinks, tables
 from paystrata.sources.staging import staged, staging_path
@@ -120,6 +120,22 @@ def _paid(i: Inputs) -> DataFrame:
     return i.rec.filter(F.col("payroll_status") == "paid")
 
 
+def _with_actions(i: Inputs, changed: DataFrame, action: str) -> DataFrame:
+    next_id = i.log.agg(F.max("log_id")).first()[0] + 1
+    new = activity.employee_actions(changed, action, 1, RUN_TS, first_log_id=next_id)
+    return sinks.append_activity(i.log, new, i.users)
+
+
+def _log_edits(i: Inputs) -> DataFrame:
+    state, _ = jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)
+    return _with_actions(i, state.filter(F.col("version_number") > 1), "EDIT_EMPLOYEE")
+
+
+def _log_additions(i: Inputs) -> DataFrame:
+    state, _ = jobs.add_employees(i.emp, i.derived("candidates"), RUN_TS)
+    return _with_actions(i, state.filter(F.col("created_at") == F.lit(RUN_TS).cast("timestamp_ntz")), "ADD_EMPLOYEE")
+
+
 def _errors_as_text(df: DataFrame) -> DataFrame:
     return df.select("request_order", "employee_code", F.concat_ws(", ", "errors").alias("errors"))
 
@@ -210,6 +226,11 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "update_employees": lambda i: jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)[0],
     "update_employees_outcome": lambda i: jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)[1],
     "deactivate_employees": lambda i: jobs.deactivate_employees(i.emp, _paid(i), RUN_TS),
+    "delete_employees": lambda i: jobs.delete_employees(i.emp, i.emp, _paid(i))[0],
+    "delete_employees_outcome": lambda i: jobs.delete_employees(i.emp, i.derived("actions").select(
+        F.col("user_id").alias("employee_id")), _paid(i))[1],
+    "log_edited_employees": _log_edits,
+    "log_added_employees": _log_additions,
     "compute_pay": lambda i: jobs.compute_pay(filters.select_payees(i.emp)),
     "run_payroll": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[0],
     "run_payroll_outcome": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[1],

@@ -26,13 +26,15 @@ _SEQ, _SLOT, _POS = "_seq", "_slot", "_pos"
 _POS_BITS = 33  # monotonically_increasing_id keeps the row number in 33 bits
 
 
-def _ranged(df: DataFrame, order: list[Column], slots: int | None) -> DataFrame:
-    """Rows in total order: ``_slot`` ascending, then ``_pos`` from 0 inside it.
+def _ranged(df: DataFrame, order: list[Column], slots: int | None, numbered: bool = True) -> DataFrame:
+    """Rows in total order: ``_slot`` ascending, then (if numbered) ``_pos`` from 0 inside it.
 
     Without an explicit slot count the adaptive planner merges small adjacent
     ranges, which keeps the order.
     """
     spread = df.repartitionByRange(slots, *order) if slots else df.repartitionByRange(*order)
+    if not numbered:
+        return spread.withColumn(_SLOT, F.spark_partition_id())
     return (
         spread.sortWithinPartitions(*order)
         .withColumn(_SEQ, F.monotonically_increasing_id())
@@ -90,17 +92,6 @@ def _join_on(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame
     return left.join(renamed, condition).drop(*[f"_k_{c}" for c in columns])
 
 
-def attach_group_totals(df: DataFrame, columns: list[str], **aggregates: Column) -> DataFrame:
-    """Add whole-group aggregates to every row (a window without an order).
-
-    The aggregate is combined on the map side first, so a huge group costs one
-    row per task; its written size decides how it is joined back.
-    """
-    totals = staged(df.groupBy(*columns).agg(*[a.alias(n) for n, a in aggregates.items()]),
-                    "group-totals")
-    return _join_on(df, totals, columns)
-
-
 def _local_ranks(rows: DataFrame, value: str, tie_break: list[str], levels: list[Level]) -> DataFrame:
     """Ranks inside each slot; one shuffle by slot serves every level."""
     by_value = F.col(value).desc()
@@ -201,17 +192,23 @@ def ranked(df: DataFrame, value: str, tie_break: list[str], levels: list[Level],
         if fine.columns[:len(coarse.columns)] != coarse.columns:
             raise ValueError("each level must extend the columns of the level before it")
     order = [F.col(value).desc(), *[F.col(c) for c in tie_break]]
-    placed = _ranged(df, order, slots)
+    placed = _ranged(df, order, slots, numbered=any(l.row and not l.columns for l in levels))
     if any((l.row and l.columns) or l.rank or l.dense for l in levels):
         placed = placed.repartition(slots, _SLOT) if slots else placed.repartition(_SLOT)
     rows = staged(_local_ranks(placed, value, tie_break, levels), "ranked-rows")
 
     finest = list(levels[-1].columns)
-    groups = staged(_slot_groups(rows, value, levels), "slot-groups")
-    shifts = groups.select(_SLOT, *finest)
-    for i, level in enumerate(levels):
-        shifts = _join_on(shifts, _level_shifts(groups, i, level), [_SLOT, *level.columns])
-    out = _join_on(rows, staged(shifts, "slot-shifts"), [_SLOT, *finest])
+    groups = _slot_groups(rows, value, levels)
+    if not finest:
+        # One row per slot: as many as the range partitioning has partitions.
+        out = _join_on(rows, F.broadcast(_level_shifts(groups, 0, levels[0])), [_SLOT])
+    else:
+        # One row per slot and group, which may be many: joined by its written size.
+        groups = staged(groups, "slot-groups")
+        shifts = groups.select(_SLOT, *finest)
+        for i, level in enumerate(levels):
+            shifts = _join_on(shifts, _level_shifts(groups, i, level), [_SLOT, *level.columns])
+        out = _join_on(rows, staged(shifts, "slot-shifts"), [_SLOT, *finest])
 
     for i, level in enumerate(levels):
         before = F.col(f"_before{i}") if (level.row or level.rank) else None

@@ -80,7 +80,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "monthly_orders": ([], """
         SELECT o_custkey AS employee_id, CAST(month(o_orderdate) AS INTEGER) AS payroll_month,
             CAST(year(o_orderdate) + 10 AS INTEGER) AS payroll_year, min(o_orderkey) + 1 AS payroll_id,
-            CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS basic,
+            max(CAST(o_totalprice AS DECIMAL(12,2))) AS basic,
             min(o_orderstatus) AS first_status, max(o_orderdate) AS last_order
         FROM orders GROUP BY 1, 2, 3"""),
     "payroll_records": (["monthly_orders"], f"""
@@ -217,8 +217,8 @@ _CTES: dict[str, tuple[list[str], str]] = {
             CAST(month(shipped) AS INTEGER) AS payroll_month, CAST(year(shipped) + 10 AS INTEGER) AS payroll_year,
             basic, q, CASE flag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS expected_lock
         FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS employee_id, min(l_shipdate) AS shipped,
-                  CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS basic,
-                  CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DECIMAL(12,2)) AS q, min(l_returnflag) AS flag
+                  max(CAST(l_extendedprice AS DECIMAL(12,2))) AS basic,
+                  max(CAST(l_quantity AS DECIMAL(12,2))) AS q, min(l_returnflag) AS flag
               FROM lineitem GROUP BY 1, 2)"""),
     "judged": (["staged_payroll", "employees", "payroll_records"], """
         SELECT s.*, r.payroll_id,
@@ -560,6 +560,32 @@ def oracle_sql() -> dict[str, str]:
                 CAST(CASE WHEN p.employee_id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS version_number,
                 CASE WHEN p.employee_id IS NULL THEN updated_at ELSE {_STAMP} END AS updated_at)
             FROM employees e LEFT JOIN paid_ids p ON p.employee_id = e.employee_id""", "employees", "paid_ids"),
+        "delete_employees": _with("""SELECT * FROM employees
+            WHERE employee_id IN (SELECT employee_id FROM paid_ids)""", "employees", "paid_ids"),
+        "delete_employees_outcome": _with("""SELECT o_custkey AS employee_id,
+                CASE WHEN e.employee_id IS NULL THEN 'not found' WHEN n > 0 THEN 'has records'
+                    ELSE 'deleted' END AS outcome,
+                CASE WHEN e.employee_id IS NULL THEN 0 ELSE coalesce(n, 0) END AS record_count
+            FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN employees e ON e.employee_id = o_custkey
+            LEFT JOIN (SELECT employee_id, count(*) AS n FROM payroll_records
+                WHERE payroll_status = 'paid' GROUP BY 1) r ON r.employee_id = o_custkey""",
+            "employees", "payroll_records"),
+        "log_edited_employees": _with(f"""SELECT * FROM activity_logs UNION ALL
+            SELECT (SELECT max(log_id) FROM activity_logs) + row_number() OVER (ORDER BY employee_id) AS log_id,
+                CAST(1 AS BIGINT) AS user_id,
+                coalesce((SELECT username FROM users WHERE user_id = 1), 'Unknown') AS username,
+                'EDIT_EMPLOYEE' AS action_name, 'Employees' AS module_name,
+                'Edited employee: ' || employee_code || ' - Edited Order' || request_order || ' (Version: 2)'
+                    AS details_text, '127.0.0.1' AS ip_address, {_STAMP} AS created_at
+            FROM winning_edits JOIN employees USING (employee_id)""", "winning_edits", "employees", "users", "activity_logs"),
+        "log_added_employees": _with(f"""SELECT * FROM activity_logs UNION ALL
+            SELECT (SELECT max(log_id) FROM activity_logs) + row_number() OVER (ORDER BY request_order) AS log_id,
+                CAST(1 AS BIGINT) AS user_id,
+                coalesce((SELECT username FROM users WHERE user_id = 1), 'Unknown') AS username,
+                'ADD_EMPLOYEE' AS action_name, 'Employees' AS module_name,
+                'Added employee: ' || employee_code || ' - ' || {_FULL_NAME} AS details_text,
+                '127.0.0.1' AS ip_address, {_STAMP} AS created_at
+            FROM candidates JOIN accepted USING (request_order)""", "candidates", "accepted", "users", "activity_logs"),
         "compute_pay": _whole("new_pay"),
         "run_payroll": _new_payroll("true", NEW_YEAR, NEW_MONTH),
         "run_payroll_outcome": _with(f"""SELECT CAST(0 AS INTEGER) AS result_code, count(*) AS record_count,

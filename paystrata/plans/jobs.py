@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from paystrata.functions import calendar, text
 from paystrata.functions.money import DEFAULT_RATES, PayRates, net_of, pay_columns
 from paystrata.operators.filters import select_payees
+from paystrata.operators.joins import deletable_employees
 from paystrata.operators.ranking import global_row_number
 from paystrata.schema import EMPLOYEE_STATUSES, EMPLOYEES, MONEY, PAYROLL_RECORDS
 from paystrata.sources.staging import staged
@@ -231,6 +232,24 @@ def deactivate_employees(emp: DataFrame, ids: DataFrame, run_ts: str) -> DataFra
                     .otherwise(F.col("updated_at"))), EMPLOYEES)
 
 
+def delete_employees(emp: DataFrame, ids: DataFrame, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Delete employees that have no payroll record; the others stay.
+
+    The outcome has one row per requested id: ``deleted``, ``has records`` with
+    their count, or ``not found``.
+    """
+    allowed, rejected = deletable_employees(emp, ids, rec)
+    gone = staged(allowed.select("employee_id"), "deleted-employees")
+    verdicts = gone.select("employee_id", F.lit(0).cast("long").alias("record_count")).unionByName(
+        rejected.select("employee_id", "record_count"))
+    outcome = ids.select("employee_id").distinct().join(verdicts, "employee_id", "left").select(
+        "employee_id",
+        F.when(F.col("record_count").isNull(), "not found").when(F.col("record_count") > 0, "has records")
+        .otherwise("deleted").alias("outcome"),
+        F.coalesce("record_count", F.lit(0)).alias("record_count"))
+    return emp.join(gone, "employee_id", "left_anti").select(emp.columns), outcome
+
+
 # --- payroll ---------------------------------------------------------------
 
 def compute_pay(payees: DataFrame, rates: PayRates = DEFAULT_RATES) -> DataFrame:

@@ -7,7 +7,8 @@ them:
 * ``employees`` are customers; a small balance means no department yet, a
   negative one an inactive employee, a large one no position.
 * ``payroll_records`` are a customer's orders of one month, ten years on. The pair (employee,
-  period) is unique. Status F makes the month processed, else O a draft, else
+  period) is unique. The largest order is the basic salary (a sum could outgrow
+  the amount type when one customer holds much of the data). Status F makes the month processed, else O a draft, else
   it is paid. Drafts have no processing time and lock 0.
 * ``users`` are event users, except those whose last event is an error: those
   accounts are gone. ``activity_logs`` are the events, ``etl_jobs`` their hours.
@@ -68,7 +69,7 @@ def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
                  F.month("o_orderdate").alias("payroll_month"),
                  (F.year("o_orderdate") + _YEARS_ON).alias("payroll_year"))
         .agg((F.min("o_orderkey") + 1).alias("payroll_id"),
-             F.sum(F.col("o_totalprice").cast(MONEY)).cast(MONEY).alias("basic"),
+             F.max(F.col("o_totalprice").cast(MONEY)).alias("basic"),
              # A number, not the letter: text in an aggregate forces a sort.
              F.min(F.when(status == "F", 0).when(status == "O", 1).otherwise(2)).alias("stage"),
              F.max("o_orderdate").alias("last_order"))
@@ -215,8 +216,8 @@ def staged_payroll(spark: SparkSession, folder: str) -> DataFrame:
         _read(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber")
         .agg(F.min("l_partkey").alias("employee_id"),
              F.min("l_shipdate").alias("shipped"),
-             F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("basic_salary"),
-             F.sum(F.col("l_quantity").cast(MONEY)).cast(MONEY).alias("quantity"),
+             F.max(F.col("l_extendedprice").cast(MONEY)).alias("basic_salary"),
+             F.max(F.col("l_quantity").cast(MONEY)).alias("quantity"),
              F.min("l_returnflag").alias("flag"))
     )
     fixed = {"sss_amount": "1350.00", "philhealth_amount": "450.00", "pagibig_amount": "200.00"}

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folder: str | None = None
+_written: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -41,5 +42,21 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = staging_path(spark, label)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> int:
+    """Delete the staged tables of this process; returns how many there were.
+
+    Call it when the results built on them have been written. Results that are
+    still lazy cannot be evaluated afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(settings).delete(path, True)
+    return count

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from paystrata.plans import jobs
+from paystrata.plans import activity, jobs
 from tests.fixtures import employee, employees, record, records
 
 STAMP = "2026-06-01 00:00:00"
@@ -239,3 +239,30 @@ def test_merge_payroll_equals_serial_service(spark, seed):
     sums = state.filter(F.col("processed_at") == F.lit(STAMP).cast("timestamp_ntz")).filter(
         "gross_amount <> basic_salary + allowances_amount + overtime_amount or net_amount <> gross_amount - total_deductions_amount")
     assert sums.isEmpty()
+
+
+def test_delete_employees(spark):
+    emp = employees(spark, employee(1), employee(2), employee(3))
+    rec = records(spark, record(1, 1, 2026, 1, "1.00"), record(2, 1, 2026, 2, "1.00", payroll_status="draft"))
+    ids = spark.createDataFrame([(1,), (2,), (2,), (9,)], "employee_id long")
+    state, outcome = jobs.delete_employees(emp, ids, rec)
+    assert {r.employee_id for r in state.collect()} == {1, 3} and state.columns == emp.columns
+    assert {tuple(r) for r in outcome.collect()} == {(1, "has records", 2), (2, "deleted", 0), (9, "not found", 0)}
+
+
+def test_actions_of_jobs(spark):
+    emp = employees(spark, employee(1, version_number=3), employee(2))
+    edits = activity.employee_actions(emp, "EDIT_EMPLOYEE", 5, STAMP, first_log_id=70).collect()
+    assert [(r.log_id, r.user_id, r.details_text) for r in sorted(edits)] == [
+        (70, 5, "Edited employee: EMP001 - First1 Last1 (Version: 3)"),
+        (71, 5, "Edited employee: EMP002 - First2 Last2 (Version: 1)")]
+    gone = activity.employee_actions(emp.limit(1), "DELETE_EMPLOYEE", 5, STAMP, 1, ip_address="1.1.1.1").first()
+    assert (gone.action_name, gone.ip_address) == ("DELETE_EMPLOYEE", "1.1.1.1")
+    _, outcome = jobs.run_payroll(records(spark), emp, 2026, 2, STAMP)
+    paid = activity.payroll_action(outcome, 2026, 2, 5, STAMP, 9).first()
+    assert (paid.details_text, paid.module_name) == ("Processed payroll for February 2026 - 2 employees", "Payroll")
+    _, refused = jobs.run_payroll(records(spark, record(1, 1, 2026, 2, "1.00")), emp, 2026, 2, STAMP)
+    assert activity.payroll_action(refused, 2026, 2, 5, STAMP, 9).isEmpty()
+    done = spark.createDataFrame([(4, "completed", 30), (5, "failed", 0)], "job_id long, job_status string, records_processed long")
+    assert activity.etl_action(done, 4, 5, STAMP, 9).first().details_text == "ETL process completed - 30 records processed"
+    assert activity.etl_action(done, 5, 5, STAMP, 9).isEmpty()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paystrata.operators.ranking import Level, attach_group_totals, global_row_number, ntile_of, ranked
+from paystrata.operators.ranking import Level, global_row_number, ntile_of, ranked
 
 SCHEMA = "id long, dept string, period int, net decimal(12,2)"
 
@@ -68,7 +68,17 @@ def test_row_number_of_empty_table(spark):
     assert ranked(df, "net", ["id"], [Level(row="r")]).count() == 0
 
 
-def test_group_totals_match_null_groups(spark):
-    df = spark.createDataFrame([(1, None, 1, Decimal(5)), (2, None, 1, Decimal(7)), (3, "a", 1, Decimal(1))], SCHEMA)
-    got = attach_group_totals(df, ["dept"], s=F.sum("net")).select("id", "s").collect()
-    assert sorted((r.id, int(r.s)) for r in got) == [(1, 12), (2, 12), (3, 1)]
+@pytest.mark.parametrize("slots", [None, 9])
+def test_rank_of_the_whole_table_alone(spark, slots):
+    df = spark.createDataFrame(_rows(11, 300, 4, 0.5), SCHEMA)
+    got = ranked(df, "net", ["id"], [Level(rank="r", dense="d")], slots=slots)
+    over = Window.orderBy(F.col("net").desc())
+    want = df.withColumn("r", F.rank().over(over)).withColumn("d", F.dense_rank().over(over))
+    assert sorted(map(tuple, got.select("id", "r", "d").collect())) == sorted(
+        map(tuple, want.select("id", "r", "d").collect()))
+
+
+def test_levels_must_be_nested(spark):
+    df = spark.createDataFrame(_rows(1, 5, 3, 0.5), SCHEMA)
+    with pytest.raises(ValueError):
+        ranked(df, "net", ["id"], [Level(("dept",), rank="a"), Level(("period",), rank="b")])

@@ -103,3 +103,12 @@ def test_staging_folder(spark):
         staging.staging_root(_Session("yarn"))
     rec = records(spark, record(1, 1, 2026, 1, "1.00"))
     assert staging.staged(rec, "probe").first() == rec.first()
+
+
+def test_staged_tables_can_be_released(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_written", [])
+    kept = staging.staged(records(spark, record(1, 1, 2026, 1, "1.00")), "probe")
+    folder = staging._written[0]
+    assert kept.count() == 1 and os.path.isdir(folder)
+    assert staging.release_staged(spark) == 1
+    assert not os.path.exists(folder) and staging.release_staged(spark) == 0

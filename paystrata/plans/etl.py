@@ -10,6 +10,8 @@ from paystrata.operators.filters import processed_only
 from paystrata.operators.ranking import global_row_number
 from paystrata.schema import WAREHOUSE
 from paystrata.sources.sinks import log_job, write_snapshot
+from paystrata.sources.staging import staged
+from paystrata.sources.tables import load_tables
 
 NOTHING_TO_LOAD = "no processed payroll records"
 
@@ -97,14 +99,23 @@ def fact_payroll(rec: DataFrame, dims: dict[str, DataFrame], run_ts: str,
     return _shaped(keyed.withColumn("loaded_at", _stamp(run_ts)), "fact_payroll")
 
 
-def build_star(emp: DataFrame, rec: DataFrame, run_ts: str, collation: str | None = None,
-               slots: int | None = None) -> dict[str, DataFrame]:
-    """The four warehouse tables of one run. Keys restart at 1 each time."""
-    dims = {
+def _dimensions(emp: DataFrame, rec: DataFrame, run_ts: str, collation: str | None,
+                slots: int | None) -> dict[str, DataFrame]:
+    return {
         "dim_department": dim_department(emp, run_ts, collation, slots),
         "dim_employee": dim_employee(emp, run_ts, slots),
         "dim_time": dim_time(rec),
     }
+
+
+def build_star(emp: DataFrame, rec: DataFrame, run_ts: str, collation: str | None = None,
+               slots: int | None = None) -> dict[str, DataFrame]:
+    """The four warehouse tables of one run, unpublished. Keys restart at 1 each time.
+
+    The dimensions are written first: the joins of the fact table then see
+    their true sizes, and none of them is computed twice.
+    """
+    dims = {name: staged(df, name) for name, df in _dimensions(emp, rec, run_ts, collation, slots).items()}
     return {**dims, "fact_payroll": fact_payroll(rec, dims, run_ts, collation, slots)}
 
 
@@ -122,8 +133,11 @@ def run_etl(emp: DataFrame, rec: DataFrame, folder: str, job_id: int, run_ts: st
         return NOTHING_TO_LOAD
     log_job(spark, folder, job_id, "running", 0, None, run_ts, None)
     try:
-        path = write_snapshot(build_star(emp, rec, run_ts, collation, slots), folder, job_id)
-        facts = spark.read.schema(WAREHOUSE["fact_payroll"]).parquet(f"{path}/fact_payroll").count()
+        dims = _dimensions(emp, rec, run_ts, collation, slots)
+        path = write_snapshot(dims, folder, job_id)
+        written = load_tables(spark, path, tuple(dims))
+        write_snapshot({"fact_payroll": fact_payroll(rec, written, run_ts, collation, slots)}, folder, job_id)
+        facts = load_tables(spark, path, ("fact_payroll",))["fact_payroll"].count()
     except Exception as error:
         log_job(spark, folder, job_id, "failed", 0, str(error)[:500], run_ts, run_ts)
         raise

@@ -70,10 +70,10 @@ def export_json(df: DataFrame, path: str) -> None:
 # --- warehouse snapshot ----------------------------------------------------
 
 def write_snapshot(star: dict[str, DataFrame], folder: str, job_id: int) -> str:
-    """Write the four tables of one run to their own directory."""
+    """Write warehouse tables of one run to the run's own directory."""
     path = f"{folder}/run_id={job_id}"
-    for name in WAREHOUSE:
-        star[name].write.mode("errorifexists").parquet(f"{path}/{name}")
+    for name, df in star.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
     return path
 
 

@@ -107,3 +107,30 @@ def test_no_python_in_the_plans(stored):
     rec, emp = stored["payroll_records"], stored["employees"]
     for df in (agg.payroll_trend(rec), filters.payroll_history_detail(rec, emp), windows.department_trends(rec, emp)):
         assert "Python" not in plan(df)
+
+
+@pytest.mark.parametrize("hot", ["7", "NULL"])
+def test_a_hot_key_is_split(spark, hot):
+    """A third of the log belongs to one user, or to none: its join side is split at run time."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB", "spark.sql.shuffle.partitions": "32",
+    }
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        log = spark.range(0, 300000, 1, 8).selectExpr(
+            "id AS log_id", f"CASE WHEN id % 3 = 0 THEN {hot} ELSE id % 5000 END AS user_id", "uuid() AS username",
+            "'A' AS action_name", "'M' AS module_name", "'d' AS details_text", "'i' AS ip_address",
+            "TIMESTAMP_NTZ '2026-01-01' AS created_at")
+        known = spark.range(5000).withColumnRenamed("id", "user_id")
+        df = joins.null_deleted_users(log, known)
+        execution = df._jdf.queryExecution()
+        assert execution.toRdd().count() == 300000
+        assert "SortMergeJoin(skew=true)" in execution.executedPlan().toString()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", before)

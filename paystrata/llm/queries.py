@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paystrata.llm.embeddings import OP6_SQL, op6_embedding_near_dedup
+from paystrata.llm.licenses import op5_license_scan
 from paystrata.llm.lines import op8_substring_dedup
 from paystrata.llm.mixing import OP2_SQL, op2_mix_sources
+from paystrata.llm.packing import op9_pack
+from paystrata.llm.quality import op4_quality_rules
 from paystrata.llm.simhash import op10_simhash_near_dedup
+from paystrata.llm.suffixes import op3_suffix_dedup
+from paystrata.llm.tokenfile import op7_token_files
+from paystrata.llm.toxicity import op1_toxicity
 
-_QUERIES = (op2_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)
+_QUERIES = (op1_toxicity, op2_mix_sources, op3_suffix_dedup, op4_quality_rules, op5_license_scan, op6_embedding_near_dedup,
+            op7_token_files, op8_substring_dedup, op9_pack, op10_simhash_near_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}

@@ -11,21 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paystrata.llm import lines, mixing, simhash
+from paystrata.llm import lines, mixing, packing, quality, simhash
+from paystrata.llm.tokens import vocabulary_path
 from paystrata.sources.staging import staged
 
 ORACLE_SQL = None
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed rules and the trees accept."""
+    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.
 
     Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
     """
-    groups = simhash.simhash_groups(docs)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    first = simhash.simhash_groups(docs).filter("doc_id = component_id")
+    kept = staged(first.groupBy("doc_id").agg(F.count("*").alias("rows")), "near-kept")
+    once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
+    repeated = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +45,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs, vocabulary_path())
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
     ("substring_dedup", substring_dedup),
     ("mix_sources", mix_sources),
+    ("pack", pack),
 ]
 
 

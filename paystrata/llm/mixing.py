@@ -6,7 +6,8 @@ along that order, one offset in [0, 1) is added, and a document is emitted once
 for every whole number its stretch of the sum crosses. Because every document
 of a source is expected equally often, the prefix sum is ordinal times rate;
 the order by size makes the sample a stratified one, so the words taken differ
-from the target by little more than one long document.
+from the target by little more than one long document. The offset is the one of
+``OFFSETS`` random ones that brings the words taken nearest to the target.
 
 A window over a whole source would sort a hot source in one task. Instead the
 (source, size, doc_id) rows are range-partitioned and written once; rows are
@@ -17,7 +18,7 @@ through one window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paystrata.llm.words import word_count
@@ -25,6 +26,7 @@ from paystrata.sources.staging import staged
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
+OFFSETS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -56,9 +58,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
 
-def offset_of(source):
-    """The random offset of a source: a multiple of 2^-20 in [0, 1), fixed by its name."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(source, F.lit("")))), 1, 5), 16, 10).cast("double") / (1 << 20)
+def offset_of(source: Column, number: int) -> Column:
+    """A random offset of a source: a multiple of 2^-20 in [0, 1), fixed by its name and the number."""
+    digest = F.md5(F.concat(F.lit(f"mix:{number}:"), F.coalesce(source, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / (1 << 20)
+
+
+def _copies(rate: Column, offset: Column, most: int) -> Column:
+    """Whole numbers that a document's stretch of the prefix sum crosses."""
+    ordinal = F.col("ordinal")
+    return F.least(F.floor(ordinal * rate + offset) - F.floor((ordinal - 1) * rate + offset), F.lit(most)).cast("long")
 
 
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -84,9 +93,13 @@ def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
         plan.alias("p"), (F.col("r.slot") == F.col("p.slot")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select(
             "doc_id", "r.source", "size", "source_size", "target", (F.col("place") + F.col("shift")).alias("ordinal"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = offset_of(F.col("source"))
-    crossed = F.floor(F.col("ordinal") * rate + start) - F.floor((F.col("ordinal") - 1) * rate + start)
-    return placed.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).drop("ordinal")
+    taken = [F.sum(F.col("size") * _copies(rate, offset_of(F.col("source"), k), most)) for k in range(OFFSETS)]
+    away = [F.abs(words - F.first("target")).alias(f"away{k}") for k, words in enumerate(taken)]
+    best = placed.groupBy("source").agg(*away).select(F.col("source").alias("name"), F.least(*[
+        F.struct(F.col(f"away{k}").alias("away"), F.lit(k).alias("k"), offset_of(F.col("source"), k).alias("offset"))
+        for k in range(OFFSETS)])["offset"].alias("offset"))
+    return placed.join(best, F.col("source").eqNullSafe(F.col("name"))).withColumn(
+        "copies", _copies(rate, F.col("offset"), most)).drop("ordinal", "name", "offset")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -131,15 +144,22 @@ WITH sized AS (
     max(left_weight) FILTER (NOT capped) AS left_weight FROM capped
 ), targets AS (
   SELECT c.source, c.source_size, CASE WHEN c.capped THEN (3 * c.source_size)::DOUBLE
-    ELSE (f.left_size * c.weight)::DOUBLE / f.left_weight::DOUBLE END AS target,
-    ('0x' || substr(md5('mix:' || coalesce(c.source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS start
+    ELSE (f.left_size * c.weight)::DOUBLE / f.left_weight::DOUBLE END AS target
   FROM capped c, free f
 ), placed AS (
-  SELECT s.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS rate,
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) AS ordinal
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
-), copied AS (
-  SELECT *, least(floor(ordinal::DOUBLE * rate + start) - floor((ordinal - 1)::DOUBLE * rate + start), 3)::BIGINT AS copies FROM placed
+), offsets AS (
+  SELECT source, k, ('0x' || substr(md5('mix:' || k || ':' || coalesce(source, '')), 1, 5))::BIGINT / 1048576.0::DOUBLE AS start
+  FROM targets, range(16) r(k)
+), tried AS (
+  SELECT p.*, o.k, least(floor(ordinal::DOUBLE * rate + start) - floor((ordinal - 1)::DOUBLE * rate + start), 3)::BIGINT AS copies
+  FROM placed p JOIN offsets o ON p.source IS NOT DISTINCT FROM o.source
+), best AS (
+  SELECT source, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies)::DOUBLE - any_value(target)), k) AS n, k
+  FROM tried GROUP BY source, k
 )
-SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM copied
+SELECT t.doc_id, t.source, t.size, t.source_size, t.target, t.copies, t.copies * t.size AS taken
+FROM tried t JOIN best b ON b.n = 1 AND b.k = t.k AND b.source IS NOT DISTINCT FROM t.source
 """

@@ -22,10 +22,11 @@ from paystrata.sources.staging import staged, staging_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Arguments of the registered queries; the reference SQL uses the same values.
-RUN_TS = "2024-03-01 00:00:00"
+RUN_TS, DONE_TS = "2024-03-01 00:00:00", "2024-03-01 00:05:00"
 YEAR, MONTH, DEPARTMENT = 2007, 3, "MACHINERY"
 NEW_YEAR, NEW_MONTH = 2026, 5
 DAY_FROM, DAY_TO = "2024-01-10", "2024-01-12"
+PAGE = 200  # rows of one page of the audit screen
 
 
 class Inputs:
@@ -86,9 +87,17 @@ def _write_activity(i: Inputs) -> DataFrame:
     return tables.load_tables(i.spark, folder, ("activity_logs",))["activity_logs"]
 
 
-def _export_csv(i: Inputs) -> DataFrame:
+def _stored_days(i: Inputs) -> DataFrame:
+    """Whole days of a stored log that has been appended to."""
+    folder = staging_path(i.spark, "log")
+    tables.save_tables({"activity_logs": i.log}, folder)
+    sinks.write_activity(i.derived("actions"), i.users, folder)
+    return filters.audit_search(tables.load_log(i.spark, folder, DAY_FROM, DAY_TO), date_from=DAY_FROM, date_to=DAY_TO)
+
+
+def _export_csv(i: Inputs, action: str | None = None) -> DataFrame:
     path = staging_path(i.spark, "audit-csv")
-    sinks.export_audit_csv(filters.audit_search(i.log), path)
+    sinks.export_audit_csv(filters.audit_search(i.log, action=action), path)
     schema = ", ".join(f"`{name}` string" for name in sinks.AUDIT_COLUMNS)
     return i.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
 
@@ -102,7 +111,7 @@ def _export_json(i: Inputs) -> DataFrame:
 
 def _published(i: Inputs) -> str:
     folder = staging_path(i.spark, "warehouse")
-    etl.run_etl(i.emp, i.stored_rec, folder, 1, RUN_TS)
+    etl.run_etl(i.emp, i.stored_rec, folder, 1, RUN_TS, clock=lambda: DONE_TS)
     return folder
 
 
@@ -120,15 +129,60 @@ def _paid(i: Inputs) -> DataFrame:
     return i.rec.filter(F.col("payroll_status") == "paid")
 
 
+def _staff(i: Inputs) -> DataFrame:
+    """Employees with and without payroll records."""
+    return i.emp.unionByName(i.derived("recruits"))
+
+
 def _with_actions(i: Inputs, changed: DataFrame, action: str) -> DataFrame:
-    next_id = i.log.agg(F.max("log_id")).first()[0] + 1
-    new = activity.employee_actions(changed, action, 1, RUN_TS, first_log_id=next_id)
+    new = activity.employee_actions(changed, action, 1, RUN_TS, first_log_id=jobs.next_id(i.log, "log_id"))
     return sinks.append_activity(i.log, new, i.users)
 
 
 def _log_edits(i: Inputs) -> DataFrame:
-    state, _ = jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)
-    return _with_actions(i, state.filter(F.col("version_number") > 1), "EDIT_EMPLOYEE")
+    state, outcome = jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)
+    updated = outcome.filter(F.col("outcome") == "updated")
+    return _with_actions(i, state.join(updated, "employee_id", "left_semi"), "EDIT_EMPLOYEE")
+
+
+def _log_deletions(i: Inputs) -> DataFrame:
+    staff = _staff(i)
+    _, outcome = jobs.delete_employees(staff, i.derived("departures"), i.rec)
+    gone = outcome.filter(F.col("outcome") == "deleted")
+    return _with_actions(i, staff.join(gone, "employee_id", "left_semi"), "DELETE_EMPLOYEE")
+
+
+def _log_payroll(i: Inputs) -> DataFrame:
+    _, outcome = jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)
+    done = activity.payroll_action(outcome, NEW_YEAR, NEW_MONTH, 1, RUN_TS, jobs.next_id(i.log, "log_id"))
+    return sinks.append_activity(i.log, done, i.users)
+
+
+def _log_etl(i: Inputs) -> DataFrame:
+    done = activity.etl_action(sinks.read_jobs(i.spark, _published(i)), 1, 1, RUN_TS, jobs.next_id(i.log, "log_id"))
+    return sinks.append_activity(i.log, done, i.users)
+
+
+def _stored(i: Inputs) -> tuple[str, DataFrame]:
+    """A folder that holds the payroll records as a stored table, and the table."""
+    folder = staging_path(i.spark, "operational")
+    tables.save_tables({"payroll_records": i.rec}, folder)
+    return folder, tables.load_tables(i.spark, folder, ("payroll_records",))["payroll_records"]
+
+
+def _published_job(i: Inputs, job: Callable[[DataFrame], DataFrame], years: list[int]) -> DataFrame:
+    """Run a job on the stored records, publish the years it may change, and read the table again."""
+    folder, rec = _stored(i)
+    tables.publish_records(job(rec), folder, years)
+    return tables.load_tables(i.spark, folder, ("payroll_records",))["payroll_records"]
+
+
+def _period_errors(i: Inputs) -> DataFrame:
+    """Merge requests moved back eight years and on by a month, so that some leave the calendar."""
+    moved = i.derived("staged_payroll").withColumn("year", F.col("payroll_year")).withColumn("month", F.col("payroll_month")) \
+        .withColumn("payroll_month", F.col("month") + 1).withColumn("payroll_year", F.col("year") - 8)
+    return jobs.validate_periods(moved).select("request_order", F.col("month").alias("payroll_month"),
+                                               F.col("year").alias("payroll_year"), F.concat_ws(", ", "errors").alias("errors"))
 
 
 def _log_additions(i: Inputs) -> DataFrame:
@@ -146,6 +200,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "append_activity": lambda i: sinks.append_activity(i.log, i.derived("actions"), i.users),
     "write_activity": _write_activity,
     "export_audit_csv": _export_csv,
+    "export_audit_csv_action": lambda i: _export_csv(i, "PURCHASE_EVENT"),
     "export_json": _export_json,
     "run_etl": lambda i: sinks.read_snapshot(i.spark, _published(i))["fact_payroll"],
     "run_etl_job": lambda i: sinks.read_jobs(i.spark, _published(i)).select(ETL_JOBS.names),
@@ -159,10 +214,11 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "employee_search_text": lambda i: filters.employee_search(i.emp, "R#0%7_1"),
     "employee_search_department": lambda i: filters.employee_search(i.emp, "customer", DEPARTMENT),
     "employee_quick_search": lambda i: filters.employee_quick_search(i.emp, "mach"),
-    "audit_search": lambda i: filters.audit_search(i.log),
-    "audit_search_action": lambda i: filters.audit_search(i.log, action="PURCHASE_EVENT"),
-    "audit_search_user": lambda i: filters.audit_search(i.log, user="USER_1"),
-    "audit_search_date_range": lambda i: filters.audit_search(i.log, date_from=DAY_FROM, date_to=DAY_TO),
+    "audit_search": lambda i: filters.audit_search(i.log, limit=PAGE),
+    "audit_search_action": lambda i: filters.audit_search(i.log, action="PURCHASE_EVENT", limit=PAGE),
+    "audit_search_stored_days": _stored_days,
+    "audit_search_user": lambda i: filters.audit_search(i.log, user="USER_1", limit=PAGE),
+    "audit_search_date_range": lambda i: filters.audit_search(i.log, date_from=DAY_FROM, date_to=DAY_TO, limit=PAGE),
     "select_payees_all": lambda i: filters.select_payees(i.emp, "all"),
     "select_payees_department": lambda i: filters.select_payees(i.emp, "department", DEPARTMENT),
     "select_payees_specific": lambda i: filters.select_payees(i.emp, "specific", ids=_paid(i)),
@@ -175,8 +231,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     # joins and referential rules
     "records_with_employee": lambda i: joins.records_with_employee(i.rec, i.emp),
     "star_join": lambda i: joins.star_join(i.star),
-    "deletable_employees": lambda i: joins.deletable_employees(i.emp, i.emp, _paid(i))[0],
-    "undeletable_employees": lambda i: joins.deletable_employees(i.emp, i.emp, _paid(i))[1],
+    "deletable_employees": lambda i: joins.deletable_employees(_staff(i), _staff(i), i.rec)[0],
+    "undeletable_employees": lambda i: joins.deletable_employees(_staff(i), _staff(i), i.rec)[1],
     "null_deleted_users": lambda i: joins.null_deleted_users(i.log, i.users),
     "cascade_facts": _cascade,
     "etl_rejects": lambda i: joins.etl_rejects(i.stored_rec, i.star),
@@ -193,6 +249,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "employee_stats": lambda i: agg.employee_stats(i.emp),
     "payroll_estimate": lambda i: agg.payroll_estimate(i.emp),
     "payroll_estimate_department": lambda i: agg.payroll_estimate(i.emp, "department", DEPARTMENT),
+    "payroll_estimate_specific": lambda i: agg.payroll_estimate(i.emp, "specific", ids=_paid(i)),
     "payroll_estimate_by_department": lambda i: agg.payroll_estimate_by_department(i.emp),
     "warehouse_stats": lambda i: agg.warehouse_stats(i.star, i.stored_rec),
     "audit_stats": lambda i: agg.audit_stats(i.log, DAY_FROM),
@@ -226,13 +283,26 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "update_employees": lambda i: jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)[0],
     "update_employees_outcome": lambda i: jobs.update_employees(i.emp, i.derived("edits"), RUN_TS)[1],
     "deactivate_employees": lambda i: jobs.deactivate_employees(i.emp, _paid(i), RUN_TS),
-    "delete_employees": lambda i: jobs.delete_employees(i.emp, i.emp, _paid(i))[0],
-    "delete_employees_outcome": lambda i: jobs.delete_employees(i.emp, i.derived("actions").select(
-        F.col("user_id").alias("employee_id")), _paid(i))[1],
+    "delete_employees": lambda i: jobs.delete_employees(_staff(i), i.derived("departures"), i.rec)[0],
+    "delete_employees_outcome": lambda i: jobs.delete_employees(_staff(i), i.derived("departures"), i.rec)[1],
+    "log_deleted_employees": _log_deletions,
+    "log_payroll_run": _log_payroll,
+    "log_etl_run": _log_etl,
+    "validate_periods": _period_errors,
     "log_edited_employees": _log_edits,
     "log_added_employees": _log_additions,
     "compute_pay": lambda i: jobs.compute_pay(filters.select_payees(i.emp)),
     "run_payroll": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[0],
+    "run_payroll_department": lambda i: jobs.run_payroll(
+        i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS, "department", DEPARTMENT)[0],
+    "run_payroll_specific": lambda i: jobs.run_payroll(
+        i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS, "specific", ids=_paid(i))[0],
+    "published_run_payroll": lambda i: _published_job(
+        i, lambda rec: jobs.run_payroll(rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[0], [NEW_YEAR]),
+    "published_merge_payroll": lambda i: _published_job(
+        i, lambda rec: jobs.merge_payroll(rec, i.emp, i.derived("staged_payroll"), RUN_TS)[0],
+        sorted(r[0] for r in i.derived("staged_payroll").select("payroll_year").distinct().collect())),
+    "published_delete_period": lambda i: _published_job(i, lambda rec: filters.delete_period(rec, YEAR, MONTH), [YEAR]),
     "run_payroll_outcome": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[1],
     "run_payroll_refused": lambda i: jobs.run_payroll(i.stored_rec, i.emp, YEAR, MONTH, RUN_TS)[1],
     "run_payroll_employee_guard": lambda i: jobs.run_payroll(

@@ -58,6 +58,16 @@ def is_email(column: Column) -> Column:
     return column.rlike(EMAIL_SHAPE) & (F.length(F.substring_index(column, "@", 1)) <= 64)
 
 
+# Fixed value: the characters that count as white space around typed input.
+INPUT_SPACE = " \t\n\r\0\x0b"
+
+
+def typed(column: Column) -> Column:
+    """Typed input without the white space around it: also tabs, line ends, NUL and vertical tabs."""
+    return F.btrim(column, F.lit(INPUT_SPACE))
+
+
 def decimal_or_zero(column: Column) -> Column:
-    """Numeric text as an amount; malformed or missing text counts as zero."""
-    return F.coalesce(F.trim(column).try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))
+    """The number that typed text begins with, as an amount; zero if there is none or it does not fit."""
+    number = F.regexp_extract(typed(column), r"^([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
+    return F.coalesce(number.try_cast("decimal(12,2)"), F.lit(0).cast("decimal(12,2)"))

@@ -85,10 +85,11 @@ def employee_quick_search(emp: DataFrame, search: str = "") -> DataFrame:
 
 def audit_search(log: DataFrame, action: str | None = None, user: str | None = None,
                  date_from: str | None = None, date_to: str | None = None,
-                 limit: int = 200) -> DataFrame:
-    """The newest log rows of an action, a user text and an inclusive date range.
+                 limit: int | None = None) -> DataFrame:
+    """Log rows of an action, a user text and an inclusive date range, newest first.
 
-    The dates become a half-open timestamp range, which reaches the scan.
+    All of them, or one page of ``limit`` rows. The dates become a half-open
+    timestamp range, which reaches the scan.
     """
     if text.given(action):
         log = log.filter(F.col("action_name") == action)
@@ -98,7 +99,8 @@ def audit_search(log: DataFrame, action: str | None = None, user: str | None = N
         log = log.filter(F.col("created_at") >= calendar.day_start(date_from))
     if text.given(date_to):
         log = log.filter(F.col("created_at") < calendar.day_end(date_to))
-    return log.orderBy(F.desc("created_at"), F.desc("log_id")).limit(limit)
+    newest = log.orderBy(F.desc("created_at"), F.desc("log_id"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def select_payees(emp: DataFrame, mode: str = "all", department: str | None = None,

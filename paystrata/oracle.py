@@ -8,7 +8,7 @@ are computed from whole cents, because decimal division is inexact there.
 from __future__ import annotations
 
 from paystrata.catalog import (
-    DAY_FROM, DAY_TO, DEPARTMENT, MONTH, NEW_MONTH, NEW_YEAR, RUN_TS, YEAR,
+    DAY_FROM, DAY_TO, DEPARTMENT, DONE_TS, MONTH, NEW_MONTH, NEW_YEAR, RUN_TS, YEAR,
 )
 
 _STAMP = f"TIMESTAMP '{RUN_TS}'"
@@ -77,6 +77,17 @@ _CTES: dict[str, tuple[list[str], str]] = {
             CAST(1 AS INTEGER) AS version_number,
             TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
         FROM customer"""),
+    "recruits": ([], """
+        SELECT -s_suppkey - 1 AS employee_id, s_name AS employee_code,
+            split_part(s_name, '#', 1) AS first_name, split_part(s_name, '#', 2) AS last_name,
+            lower(translate(s_name, '# ', '..')) || '@example.com' AS email, 'Supply' AS department,
+            'Recruit' AS emp_position, CAST(greatest(abs(s_acctbal), 1) AS DECIMAL(12,2)) AS basic_salary,
+            DATE '2024-01-01' AS hire_date, 'active' AS emp_status, CAST(1 AS INTEGER) AS version_number,
+            TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
+        FROM supplier"""),
+    "staff": (["employees", "recruits"], "SELECT * FROM employees UNION ALL SELECT * FROM recruits"),
+    "record_counts": (["payroll_records"], """
+        SELECT employee_id, count(*) AS record_count FROM payroll_records GROUP BY 1"""),
     "monthly_orders": ([], """
         SELECT o_custkey AS employee_id, CAST(month(o_orderdate) AS INTEGER) AS payroll_month,
             CAST(year(o_orderdate) + 10 AS INTEGER) AS payroll_year, min(o_orderkey) + 1 AS payroll_id,
@@ -90,6 +101,8 @@ _CTES: dict[str, tuple[list[str], str]] = {
             CAST(CASE WHEN first_status = 'O' THEN 0 ELSE 1 END AS INTEGER) AS lock_version
         FROM monthly_orders"""),
     "processed": (["payroll_records"], "SELECT * FROM payroll_records WHERE payroll_status = 'processed'"),
+    "departures": ([], """
+        SELECT DISTINCT o_custkey AS employee_id FROM orders UNION SELECT -p_partkey - 1 FROM part"""),
     "paid_ids": (["payroll_records"], "SELECT DISTINCT employee_id FROM payroll_records WHERE payroll_status = 'paid'"),
     "users": ([], """
         SELECT user_id, 'user_' || user_id AS username, 'User ' || user_id AS full_name,
@@ -172,13 +185,18 @@ _CTES: dict[str, tuple[list[str], str]] = {
             split_part(p_name, ' ', 1) AS first_name, split_part(p_name, ' ', 2) AS last_name,
             lower(translate(p_name, ' ', '.')) || '.' || lower(p_type) || '@example.com' AS email,
             p_type AS department, p_brand AS emp_position,
-            CAST(p_retailprice AS DECIMAL(12,2)) AS basic_salary, DATE '2024-02-01' AS hire_date, '' AS errors
+            CAST(p_retailprice AS DECIMAL(12,2)) AS basic_salary, DATE '2024-02-01' AS hire_date,
+            CASE WHEN length(p_name || '/' || p_brand) > 20 THEN 'Employee code too long' ELSE '' END AS errors
         FROM part UNION ALL
-        SELECT s_suppkey * 2 + 1, s_name, split_part(s_name, '#', 1), split_part(s_name, '#', 2),
-            'customer.' || split_part(s_name, '#', 2) || '@example.com', 'Supply', 'Buyer',
+        SELECT s_suppkey * 2 + 1, CASE WHEN s_nationkey % 5 = 2 THEN rpad(s_name, 40, '+') ELSE s_name END,
+            split_part(s_name, '#', 1), split_part(s_name, '#', 2),
+            CASE WHEN s_nationkey % 5 = 1 THEN 'supplier.' || s_suppkey
+                ELSE 'customer.' || split_part(s_name, '#', 2) END || '@example.com', 'Supply', 'Buyer',
             CAST(s_acctbal AS DECIMAL(12,2)), DATE '2024-02-01',
-            concat_ws(', ', CASE WHEN NOT s_acctbal > 0 THEN 'Position required' END,
-                CASE WHEN NOT s_acctbal > 100 THEN 'Valid salary required' END)
+            concat_ws(', ', CASE WHEN s_nationkey % 5 = 0 THEN 'First name required' END,
+                CASE WHEN NOT s_acctbal > 0 THEN 'Position required' END,
+                CASE WHEN NOT s_acctbal > 100 THEN 'Valid salary required' END,
+                CASE WHEN s_nationkey % 5 = 2 THEN 'Employee code too long' END)
         FROM supplier"""),
     "open_requests": (["candidates", "employees"], """
         SELECT row_number() OVER (ORDER BY request_order) AS turn, c.*
@@ -200,11 +218,12 @@ _CTES: dict[str, tuple[list[str], str]] = {
     "accepted": (["served"], """
         SELECT unnest(accepted) AS request_order FROM (SELECT accepted FROM served ORDER BY turn DESC LIMIT 1)"""),
     "edits": (["employees"], """
-        SELECT o_orderkey AS request_order, o_custkey AS employee_id, o_orderpriority AS priority, o_totalprice,
+        SELECT o_orderkey AS request_order, CASE WHEN o_orderkey % 50 = 0 THEN -o_custkey - 1 ELSE o_custkey END AS employee_id,
+            o_orderpriority AS priority, o_totalprice,
             o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT'
                 THEN 'customer.' || lpad(CAST(o_custkey + 1 AS VARCHAR), 9, '0') || '@example.com'
                 ELSE 'edit.' || o_orderkey || '@example.com' END AS email,
-            CASE WHEN o_custkey NOT IN (SELECT employee_id FROM employees) THEN 'not found'
+            CASE WHEN o_orderkey % 50 = 0 OR o_custkey NOT IN (SELECT employee_id FROM employees) THEN 'not found'
                 WHEN o_orderpriority = '3-MEDIUM' THEN 'conflict' WHEN o_orderpriority = '2-HIGH' THEN 'invalid'
                 WHEN o_orderpriority = '1-URGENT' AND o_custkey + 1 IN (SELECT employee_id FROM employees)
                 THEN 'duplicate email' END AS verdict
@@ -266,6 +285,14 @@ def _whole(table: str, where: str = "true") -> str:
     return _with(f"SELECT * FROM {table} WHERE {where}", table)
 
 
+def _csv(where: str = "true") -> str:
+    return _with(f"""
+        SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS "Timestamp", username AS "User",
+            replace(action_name, '_', ' ') AS "Action", coalesce(module_name, '-') AS "Module",
+            replace(coalesce(details_text, '-'), ',', ';') AS "Details", ip_address AS "IP Address"
+        FROM activity_logs WHERE {where}""", "activity_logs")
+
+
 def _audit(where: str = "true") -> str:
     return _with(f"""SELECT * FROM activity_logs WHERE {where}
         ORDER BY created_at DESC, log_id DESC LIMIT 200""", "activity_logs")
@@ -278,7 +305,7 @@ def _new_payroll(guard: str, year: int, month: int) -> str:
             SELECT (SELECT max(payroll_id) FROM payroll_records) + row_number() OVER (ORDER BY employee_id) AS payroll_id,
                 *, CAST({month} AS INTEGER) AS payroll_month, CAST({year} AS INTEGER) AS payroll_year,
                 'processed' AS payroll_status, {_STAMP} AS processed_at, CAST(1 AS INTEGER) AS lock_version
-            FROM new_pay WHERE {guard})""", "payroll_records", "new_pay")
+            FROM new_pay WHERE {guard})""", "payroll_records", "new_pay", "employees", "paid_ids")
 
 
 def _applied(parts: dict[str, str]) -> str:
@@ -322,16 +349,13 @@ def oracle_sql() -> dict[str, str]:
             "users", "employees", "payroll_records", "activity_logs"),
         "append_activity": _whole("log_with_actions"),
         "write_activity": _whole("log_with_actions"),
-        "export_audit_csv": _with("""
-            SELECT strftime(created_at, '%Y-%m-%d %H:%M:%S') AS "Timestamp", username AS "User",
-                replace(action_name, '_', ' ') AS "Action", coalesce(module_name, '-') AS "Module",
-                replace(coalesce(details_text, '-'), ',', ';') AS "Details", ip_address AS "IP Address"
-            FROM (SELECT * FROM activity_logs ORDER BY created_at DESC, log_id DESC LIMIT 200)""", "activity_logs"),
+        "export_audit_csv": _csv(),
+        "export_audit_csv_action": _csv("action_name = 'PURCHASE_EVENT'"),
         "run_etl": _whole("fact_payroll"),
         "run_etl_job": _with(f"""
             SELECT CAST(1 AS BIGINT) AS job_id, 'Payroll ETL' AS job_name, 'completed' AS job_status,
                 count(*) AS records_processed, CAST(NULL AS VARCHAR) AS error_message,
-                {_STAMP} AS started_at, {_STAMP} AS completed_at
+                {_STAMP} AS started_at, TIMESTAMP '{DONE_TS}' AS completed_at
             FROM fact_payroll""", "fact_payroll"),
         # filters and projections
         "processed_only": _whole("processed"),
@@ -348,6 +372,8 @@ def oracle_sql() -> dict[str, str]:
         "audit_search_user": _audit("lower(username) LIKE '%user_1%'"),
         "audit_search_date_range": _audit(
             f"CAST(created_at AS DATE) BETWEEN DATE '{DAY_FROM}' AND DATE '{DAY_TO}'"),
+        "audit_search_stored_days": _whole("log_with_actions",
+            f"CAST(created_at AS DATE) BETWEEN DATE '{DAY_FROM}' AND DATE '{DAY_TO}'"),
         "select_payees_all": _whole("employees", "emp_status = 'active'"),
         "select_payees_department": _whole("employees", f"emp_status = 'active' AND department = '{DEPARTMENT}'"),
         "select_payees_specific": _with("""SELECT * FROM employees
@@ -371,11 +397,10 @@ def oracle_sql() -> dict[str, str]:
         # joins and referential rules
         "records_with_employee": _whole("joined"),
         "star_join": _whole("star"),
-        "deletable_employees": _with("""SELECT * FROM employees
-            WHERE employee_id NOT IN (SELECT employee_id FROM paid_ids)""", "employees", "paid_ids"),
-        "undeletable_employees": _with("""SELECT employee_id, employee_code, count(*) AS record_count
-            FROM employees JOIN payroll_records USING (employee_id) WHERE payroll_status = 'paid' GROUP BY 1, 2""",
-            "employees", "payroll_records"),
+        "deletable_employees": _with("""SELECT * FROM staff
+            WHERE employee_id NOT IN (SELECT employee_id FROM record_counts)""", "staff", "record_counts"),
+        "undeletable_employees": _with("""SELECT employee_id, employee_code, record_count
+            FROM staff JOIN record_counts USING (employee_id)""", "staff", "record_counts"),
         "null_deleted_users": _with("""SELECT log_id, u.user_id, l.username, action_name, module_name, details_text,
             ip_address, l.created_at FROM activity_logs l LEFT JOIN users u ON l.user_id = u.user_id""",
             "activity_logs", "users"),
@@ -433,6 +458,7 @@ def oracle_sql() -> dict[str, str]:
             FROM employees""", "employees"),
         "payroll_estimate": _estimate("true"),
         "payroll_estimate_department": _estimate(f"department = '{DEPARTMENT}'"),
+        "payroll_estimate_specific": _estimate("employee_id IN (SELECT employee_id FROM paid_ids)"),
         "payroll_estimate_by_department": _with(f"""SELECT department, count(*) AS employee_count,
             {_sum('basic_salary')} AS basic_salary_sum FROM employees WHERE emp_status = 'active' GROUP BY 1""",
             "employees"),
@@ -560,16 +586,35 @@ def oracle_sql() -> dict[str, str]:
                 CAST(CASE WHEN p.employee_id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS version_number,
                 CASE WHEN p.employee_id IS NULL THEN updated_at ELSE {_STAMP} END AS updated_at)
             FROM employees e LEFT JOIN paid_ids p ON p.employee_id = e.employee_id""", "employees", "paid_ids"),
-        "delete_employees": _with("""SELECT * FROM employees
-            WHERE employee_id IN (SELECT employee_id FROM paid_ids)""", "employees", "paid_ids"),
-        "delete_employees_outcome": _with("""SELECT o_custkey AS employee_id,
-                CASE WHEN e.employee_id IS NULL THEN 'not found' WHEN n > 0 THEN 'has records'
+        "delete_employees": _with("""SELECT * FROM staff
+            WHERE employee_id IN (SELECT employee_id FROM record_counts)
+                OR employee_id NOT IN (SELECT employee_id FROM departures)""", "staff", "record_counts", "departures"),
+        "delete_employees_outcome": _with("""SELECT d.employee_id,
+                CASE WHEN e.employee_id IS NULL THEN 'not found' WHEN record_count > 0 THEN 'has records'
                     ELSE 'deleted' END AS outcome,
-                CASE WHEN e.employee_id IS NULL THEN 0 ELSE coalesce(n, 0) END AS record_count
-            FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN employees e ON e.employee_id = o_custkey
-            LEFT JOIN (SELECT employee_id, count(*) AS n FROM payroll_records
-                WHERE payroll_status = 'paid' GROUP BY 1) r ON r.employee_id = o_custkey""",
-            "employees", "payroll_records"),
+                CASE WHEN e.employee_id IS NULL THEN 0 ELSE coalesce(record_count, 0) END AS record_count
+            FROM departures d LEFT JOIN staff e ON e.employee_id = d.employee_id
+            LEFT JOIN record_counts r ON r.employee_id = d.employee_id""",
+            "staff", "record_counts", "departures"),
+        "log_deleted_employees": _with(f"""SELECT * FROM activity_logs UNION ALL
+            SELECT (SELECT max(log_id) FROM activity_logs) + row_number() OVER (ORDER BY employee_id) AS log_id,
+                CAST(1 AS BIGINT) AS user_id,
+                coalesce((SELECT username FROM users WHERE user_id = 1), 'Unknown') AS username,
+                'DELETE_EMPLOYEE' AS action_name, 'Employees' AS module_name,
+                'Deleted employee: ' || employee_code || ' - ' || {_FULL_NAME} AS details_text,
+                '127.0.0.1' AS ip_address, {_STAMP} AS created_at
+            FROM staff WHERE employee_id IN (SELECT employee_id FROM departures)
+                AND employee_id NOT IN (SELECT employee_id FROM record_counts)""",
+            "staff", "record_counts", "departures", "users", "activity_logs"),
+        "log_payroll_run": _one_action("PROCESS_PAYROLL", "Payroll", f"""'Processed payroll for '
+            || strftime(make_date({NEW_YEAR}, {NEW_MONTH}, 1), '%B %Y') || ' - ' || (SELECT count(*) FROM new_pay) || ' employees'""",
+            "new_pay"),
+        "log_etl_run": _one_action("RUN_ETL", "Data Warehouse", """'ETL process completed - '
+            || (SELECT count(*) FROM fact_payroll) || ' records processed'""", "fact_payroll"),
+        "validate_periods": _with("""SELECT request_order, payroll_month, payroll_year, CASE WHEN payroll_month > 11
+                THEN 'Month must be 1 to 12' ELSE '' END || CASE WHEN payroll_month > 11 AND payroll_year < 2008 THEN ', ' ELSE '' END
+                || CASE WHEN payroll_year < 2008 THEN 'Year must be 2000 or later' ELSE '' END AS errors
+            FROM staged_payroll""", "staged_payroll"),
         "log_edited_employees": _with(f"""SELECT * FROM activity_logs UNION ALL
             SELECT (SELECT max(log_id) FROM activity_logs) + row_number() OVER (ORDER BY employee_id) AS log_id,
                 CAST(1 AS BIGINT) AS user_id,
@@ -588,6 +633,9 @@ def oracle_sql() -> dict[str, str]:
             FROM candidates JOIN accepted USING (request_order)""", "candidates", "accepted", "users", "activity_logs"),
         "compute_pay": _whole("new_pay"),
         "run_payroll": _new_payroll("true", NEW_YEAR, NEW_MONTH),
+        "run_payroll_department": _new_payroll(
+            f"employee_id IN (SELECT employee_id FROM employees WHERE department = '{DEPARTMENT}')", NEW_YEAR, NEW_MONTH),
+        "run_payroll_specific": _new_payroll("employee_id IN (SELECT employee_id FROM paid_ids)", NEW_YEAR, NEW_MONTH),
         "run_payroll_outcome": _with(f"""SELECT CAST(0 AS INTEGER) AS result_code, count(*) AS record_count,
             'Payroll successfully processed for ' || count(*) || ' employees in period: '
                 || strftime(make_date({NEW_YEAR}, {NEW_MONTH}, 1), '%B %Y') AS result_msg FROM new_pay""", "new_pay"),
@@ -609,6 +657,8 @@ def oracle_sql() -> dict[str, str]:
     }
     # queries that return one of the expressions as it is
     sql["export_json"] = sql["employee_roster"]
+    for job in ("run_payroll", "merge_payroll", "delete_period"):
+        sql[f"published_{job}"] = sql[job]
     for table in ("dim_department", "dim_employee", "dim_time", "fact_payroll"):
         sql[table] = _whole(table)
     return sql
@@ -617,4 +667,11 @@ def oracle_sql() -> dict[str, str]:
 def _estimate(where: str) -> str:
     return _with(f"""SELECT count(*) AS employee_count,
         CAST(round(coalesce(sum(basic_salary), 0) * 1.15, 2) AS DECIMAL(22,2)) AS estimated_gross
-        FROM employees WHERE emp_status = 'active' AND {where}""", "employees")
+        FROM employees WHERE emp_status = 'active' AND {where}""", "employees", "paid_ids")
+
+
+def _one_action(action: str, module: str, details: str, *names: str) -> str:
+    return _with(f"""SELECT * FROM activity_logs UNION ALL
+        SELECT (SELECT max(log_id) FROM activity_logs) + 1, CAST(1 AS BIGINT),
+            coalesce((SELECT username FROM users WHERE user_id = 1), 'Unknown'), '{action}', '{module}', {details},
+            '127.0.0.1', {_STAMP}""", "activity_logs", "users", *names)

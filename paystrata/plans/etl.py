@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,14 +122,19 @@ def build_star(emp: DataFrame, rec: DataFrame, run_ts: str, collation: str | Non
     return {**dims, "fact_payroll": fact_payroll(rec, dims, run_ts, collation, slots)}
 
 
+def _now() -> str:
+    return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+
+
 def run_etl(emp: DataFrame, rec: DataFrame, folder: str, job_id: int, run_ts: str,
-            collation: str | None = None, slots: int | None = None) -> str:
+            collation: str | None = None, slots: int | None = None, clock: Callable[[], str] = _now) -> str:
     """Load the warehouse and publish it as the new current snapshot.
 
     The tables go to a directory of their own; only the ``completed`` job row
     makes readers see it, so a failed run leaves the previous snapshot in
     place. One writer at a time is assumed. Returns ``completed`` or
-    ``nothing to load``; a failure is logged and raised again.
+    ``nothing to load``; a failure is logged in full and raised again. ``clock``
+    gives the time a job ends.
     """
     spark = emp.sparkSession
     if not etl_precheck(rec):
@@ -139,7 +147,7 @@ def run_etl(emp: DataFrame, rec: DataFrame, folder: str, job_id: int, run_ts: st
         write_snapshot({"fact_payroll": fact_payroll(rec, written, run_ts, collation, slots)}, folder, job_id)
         facts = load_tables(spark, path, ("fact_payroll",))["fact_payroll"].count()
     except Exception as error:
-        log_job(spark, folder, job_id, "failed", 0, str(error)[:500], run_ts, run_ts)
+        log_job(spark, folder, job_id, "failed", 0, str(error), run_ts, clock())
         raise
-    log_job(spark, folder, job_id, "completed", facts, None, run_ts, run_ts)
+    log_job(spark, folder, job_id, "completed", facts, None, run_ts, clock())
     return "completed"

@@ -8,14 +8,16 @@ request that would collide with an earlier one of the batch is refused.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paystrata.functions import calendar, text
 from paystrata.functions.money import DEFAULT_RATES, PayRates, net_of, pay_columns
+from paystrata.operators.components import connected_components
 from paystrata.operators.filters import select_payees
 from paystrata.operators.joins import deletable_employees
 from paystrata.operators.ranking import global_row_number
@@ -33,7 +35,7 @@ def _shaped(df: DataFrame, schema) -> DataFrame:
 
 def _blank(column: str) -> Column:
     """Missing, blank or the text 0, which all count as not filled in."""
-    value = F.trim(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    value = text.typed(F.coalesce(F.col(column).cast("string"), F.lit("")))
     return value.isin("", "0")
 
 
@@ -42,8 +44,15 @@ def _messages(checks: list[tuple[Column, str]]) -> Column:
     return F.filter(found, lambda message: message.isNotNull())
 
 
+# The longest text each column holds, and what the field is called in messages.
+LENGTHS = {
+    "employee_code": (20, "Employee code"), "first_name": (50, "First name"), "last_name": (50, "Last name"),
+    "email": (100, "Email"), "department": (50, "Department"), "emp_position": (50, "Position"),
+}
+
+
 def validate_employees(candidates: DataFrame, editing: bool = False) -> DataFrame:
-    """Add ``errors``: what is wrong with each candidate, in form order.
+    """Add ``errors``: what is wrong with each candidate, in form order, then what is too long.
 
     An edit has no code and no hire date of its own.
     """
@@ -58,12 +67,14 @@ def validate_employees(candidates: DataFrame, editing: bool = False) -> DataFram
     if not editing:
         checks = [(_blank("employee_code"), "Employee code required"), *checks,
                   (_blank("hire_date"), "Hire date required"),
-                  (~_blank("hire_date") & F.trim(F.col("hire_date").cast("string")).try_cast("date").isNull(),
+                  (~_blank("hire_date") & text.typed(F.col("hire_date").cast("string")).try_cast("date").isNull(),
                    "Valid hire date required")]
-    checks.append((~_blank("email") & ~text.is_email(F.trim("email")), "Invalid email format"))
+    checks.append((~_blank("email") & ~text.is_email(text.typed(F.col("email"))), "Invalid email format"))
     if "emp_status" in candidates.columns:
         checks.append((F.col("emp_status").isNotNull() & ~F.col("emp_status").isin(*EMPLOYEE_STATUSES),
                        "Valid status required"))
+    checks += [(F.length(text.typed(F.col(column))) > most, f"{field} too long")
+               for column, (most, field) in LENGTHS.items() if not (editing and column == "employee_code")]
     return candidates.withColumn("errors", _messages(checks))
 
 
@@ -78,39 +89,84 @@ def validate_periods(rows: DataFrame) -> DataFrame:
 
 # --- first come, first served ----------------------------------------------
 
-def first_come(requests: DataFrame, keys: list[str]) -> DataFrame:
+#: Conflicting requests of one component that are served in one task.
+SERVED_TOGETHER = 10_000
+
+
+def first_come(requests: DataFrame, keys: list[str], together: int = SERVED_TOGETHER) -> DataFrame:
     """The requests that take effect when every key value may be used once.
 
     Requests are served in ``request_order``; one is refused when an accepted
     request before it has the same value in any key. NULL never collides. A
-    request refused for one key does not hold its other keys, so the answer is
-    found in rounds: accept whatever is first in all of its key groups, refuse
-    whatever collides with that, repeat. Each round settles at least the first
-    open request; the number of rounds is the length of the longest chain.
+    request refused for one key does not hold its other keys, so the answer of
+    a request can hang on a long chain of others. Only requests that share a
+    value with another one are looked at further. They fall into connected
+    components that do not affect each other: a component of up to ``together``
+    requests is served in order by one task, a larger one in rounds.
 
     Returns the accepted ``request_order`` values.
     """
-    open_ = staged(requests.select(ORDER, *keys), "first-come-open")
+    # A shared value is named by the first request that has it; equality of the
+    # keys, under whatever collation, is left to the grouping.
+    shared = staged(requests.select(ORDER, *keys), "first-come")
+    names = [f"_shared{i}" for i in range(len(keys))]
+    for key, name in zip(keys, names):
+        first = shared.filter(F.col(key).isNotNull()).groupBy(key).agg(
+            F.min(ORDER).cast("long").alias(name), F.count("*").alias("_n")).filter("_n > 1").select(key, name)
+        shared = shared.join(first, key, "left")
+    shared = staged(shared.select(ORDER, *names), "first-come-shared")
+    links = reduce(DataFrame.unionByName, [
+        shared.filter(F.col(name).isNotNull()).select(F.col(ORDER).cast("long").alias("a"), F.col(name).alias("b")) for name in names])
+    component = staged(connected_components(links).withColumnRenamed("node", ORDER), "first-come-components")
+    sizes = component.groupBy("component").agg(F.count("*").alias("_size"))
+    contested = staged(shared.join(component, ORDER).join(sizes, "component"), "first-come-contested")
+    free = shared.filter(reduce(Column.__and__, [F.col(name).isNull() for name in names])).select(ORDER)
+    served = contested.filter(F.col("_size") <= together).drop("_size").groupBy("component").applyInPandas(
+        _served(names), f"{ORDER} {requests.schema[ORDER].dataType.simpleString()}")
+    return free.unionByName(served).unionByName(
+        _in_rounds(contested.filter(F.col("_size") > together).select(ORDER, *names), names))
+
+
+def _served(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Serve one component request by request."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        used: list[set] = [set() for _ in keys]
+        accepted = []
+        for order, *values in rows.sort_values(ORDER)[[ORDER, *keys]].itertuples(index=False):
+            wanted = [(u, v) for u, v in zip(used, values) if not pd.isna(v)]
+            if all(v not in u for u, v in wanted):
+                accepted.append(order)
+                for u, v in wanted:
+                    u.add(v)
+        return pd.DataFrame({ORDER: accepted}, dtype=rows[ORDER].dtype)
+    return run
+
+
+def _in_rounds(open_: DataFrame, keys: list[str]) -> DataFrame:
+    """Accept whatever is first in all of its key groups, refuse what collides with that, repeat.
+
+    A value that many requests share is settled in the round in which its first
+    request is, so large components take few rounds. One table is written a round.
+    """
     rounds: list[DataFrame] = []
-    while not open_.isEmpty():
-        heads = [
-            open_.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(ORDER).alias(ORDER)).select(ORDER)
-            for key in keys
-        ] + [open_.filter(F.col(key).isNull()).select(ORDER) for key in keys]
-        first_everywhere = (
-            reduce(DataFrame.unionByName, heads).groupBy(ORDER).agg(F.count("*").alias("n"))
-            .filter(F.col("n") == len(keys)).select(ORDER)
-        )
-        accepted = staged(open_.join(first_everywhere, ORDER, "left_semi"), "first-come-accepted")
+    while True:
+        firsts = [open_.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(ORDER).alias(f"_first{i}"))
+                  for i, key in enumerate(keys)]
+        flagged = open_
+        for key, first in zip(keys, firsts):
+            flagged = flagged.join(first, key, "left")
+        first = reduce(Column.__and__, [F.coalesce(F.col(f"_first{i}") == F.col(ORDER), F.lit(True)) for i in range(len(keys))])
+        flagged = staged(flagged.select(ORDER, *keys, first.alias("_accepted")), "first-come-round")
+        if flagged.isEmpty():
+            return reduce(DataFrame.unionByName, rounds) if rounds else flagged.select(ORDER)
+        accepted = flagged.filter("_accepted")
         rounds.append(accepted.select(ORDER))
-        left = open_.join(accepted.select(ORDER), ORDER, "left_anti")
+        open_ = flagged.filter("not _accepted").drop("_accepted")
         for key in keys:
-            left = left.join(accepted.select(key).distinct(), key, "left_anti")
-        open_ = staged(left.select(ORDER, *keys), "first-come-open")
-    return reduce(DataFrame.unionByName, rounds) if rounds else open_.select(ORDER)
+            open_ = open_.join(accepted.select(key).distinct(), key, "left_anti")
 
 
-def _next_id(df: DataFrame, column: str) -> int:
+def next_id(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1
 
 
@@ -130,14 +186,14 @@ def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
     """
     checked = validate_employees(candidates)
     checked = checked.select(
-        ORDER, F.trim("employee_code").alias("employee_code"), F.trim("first_name").alias("first_name"),
-        F.trim("last_name").alias("last_name"), F.trim("email").alias("email"),
-        F.trim("department").alias("department"), F.trim("emp_position").alias("emp_position"),
+        ORDER, text.typed(F.col("employee_code")).alias("employee_code"), text.typed(F.col("first_name")).alias("first_name"),
+        text.typed(F.col("last_name")).alias("last_name"), text.typed(F.col("email")).alias("email"),
+        text.typed(F.col("department")).alias("department"), text.typed(F.col("emp_position")).alias("emp_position"),
         text.decimal_or_zero(F.col("basic_salary").cast("string")).alias("basic_salary"),
-        F.trim(F.col("hire_date").cast("string")).try_cast("date").alias("hire_date"),
+        text.typed(F.col("hire_date").cast("string")).try_cast("date").alias("hire_date"),
         (F.size("errors") > 0).alias("invalid"),
-        text.collated(F.trim("employee_code"), collation).alias("_code"),
-        text.collated(F.trim("email"), collation).alias("_email"),
+        text.collated(text.typed(F.col("employee_code")), collation).alias("_code"),
+        text.collated(text.typed(F.col("email")), collation).alias("_email"),
     )
     valid = checked.filter(~F.col("invalid"))
     held_codes = emp.select(text.collated(F.col("employee_code"), collation).alias("_code"))
@@ -147,7 +203,7 @@ def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
 
     inserted = global_row_number(
         valid.join(accepted, ORDER, "left_semi"), [F.col(ORDER)], "employee_id",
-        start=_next_id(emp, "employee_id"), slots=slots)
+        start=next_id(emp, "employee_id"), slots=slots)
     stamp = F.lit(run_ts).cast("timestamp_ntz")
     new_rows = _shaped(
         inserted.withColumn("emp_status", F.lit("active")).withColumn("version_number", F.lit(1))
@@ -174,17 +230,23 @@ def update_employees(emp: DataFrame, edits: DataFrame, run_ts: str,
     checked = validate_employees(edits, editing=True)
     checked = checked.select(
         ORDER, "employee_id", "current_version",
-        F.trim("first_name").alias("first_name"), F.trim("last_name").alias("last_name"),
-        F.trim("email").alias("email"), F.trim("department").alias("department"),
-        F.trim("emp_position").alias("emp_position"),
+        text.typed(F.col("first_name")).alias("first_name"), text.typed(F.col("last_name")).alias("last_name"),
+        text.typed(F.col("email")).alias("email"), text.typed(F.col("department")).alias("department"),
+        text.typed(F.col("emp_position")).alias("emp_position"),
         text.decimal_or_zero(F.col("basic_salary").cast("string")).alias("basic_salary"),
         "emp_status", (F.size("errors") > 0).alias("invalid"),
-        text.collated(F.trim("email"), collation).alias("_email"),
+        text.collated(text.typed(F.col("email")), collation).alias("_email"),
     )
-    stored = emp.select("employee_id", F.col("version_number").alias("_version"))
+    # Only what the batch asks about is looked up: its keys are written first, so
+    # that a small batch is broadcast and the employees are not shuffled.
+    checked = staged(checked, "checked-batch")
+    stored = emp.select("employee_id", F.col("version_number").alias("_version")).join(
+        checked.select("employee_id").distinct(), "employee_id", "left_semi")
     holders = (
         emp.filter(F.col("email").isNotNull())
-        .groupBy(text.collated(F.col("email"), collation).alias("_email"))
+        .select("employee_id", text.collated(F.col("email"), collation).alias("_email"))
+        .join(checked.select("_email").distinct(), "_email", "left_semi")
+        .groupBy("_email")
         .agg(F.min("employee_id").alias("_first_holder"), F.max("employee_id").alias("_last_holder"))
     )
     looked_up = (
@@ -279,7 +341,7 @@ def run_payroll(rec: DataFrame, emp: DataFrame, year: int, month: int, run_ts: s
         payees = payees.join(same_period.select("employee_id"), "employee_id", "left_anti")
     pay = compute_pay(payees, rates)
     numbered = global_row_number(pay, [F.col("employee_id")], "payroll_id",
-                                 start=_next_id(rec, "payroll_id"), slots=slots)
+                                 start=next_id(rec, "payroll_id"), slots=slots)
     count = numbered.count()
     if count == 0:
         return rec, _payroll_outcome(rec, REFUSED, 0, "No active employees found.")
@@ -315,9 +377,14 @@ def merge_payroll(rec: DataFrame, emp: DataFrame, requests: DataFrame, run_ts: s
     expected one; 1 a record exists but none was expected; 2 an earlier request
     of the batch wrote the same record; 0 done.
     """
-    active = emp.filter(F.col("emp_status") == "active").select("employee_id", F.lit(True).alias("_active"))
-    stored = rec.select("employee_id", "payroll_year", "payroll_month",
-                        F.col("payroll_id").alias("_payroll_id"), F.col("lock_version").alias("_lock"))
+    # Both tables are first cut to the keys of the batch, which are written so
+    # that a small batch is broadcast; neither table is shuffled for it.
+    asked = staged(requests.select("employee_id", "payroll_year", "payroll_month").distinct(), "asked-payroll")
+    active = emp.filter(F.col("emp_status") == "active").select("employee_id", F.lit(True).alias("_active")).join(
+        asked.select("employee_id").distinct(), "employee_id", "left_semi")
+    stored = rec.select("employee_id", "payroll_year", "payroll_month", F.col("payroll_id").alias("_payroll_id"),
+                        F.col("lock_version").alias("_lock")).join(
+        asked, ["employee_id", "payroll_year", "payroll_month"], "left_semi")
     sums = {n: c for n, c in net_of({p: F.col(p) for p in _PARTS}).items()}
     period_key = ["employee_id", "payroll_year", "payroll_month"]
     bad = (F.size("errors") > 0) | F.col("net_amount").isNull()
@@ -344,7 +411,7 @@ def merge_payroll(rec: DataFrame, emp: DataFrame, requests: DataFrame, run_ts: s
 
     stamp = F.lit(run_ts).cast("timestamp_ntz")
     inserted = global_row_number(winners.filter(F.col("_payroll_id").isNull()), [F.col(ORDER)], "payroll_id",
-                                 start=_next_id(rec, "payroll_id"), slots=slots)
+                                 start=next_id(rec, "payroll_id"), slots=slots)
     new_rows = _shaped(inserted.withColumns({
         "payroll_status": F.lit("processed"), "processed_at": stamp, "lock_version": F.lit(1)}), PAYROLL_RECORDS)
 

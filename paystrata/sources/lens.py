@@ -61,6 +61,32 @@ def employees(spark: SparkSession, folder: str) -> DataFrame:
     return derived.select([F.col(f.name).cast(f.dataType) for f in EMPLOYEES])
 
 
+def recruits(spark: SparkSession, folder: str) -> DataFrame:
+    """Employees that were never paid: one per supplier, with negative ids."""
+    derived = _read(spark, folder, "supplier").select(
+        (-F.col("s_suppkey") - 1).alias("employee_id"),
+        F.col("s_name").alias("employee_code"),
+        F.split_part("s_name", F.lit("#"), F.lit(1)).alias("first_name"),
+        F.split_part("s_name", F.lit("#"), F.lit(2)).alias("last_name"),
+        _email_of(F.col("s_name")).alias("email"),
+        F.lit("Supply").alias("department"),
+        F.lit("Recruit").alias("emp_position"),
+        F.greatest(F.abs("s_acctbal"), F.lit(1.0)).cast(MONEY).alias("basic_salary"),
+        F.lit("2024-01-01").cast("date").alias("hire_date"),
+        F.lit("active").alias("emp_status"),
+        F.lit(1).alias("version_number"),
+        _moment(_EPOCH).alias("created_at"),
+        _moment(_EPOCH).alias("updated_at"),
+    )
+    return derived.select([F.col(f.name).cast(f.dataType) for f in EMPLOYEES])
+
+
+def departures(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids asked to be deleted: every customer that ordered, and one negative id per part, few of which exist."""
+    return _read(spark, folder, "orders").select(F.col("o_custkey").alias("employee_id")).unionByName(
+        _read(spark, folder, "part").select((-F.col("p_partkey") - 1).alias("employee_id")))
+
+
 def payroll_records(spark: SparkSession, folder: str) -> DataFrame:
     status = F.col("o_orderstatus")
     monthly = (
@@ -158,8 +184,11 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     """New-employee requests: one per part, and one per supplier.
 
     Parts share codes (name and brand) and e-mails (name and type), so requests
-    of one batch collide; suppliers ask for e-mails that customers hold.
+    of one batch collide; suppliers ask for e-mails that customers hold. By
+    nation, a supplier's form has a tab for a first name, an address between
+    white space, an over-long code or text after the salary.
     """
+    kind = F.col("s_nationkey") % 5
     dotted = F.translate(F.col("p_name"), " ", ".")
     parts = _read(spark, folder, "part").select(
         (F.col("p_partkey") * 2).alias("request_order"),
@@ -172,15 +201,18 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_retailprice").cast(MONEY).cast("string").alias("basic_salary"),
         F.lit("2024-02-01").alias("hire_date"),
     )
+    held = _email_of(F.concat(F.lit("Customer#"), F.split_part("s_name", F.lit("#"), F.lit(2))))
+    fresh = F.concat(F.lit("supplier."), F.col("s_suppkey"), F.lit("@example.com"))
     suppliers = _read(spark, folder, "supplier").select(
         (F.col("s_suppkey") * 2 + 1).alias("request_order"),
-        F.col("s_name").alias("employee_code"),
-        F.split_part("s_name", F.lit("#"), F.lit(1)).alias("first_name"),
+        F.when(kind == 2, F.rpad("s_name", 40, "+")).otherwise(F.col("s_name")).alias("employee_code"),
+        F.when(kind == 0, "\t").otherwise(F.split_part("s_name", F.lit("#"), F.lit(1))).alias("first_name"),
         F.split_part("s_name", F.lit("#"), F.lit(2)).alias("last_name"),
-        _email_of(F.concat(F.lit("Customer#"), F.split_part("s_name", F.lit("#"), F.lit(2)))).alias("email"),
+        F.when(kind == 1, F.concat(F.lit("\t\n"), fresh, F.lit("\x0b\n"))).otherwise(held).alias("email"),
         F.lit("Supply").alias("department"),
         F.when(F.col("s_acctbal") > 0, "Buyer").otherwise("").alias("emp_position"),
-        F.when(F.col("s_acctbal") > 100, F.col("s_acctbal").cast(MONEY).cast("string"))
+        F.when(F.col("s_acctbal") > 100, F.concat(
+            F.col("s_acctbal").cast(MONEY).cast("string"), F.when(kind == 3, "abc").otherwise("")))
         .otherwise("n/a").alias("basic_salary"),
         F.lit("2024-02-01").alias("hire_date"),
     )
@@ -188,13 +220,16 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edits(spark: SparkSession, folder: str) -> DataFrame:
-    """One employee edit per order; the priority decides what is wrong with it."""
+    """One employee edit per order; the priority decides what is wrong with it.
+
+    Every fiftieth order asks for an employee that does not exist.
+    """
     priority = F.col("o_orderpriority")
-    fresh = F.concat(F.lit("edit."), F.col("o_orderkey"), F.lit("@example.com"))
+    fresh = F.concat(F.lit("edit."), "o_orderkey", F.lit("@example.com"))
     held = _email_of(F.concat(F.lit("Customer#"), F.lpad((F.col("o_custkey") + 1).cast("string"), 9, "0")))
     return _read(spark, folder, "orders").select(
         F.col("o_orderkey").alias("request_order"),
-        F.col("o_custkey").alias("employee_id"),
+        F.when(F.col("o_orderkey") % 50 == 0, -F.col("o_custkey") - 1).otherwise(F.col("o_custkey")).alias("employee_id"),
         F.when(priority == "3-MEDIUM", 0).otherwise(1).alias("current_version"),
         F.lit("Edited").alias("first_name"),
         F.concat(F.lit("Order"), "o_orderkey").alias("last_name"),

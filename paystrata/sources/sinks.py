@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paystrata.functions.text import action_label
 from paystrata.schema import ACTIVITY_LOGS, ETL_JOBS, WAREHOUSE
-from paystrata.sources.tables import load_tables
+from paystrata.sources.tables import append_table, load_tables
 
 JOB_NAME = "Payroll ETL"
 
@@ -32,9 +32,9 @@ def append_activity(log: DataFrame, actions: DataFrame, users: DataFrame) -> Dat
 
 
 def write_activity(actions: DataFrame, users: DataFrame, folder: str) -> None:
-    """Append new actions to the log table without rewriting it."""
+    """Append new actions to the log table, by month, without rewriting it."""
     none_yet = actions.sparkSession.createDataFrame([], ACTIVITY_LOGS)
-    append_activity(none_yet, actions, users).write.mode("append").parquet(f"{folder}/activity_logs")
+    append_table(append_activity(none_yet, actions, users), "activity_logs", folder)
 
 
 # --- exports ---------------------------------------------------------------

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folder: str | None = None
-_written: list[str] = []
+# What was staged, by scope: the last list belongs to the innermost open scope.
+_scopes: list[list[str]] = [[]]
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -35,28 +38,53 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new place in the staging folder; it goes with the scope it was made in."""
+    path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a scan of what was written."""
     spark = df.sparkSession
     path = staging_path(spark, label)
-    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in whatever store it lies; false if there was none."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _release(spark: SparkSession, paths: list[str]) -> int:
+    count = len(paths)
+    while paths:
+        delete_path(spark, paths.pop())
+    return count
+
+
 def release_staged(spark: SparkSession) -> int:
-    """Delete the staged tables of this process; returns how many there were.
+    """Delete what was staged outside any scope; returns how much there was.
 
-    Call it when the results built on them have been written. Results that are
+    Call it when the results built on it have been written. Results that are
     still lazy cannot be evaluated afterwards.
     """
-    jvm = spark.sparkContext._jvm
-    settings = spark.sparkContext._jsc.hadoopConfiguration()
-    count = len(_written)
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(settings).delete(path, True)
-    return count
+    return _release(spark, _scopes[0])
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside the ``with`` block when it ends.
+
+    Build a result and write it inside one block; results of other blocks are
+    not touched.
+    """
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _release(spark, mine)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructType
 
 from paystrata.schema import KEYS, TABLES
+from paystrata.sources.staging import delete_path, staged
 
 
 def load_tables(spark: SparkSession, folder: str,
@@ -13,12 +16,29 @@ def load_tables(spark: SparkSession, folder: str,
 
     Schemas are never inferred, so a scan starts without reading any file.
     """
-    return {
-        name: spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}").select(TABLES[name].names)
-        for name in (names or TABLES)
-    }
+    return {name: _scanned(spark, folder, name).select(TABLES[name].names) for name in (names or TABLES)}
 
 
+def _scanned(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    schema = StructType(list(TABLES[name].fields))
+    if name in _DATED:
+        schema = schema.add(DATE_COLUMN, DateType())
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+
+def load_log(spark: SparkSession, folder: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """The audit log; with an inclusive range of days, only the partitions of its months are read."""
+    log = _scanned(spark, folder, "activity_logs")
+    if date_from:
+        log = log.filter(F.col(DATE_COLUMN) >= F.trunc(F.lit(date_from).cast("date"), "month"))
+    if date_to:
+        log = log.filter(F.col(DATE_COLUMN) <= F.trunc(F.lit(date_to).cast("date"), "month"))
+    return log.select(TABLES["activity_logs"].names)
+
+
+#: Partition column (first day of the month) of tables that are laid out by time; it is not part of the model.
+DATE_COLUMN = "log_month"
+
 # How the big tables are laid out. Rows are range-partitioned before they are
 # written: few files per year, none of them huge when one year holds a third of
 # all rows, and narrow row-group statistics on the second column.
@@ -26,19 +46,45 @@ _LAYOUT = {
     "payroll_records": ("payroll_year", "employee_id"),
     "activity_logs": ("created_at", "log_id"),
 }
-_PARTITIONED_BY = {"payroll_records": "payroll_year"}
+_PARTITIONED_BY = {"payroll_records": "payroll_year", "activity_logs": DATE_COLUMN}
+_DATED = {"activity_logs": "created_at"}
+
+
+def _laid_out(df: DataFrame, name: str) -> DataFrameWriter:
+    """A writer of the table in its columns, order and partitions."""
+    shaped = df.select([F.col(field.name).cast(field.dataType) for field in TABLES[name]])
+    if name in _DATED:
+        shaped = shaped.withColumn(DATE_COLUMN, F.trunc(_DATED[name], "month"))
+    if name in _LAYOUT:
+        shaped = shaped.repartitionByRange(*_LAYOUT[name]).sortWithinPartitions(*_LAYOUT[name])
+    by = _PARTITIONED_BY.get(name)
+    return shaped.write.partitionBy(by) if by else shaped.write
 
 
 def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Initial load of the given tables into ``folder/<table>``."""
     for name, df in tables.items():
-        shaped = df.select([df[field.name].cast(field.dataType) for field in TABLES[name]])
-        if name in _LAYOUT:
-            shaped = shaped.repartitionByRange(*_LAYOUT[name]).sortWithinPartitions(*_LAYOUT[name])
-        writer = shaped.write.mode("errorifexists")
-        if name in _PARTITIONED_BY:
-            writer = writer.partitionBy(_PARTITIONED_BY[name])
-        writer.parquet(f"{folder}/{name}")
+        _laid_out(df, name).mode("errorifexists").parquet(f"{folder}/{name}")
+
+
+def append_table(df: DataFrame, name: str, folder: str) -> None:
+    """Add rows to a stored table, laid out like the rows that are there."""
+    _laid_out(df, name).mode("append").parquet(f"{folder}/{name}")
+
+
+def publish_records(state: DataFrame, folder: str, years: list[int]) -> None:
+    """Replace the given years of the stored payroll records by those of ``state``.
+
+    Only the partitions of these years are read and rewritten; files of other
+    years stay. The new rows are written aside first, as ``state`` usually
+    reads the table itself. A year without rows loses its partition.
+    """
+    spark, table, column = state.sparkSession, "payroll_records", _PARTITIONED_BY["payroll_records"]
+    changed = staged(state.filter(F.col(column).isin([int(y) for y in years])), "published-records")
+    left = {r[0] for r in changed.select(column).distinct().collect()}  # among the given years
+    _laid_out(changed, table).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/{table}")
+    for year in set(map(int, years)) - left:
+        delete_path(spark, f"{folder}/{table}/{column}={year}")
 
 
 def load_jdbc(spark: SparkSession, url: str, table: str, key_range: tuple[int, int],

@@ -13,6 +13,8 @@ import duckdb
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
 
+from paystrata.sources.staging import staging_scope  # noqa: E402
+
 
 def reference(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
@@ -34,8 +36,9 @@ def rows_of(columns, rows):
 
 
 def difference(spark, con, query, sql, folder) -> str | None:
-    got = query(spark, folder)
-    got_names, got_rows = rows_of(got.columns, [tuple(r) for r in got.collect()])
+    with staging_scope(spark):
+        got = query(spark, folder)
+        got_names, got_rows = rows_of(got.columns, [tuple(r) for r in got.collect()])
     cursor = con.execute(sql)
     want_names, want_rows = rows_of([d[0] for d in cursor.description], cursor.fetchall())
     if got_names != want_names:

@@ -31,10 +31,10 @@ def test_text(spark):
     assert one(spark, text.initial(F.lit("ann")), text.amount_text(F.lit(Decimal("1234567.50"))),
                text.action_label(F.lit("RUN_ETL"))) == ("A", "1,234,567.50", "RUN ETL")
     assert [text.given(v) for v in (None, "", "0", 0, "x", 2026)] == [False, False, False, False, True, True]
-    values = ["95000.5", " 12 ", "abc", "", None, "-3"]
+    values = ["95000.5", " 12 ", "abc", "", None, "-3", "12abc", "\t7\n", "1e3x", ".5", "5.", "-", "1e30"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     assert [r[0] for r in df.select(text.decimal_or_zero(F.col("v"))).collect()] == [
-        Decimal(x) for x in ("95000.50", "12.00", "0.00", "0.00", "0.00", "-3.00")]
+        Decimal(x) for x in ("95000.50", "12.00", "0.00", "0.00", "0.00", "-3.00", "12.00", "7.00", "1000.00", "0.50", "5.00", "0.00", "0.00")]
 
 
 def test_rounding_is_half_up_and_once(spark):

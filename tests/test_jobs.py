@@ -7,7 +7,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from paystrata.operators import components
 from paystrata.plans import activity, jobs
+from paystrata.sources import staging
 from tests.fixtures import employee, employees, record, records
 
 STAMP = "2026-06-01 00:00:00"
@@ -35,11 +37,23 @@ def test_first_come_equals_serial_service(spark, seed, n, codes, emails, hot):
     assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == serve(rows, 2)
 
 
-def test_first_come_follows_a_long_chain(spark):
+@pytest.mark.parametrize("length", [9, 41, 200])
+def test_first_come_follows_a_long_chain(spark, length, monkeypatch):
     # each request collides with the one before it, through alternating keys
-    rows = [(i, f"c{(i + 1) // 2}", f"m{i // 2}") for i in range(9)]
+    rows = [(i, f"c{(i + 1) // 2}", f"m{i // 2}") for i in range(length)]
     df = spark.createDataFrame(rows, "request_order long, code string, email string")
-    assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == {0, 2, 4, 6, 8} == serve(rows, 2)
+    written = []
+    for module in (jobs, components):
+        monkeypatch.setattr(module, "staged", lambda df, label: written.append(label) or staging.staged(df, label))
+    assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == set(range(0, length, 2)) == serve(rows, 2)
+    assert len(written) <= 8 + 2 * length.bit_length()
+
+
+def test_large_components_are_served_in_rounds(spark):
+    rng = random.Random(8)
+    rows = [(i, f"c{rng.randrange(15)}", rng.choice([None, *[f"m{j}" for j in range(15)]])) for i in range(80)]
+    df = spark.createDataFrame(rows, "request_order long, code string, email string")
+    assert {r[0] for r in jobs.first_come(df, ["code", "email"], together=3).collect()} == serve(rows, 2)
     assert jobs.first_come(df.limit(0), ["code", "email"]).count() == 0
 
 
@@ -67,6 +81,13 @@ def test_validation_messages(spark):
     assert errors[3] == ["Last name required", "Valid salary required", "Hire date required"]
     assert errors[4] == ["Email required", "Valid hire date required"]
     assert errors[5] == errors[6] == errors[7] == ["Invalid email format"]
+    typed = [candidate(1, "A" * 21, "a@example.com", first_name="\t\0", last_name="B" * 51, basic_salary="12abc"),
+             candidate(2, "\x0b C\n", "\tf@example.com\r\n", department="D" * 50, basic_salary=" 1e2 pesos", hire_date="2024-01-01\n"),
+             candidate(3, "E", "x" * 64 + "@" + "y" * 40 + ".com", emp_position="P" * 51, basic_salary=".5")]
+    checked = jobs.validate_employees(spark.createDataFrame(typed, CANDIDATE))
+    errors = {r.request_order: r.errors for r in checked.collect()}
+    assert errors[1] == ["First name required", "Employee code too long", "Last name too long"]
+    assert errors[2] == [] and errors[3] == ["Email too long", "Position too long"]
     periods = spark.createDataFrame([(0, 2026), (12, 1999), (None, 2000), (1, 2000)], "payroll_month int, payroll_year int")
     assert [len(r.errors) for r in jobs.validate_periods(periods).collect()] == [1, 1, 1, 0]
 

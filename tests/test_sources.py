@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paystrata.plans import etl
-from paystrata.schema import OPERATIONAL
+from paystrata.schema import ACTIVITY_LOGS, OPERATIONAL
 from paystrata.sources import sinks, staging, tables
 from tests.fixtures import employee, employees, log_row, logs, record, records, seed, users
 
@@ -106,9 +106,72 @@ def test_staging_folder(spark):
 
 
 def test_staged_tables_can_be_released(spark, monkeypatch):
-    monkeypatch.setattr(staging, "_written", [])
+    monkeypatch.setattr(staging, "_scopes", [[]])
     kept = staging.staged(records(spark, record(1, 1, 2026, 1, "1.00")), "probe")
-    folder = staging._written[0]
+    folder = _local(staging._scopes[0][0])
     assert kept.count() == 1 and os.path.isdir(folder)
     assert staging.release_staged(spark) == 1
     assert not os.path.exists(folder) and staging.release_staged(spark) == 0
+
+
+def _local(path):
+    return path.removeprefix("file://")
+
+
+def test_a_scope_deletes_its_own_tables_only(spark, monkeypatch):
+    monkeypatch.setattr(staging, "_scopes", [[]])
+    rows = records(spark, record(1, 1, 2026, 1, "1.00"))
+    outer = staging.staged(rows, "outer")
+    with pytest.raises(ZeroDivisionError):
+        with staging.staging_scope(spark):
+            staging.staged(rows, "inner")
+            with staging.staging_scope(spark):
+                deepest = _local(staging.staging_path(spark, "path"))
+                rows.write.parquet(deepest)
+            assert not os.path.exists(deepest)
+            inner = _local(staging._scopes[-1][0])
+            assert os.path.isdir(inner)
+            1 / 0
+    assert not os.path.exists(inner) and outer.count() == 1
+    staging.release_staged(spark)
+
+
+def _files(folder):
+    return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.startswith("part-")}
+
+
+def test_publishing_keeps_the_files_of_other_years(spark, tmp_path):
+    folder = str(tmp_path)
+    rec = records(spark, *[record(y * 10 + m, 1, y, m, "10.00") for y in (2024, 2025, 2026) for m in (1, 2)])
+    tables.save_tables({"payroll_records": rec}, folder)
+    before = _files(folder)
+    stored = tables.load_tables(spark, folder, ("payroll_records",))["payroll_records"]
+    changed = stored.withColumn("payroll_status", F.when(F.col("payroll_year") == 2025, "paid").otherwise(F.col("payroll_status")))
+    tables.publish_records(changed.filter("payroll_year <> 2026"), folder, [2025, 2026])
+    after = tables.load_tables(spark, folder, ("payroll_records",))["payroll_records"]
+    assert sorted((r.payroll_year, r.payroll_status) for r in after.collect()) == [
+        (2024, "processed"), (2024, "processed"), (2025, "paid"), (2025, "paid")]
+    assert {f for f in before if "=2024" in f} <= _files(folder) and not any("=2026" in f for f in _files(folder))
+
+
+def test_a_range_of_days_reads_only_its_months(spark, tmp_path):
+    folder = str(tmp_path)
+    rows = [(i, 1, "u", "A", None, None, None, dt.datetime(2024, m, 10)) for i, m in enumerate((1, 2, 3, 3))]
+    log = spark.createDataFrame(rows, ACTIVITY_LOGS)
+    tables.save_tables({"activity_logs": log.limit(2)}, folder)
+    tables.append_table(log, "activity_logs", folder)
+    found = tables.load_log(spark, folder, "2024-02-05", "2024-03-05")
+    assert found.schema.names == ACTIVITY_LOGS.names and found.count() == 4
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_month" in plan
+    assert tables.load_tables(spark, folder, ("activity_logs",))["activity_logs"].count() == 6
+
+
+def test_a_failed_load_logs_the_whole_message_and_the_end(spark, tmp_path):
+    emp, rec = employees(spark, employee(1)), records(spark, record(1, 1, 2026, 1, "1.00"))
+    long = "x" * 3000
+    broken = rec.withColumn("net_amount", F.expr(f"raise_error('{long}')").cast("decimal(12,2)"))
+    with pytest.raises(Exception):
+        etl.run_etl(emp, broken, str(tmp_path), 1, STAMP, clock=lambda: LATER)
+    job = sinks.read_jobs(spark, str(tmp_path)).first()
+    assert long in job.error_message and str(job.started_at) == STAMP and str(job.completed_at) == LATER

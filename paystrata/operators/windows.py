@@ -17,6 +17,7 @@ from paystrata.operators.filters import processed_only
 from paystrata.operators.joins import records_with_employee
 from paystrata.operators.ranking import Level, ntile_of, ranked
 from paystrata.schema import MONEY_SUM, RATIO
+from paystrata.sources.staging import staged
 
 _PERIOD = ["payroll_year", "payroll_month"]
 _IDENTITY = ["employee_id", *_PERIOD]
@@ -24,24 +25,40 @@ _RUNNING = (Window.unboundedPreceding, Window.currentRow)
 _THREE = (-2, Window.currentRow)
 
 
+def _ranked_pay(rec: DataFrame, emp: DataFrame, amounts: list[str], levels: list[Level], slots: int | None) -> DataFrame:
+    """Processed records with their department, ranked by net amount; no names, codes or labels.
+
+    Only these narrow rows are range-partitioned. They are written first, as
+    sampling the ranges would otherwise evaluate the join a second time. What
+    describes the employee is joined to the ranked rows by ``_described``.
+    """
+    departments = emp.select("employee_id", "department")
+    narrow = processed_only(rec).select(*_IDENTITY, *amounts).join(departments, "employee_id")
+    return ranked(staged(narrow, "pay-to-rank"), "net_amount", _IDENTITY, levels, slots)
+
+
+def _described(rows: DataFrame, emp: DataFrame, *columns: str) -> DataFrame:
+    """Code, name and other columns of the employee; window rows are already partitioned by the key."""
+    people = emp.select("employee_id", "employee_code", text.full_name().alias("full_name"), *columns)
+    return rows.join(people, "employee_id")
+
+
 def employee_payroll_ranking(rec: DataFrame, emp: DataFrame, slots: int | None = None) -> DataFrame:
     """Each processed record ranked in its department and period, its department, and overall."""
-    by_period = Window.partitionBy("employee_id").orderBy(*_PERIOD)
-    base = records_with_employee(processed_only(rec), emp).select(
-        "employee_id", "employee_code", text.full_name().alias("full_name"), "department",
-        *_PERIOD, "net_amount",
-        F.lag("net_amount").over(by_period).alias("previous_month_pay"),
-        F.lead("net_amount").over(by_period).alias("next_month_pay"),
-        F.max("net_amount").over(Window.partitionBy("employee_id")).alias("highest_pay_ever"),
-    )
-    placed = ranked(base, "net_amount", _IDENTITY, [
+    placed = _ranked_pay(rec, emp, ["net_amount"], [
         Level(row="overall_rank"),
         Level(("department",), row="dept_row", dense="dense_rank_in_dept", count="dept_rows", total="dept_total"),
         Level(("department", *_PERIOD), rank="rank_in_department"),
     ], slots)
+    by_period = Window.partitionBy("employee_id").orderBy(*_PERIOD)
+    placed = placed.withColumns({
+        "previous_month_pay": F.lag("net_amount").over(by_period),
+        "next_month_pay": F.lead("net_amount").over(by_period),
+        "highest_pay_ever": F.max("net_amount").over(Window.partitionBy("employee_id")),
+    })
     net, previous = F.col("net_amount"), F.col("previous_month_pay")
     rows, dept_total = F.col("dept_rows"), F.col("dept_total")
-    return placed.select(
+    return _described(placed, emp).select(
         "employee_id", "employee_code", "full_name", "department", *_PERIOD,
         calendar.period_name().alias("period_name"), "net_amount",
         "rank_in_department", "dense_rank_in_dept",
@@ -91,18 +108,16 @@ def employee_payroll_analytics(rec: DataFrame, emp: DataFrame, slots: int | None
     """Running total, three-row average, department share and overall rank per record."""
     by_period = Window.partitionBy("employee_id").orderBy(*_PERIOD)
     net = F.col("net_amount")
-    base = records_with_employee(processed_only(rec), emp).select(
-        "employee_id", "employee_code", text.full_name().alias("full_name"), "department", "emp_position",
-        *_PERIOD, "net_amount", "gross_amount", "total_deductions_amount",
-        F.sum(net).over(by_period.rowsBetween(*_RUNNING)).cast(MONEY_SUM).alias("cumulative_earnings"),
-        quotient(F.sum(net).over(by_period.rowsBetween(*_THREE)).cast(MONEY_SUM),
-                 F.count(net).over(by_period.rowsBetween(*_THREE))).alias("rolling_3_month_avg"),
-    )
-    placed = ranked(base, "net_amount", _IDENTITY, [
+    placed = _ranked_pay(rec, emp, ["net_amount", "gross_amount", "total_deductions_amount"], [
         Level(row="overall_rank"),
         Level(("department", *_PERIOD), total="cell_total"),
     ], slots)
-    return placed.select(
+    placed = placed.withColumns({
+        "cumulative_earnings": F.sum(net).over(by_period.rowsBetween(*_RUNNING)).cast(MONEY_SUM),
+        "rolling_3_month_avg": quotient(F.sum(net).over(by_period.rowsBetween(*_THREE)).cast(MONEY_SUM),
+                                        F.count(net).over(by_period.rowsBetween(*_THREE))),
+    })
+    return _described(placed, emp, "emp_position").select(
         "employee_id", "employee_code", "full_name", "department", "emp_position", *_PERIOD,
         "net_amount", "gross_amount", "total_deductions_amount",
         "cumulative_earnings", "rolling_3_month_avg",

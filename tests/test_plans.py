@@ -70,6 +70,8 @@ def test_rankings_never_gather_one_partition(spark, stored, view, monkeypatch):
     final = view(stored["payroll_records"], stored["employees"])
     rows = [text for label, text in seen if label == "ranked-rows"]
     assert rows and all("SinglePartition" not in text for text in rows)
+    # only narrow rows are ranged and dealt out by slot
+    assert not any(name in text for text in rows for name in ("employee_code", "first_name", "full_name", "emp_position"))
     # the only single-task window runs over one row per slot
     assert {label for label, text in seen if "SinglePartition" in text} <= {"slot-shifts"}
     for after in plan(final).split("Exchange SinglePartition")[1:]:

@@ -26,6 +26,7 @@ RUN_TS, DONE_TS = "2024-03-01 00:00:00", "2024-03-01 00:05:00"
 YEAR, MONTH, DEPARTMENT = 2007, 3, "MACHINERY"
 NEW_YEAR, NEW_MONTH = 2026, 5
 DAY_FROM, DAY_TO = "2024-01-10", "2024-01-12"
+ANY_CASE = "UTF8_LCASE"
 PAGE = 200  # rows of one page of the audit screen
 
 
@@ -129,6 +130,11 @@ def _paid(i: Inputs) -> DataFrame:
     return i.rec.filter(F.col("payroll_status") == "paid")
 
 
+def _two_spellings(emp: DataFrame) -> DataFrame:
+    """Every other employee's department in lower case."""
+    return emp.withColumn("department", F.when(F.col("employee_id") % 2 == 1, F.lower("department")).otherwise(F.col("department")))
+
+
 def _staff(i: Inputs) -> DataFrame:
     """Employees with and without payroll records."""
     return i.emp.unionByName(i.derived("recruits"))
@@ -265,6 +271,17 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
         filters.processed_only(i.rec).select("employee_id", "payroll_year", "payroll_month", "net_amount"),
         [F.desc("net_amount"), F.col("employee_id"), F.col("payroll_year"), F.col("payroll_month")],
         "overall_rank"),
+    # the same where departments are spelled in two ways, grouped under a collation
+    "department_summary_collated": lambda i: agg.department_summary(i.rec, _two_spellings(i.emp), ANY_CASE),
+    "department_distribution_collated": lambda i: agg.department_distribution(_two_spellings(i.emp), collation=ANY_CASE),
+    "payroll_estimate_department_collated": lambda i: agg.payroll_estimate(
+        _two_spellings(i.emp), "department", DEPARTMENT, collation=ANY_CASE),
+    "payroll_estimate_by_department_collated": lambda i: agg.payroll_estimate_by_department(_two_spellings(i.emp), ANY_CASE),
+    "employee_payroll_ranking_collated": lambda i: windows.employee_payroll_ranking(
+        i.rec, _two_spellings(i.emp), collation=ANY_CASE),
+    "department_trends_collated": lambda i: windows.department_trends(i.rec, _two_spellings(i.emp), collation=ANY_CASE),
+    "employee_payroll_analytics_collated": lambda i: windows.employee_payroll_analytics(
+        i.rec, _two_spellings(i.emp), collation=ANY_CASE),
     # top-k listings
     "recent_employees": lambda i: topk.recent_employees(i.emp),
     "fact_detail": lambda i: topk.fact_detail(i.star),

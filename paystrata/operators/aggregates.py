@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paystrata.functions import calendar, text
 from paystrata.functions.money import mean, percent, quotient, total, total_or_zero
 from paystrata.operators.filters import processed_only, select_payees
-from paystrata.operators.joins import records_with_employee, star_join
+from paystrata.operators.joins import one_spelling, records_with_employee, star_join
 from paystrata.operators.ranking import global_row_number
 from paystrata.schema import MONEY, MONEY_SUM, RATIO
 
@@ -41,8 +41,9 @@ def monthly_summary(rec: DataFrame) -> DataFrame:
                                         *summary.columns[2:]))
 
 
-def department_summary(rec: DataFrame, emp: DataFrame) -> DataFrame:
+def department_summary(rec: DataFrame, emp: DataFrame, collation: str | None = None) -> DataFrame:
     """Per department and period, with the department's active headcount."""
+    emp = one_spelling(emp, collation)
     headcount = (
         emp.filter(F.col("emp_status") == "active").groupBy("department")
         .agg(F.count("*").alias("total_dept_employees"))
@@ -120,8 +121,9 @@ def history_summary(rec: DataFrame) -> DataFrame:
     )
 
 
-def department_distribution(emp: DataFrame, slots: int | None = None) -> DataFrame:
+def department_distribution(emp: DataFrame, slots: int | None = None, collation: str | None = None) -> DataFrame:
     """Headcount, share of all employees and position of each department."""
+    emp = one_spelling(emp, collation)
     heads = emp.groupBy(F.coalesce("department", F.lit("Unknown")).alias("department")) \
         .agg(F.count("*").alias("emp_count"))
     everyone = emp.agg(F.count("*").alias("all_employees"))
@@ -168,18 +170,18 @@ _GROSS_FACTOR = "1.15"
 
 
 def payroll_estimate(emp: DataFrame, mode: str = "all", department: str | None = None,
-                     ids: Iterable[int] | DataFrame | None = None) -> DataFrame:
+                     ids: Iterable[int] | DataFrame | None = None, collation: str | None = None) -> DataFrame:
     """Headcount and estimated gross of a selection."""
-    chosen = select_payees(emp, mode, department, ids)
+    chosen = select_payees(emp, mode, department, ids, collation)
     return chosen.agg(
         F.count("*").alias("employee_count"),
         F.round(total_or_zero("basic_salary") * F.lit(_GROSS_FACTOR).cast("decimal(3,2)"), 2)
         .cast(MONEY_SUM).alias("estimated_gross"))
 
 
-def payroll_estimate_by_department(emp: DataFrame) -> DataFrame:
+def payroll_estimate_by_department(emp: DataFrame, collation: str | None = None) -> DataFrame:
     return (
-        select_payees(emp).groupBy("department")
+        select_payees(one_spelling(emp, collation)).groupBy("department")
         .agg(F.count("*").alias("employee_count"), total("basic_salary").alias("basic_salary_sum"))
     )
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paystrata.functions import text
+from paystrata.sources.staging import staged
+
 # Columns of the employee side that records also have or that no report needs.
 _EMPLOYEE_ONLY = ["employee_id", "employee_code", "first_name", "last_name", "department", "emp_position"]
 
@@ -18,6 +21,24 @@ def records_with_employee(rec: DataFrame, emp: DataFrame) -> DataFrame:
     return rec.join(emp.select(*_EMPLOYEE_ONLY), "employee_id")
 
 
+def one_spelling(emp: DataFrame, collation: str | None) -> DataFrame:
+    """Employees with one spelling per department: the smallest of those that are equal under the collation.
+
+    Without a collation nothing changes. The spellings are written first: one
+    row per department, which the planner broadcasts by its size.
+    """
+    if not collation:
+        return emp
+    key = text.collated(F.col("department"), collation)
+    spellings = staged(emp.filter(F.col("department").isNotNull()).groupBy(key.alias("_key")).agg(
+        F.min("department").alias("_spelling")).select("_spelling"), "spellings")
+    return (
+        emp.withColumn("_key", key)
+        .join(spellings.withColumn("_key", text.collated(F.col("_spelling"), collation)), "_key", "left")
+        .withColumn("department", F.coalesce("_spelling", "department")).select(emp.columns)
+    )
+
+
 def star_join(star: dict[str, DataFrame]) -> DataFrame:
     """Facts with their three dimensions; a NULL key drops the fact."""
     dim_employee = star["dim_employee"].withColumnRenamed("loaded_at", "employee_loaded_at") \

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from paystrata.functions import calendar, text
 from paystrata.functions.money import percent, quotient, total
 from paystrata.operators.filters import processed_only
-from paystrata.operators.joins import records_with_employee
+from paystrata.operators.joins import one_spelling, records_with_employee
 from paystrata.operators.ranking import Level, ntile_of, ranked
 from paystrata.schema import MONEY_SUM, RATIO
 from paystrata.sources.staging import staged
@@ -43,8 +43,10 @@ def _described(rows: DataFrame, emp: DataFrame, *columns: str) -> DataFrame:
     return rows.join(people, "employee_id")
 
 
-def employee_payroll_ranking(rec: DataFrame, emp: DataFrame, slots: int | None = None) -> DataFrame:
+def employee_payroll_ranking(rec: DataFrame, emp: DataFrame, slots: int | None = None,
+                             collation: str | None = None) -> DataFrame:
     """Each processed record ranked in its department and period, its department, and overall."""
+    emp = one_spelling(emp, collation)
     placed = _ranked_pay(rec, emp, ["net_amount"], [
         Level(row="overall_rank"),
         Level(("department",), row="dept_row", dense="dense_rank_in_dept", count="dept_rows", total="dept_total"),
@@ -73,11 +75,13 @@ def employee_payroll_ranking(rec: DataFrame, emp: DataFrame, slots: int | None =
     )
 
 
-def department_trends(rec: DataFrame, emp: DataFrame, slots: int | None = None) -> DataFrame:
+def department_trends(rec: DataFrame, emp: DataFrame, slots: int | None = None,
+                      collation: str | None = None) -> DataFrame:
     """Department payroll per period against its own past, and ranked over all.
 
     The aggregate comes first, so a department's window holds one row per month.
     """
+    emp = one_spelling(emp, collation)
     grouped = (
         records_with_employee(processed_only(rec), emp)
         .groupBy("department", *_PERIOD)
@@ -104,8 +108,10 @@ def department_trends(rec: DataFrame, emp: DataFrame, slots: int | None = None)
     )
 
 
-def employee_payroll_analytics(rec: DataFrame, emp: DataFrame, slots: int | None = None) -> DataFrame:
+def employee_payroll_analytics(rec: DataFrame, emp: DataFrame, slots: int | None = None,
+                               collation: str | None = None) -> DataFrame:
     """Running total, three-row average, department share and overall rank per record."""
+    emp = one_spelling(emp, collation)
     by_period = Window.partitionBy("employee_id").orderBy(*_PERIOD)
     net = F.col("net_amount")
     placed = _ranked_pay(rec, emp, ["net_amount", "gross_amount", "total_deductions_amount"], [

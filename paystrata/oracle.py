@@ -657,6 +657,10 @@ def oracle_sql() -> dict[str, str]:
     }
     # queries that return one of the expressions as it is
     sql["export_json"] = sql["employee_roster"]
+    # the smallest spelling is the one in capitals, which the lens gives without collation
+    for name in ("department_summary", "department_distribution", "payroll_estimate_department",
+                 "payroll_estimate_by_department", "employee_payroll_ranking", "department_trends", "employee_payroll_analytics"):
+        sql[f"{name}_collated"] = sql[name]
     for job in ("run_payroll", "merge_payroll", "delete_period"):
         sql[f"published_{job}"] = sql[job]
     for table in ("dim_department", "dim_employee", "dim_time", "fact_payroll"):

@@ -5,8 +5,35 @@ On a cluster the platform hands over the session; nothing here is needed then.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Needed by operators that run Python in tasks, where the package is neither
+    installed on the workers nor submitted with the application.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="paystrata-code-"), "paystrata.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    file.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8,
                   app: str = "paystrata", **conf: str) -> SparkSession:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from paystrata.llm import lines, mixing, packing, quality, simhash
 from paystrata.llm.tokens import vocabulary_path
+from paystrata.session import ship_package
 from paystrata.sources.staging import staged
 
 ORACLE_SQL = None
@@ -50,13 +51,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary_path())
 
 
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("mix_sources", mix_sources),
-    ("pack", pack),
-]
+def _shipped(stage):
+    """The stage, after the workers have got the package."""
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [(stage.__name__, _shipped(stage)) for stage in (quality_rules, near_dedup, substring_dedup, mix_sources, pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

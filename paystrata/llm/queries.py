@@ -16,13 +16,22 @@ from paystrata.llm.simhash import op10_simhash_near_dedup
 from paystrata.llm.suffixes import op3_suffix_dedup
 from paystrata.llm.tokenfile import op7_token_files
 from paystrata.llm.toxicity import op1_toxicity
+from paystrata.session import ship_package
 
 _QUERIES = (op1_toxicity, op2_mix_sources, op3_suffix_dedup, op4_quality_rules, op5_license_scan, op6_embedding_near_dedup,
             op7_token_files, op8_substring_dedup, op9_pack, op10_simhash_near_dedup)
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the workers have got the package."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, folder)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in _QUERIES}
+    return {query.__name__: _shipped(query) for query in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -84,7 +84,7 @@ class ToxicModel:
     neutral: float = -0.1
     rate: float = 1.0
     constant: float = 0.01
-    weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0)
+    weights: tuple[float, ...] = (-3.0, 0.0, 0.0, 0.0, 0.0)
 
     def word_scores(self) -> "_Scores":
         return _Scores(self.lexicon)
@@ -99,10 +99,10 @@ class ToxicModel:
         return maximal_segments(marked, [values[i] for i in marked], self.neutral) if marked else []
 
     def inputs(self, found: list[tuple[int, int, float]], n: int) -> list[float]:
-        """Best bits, sum of the significant passages' bits, passages a hundred words."""
+        """Best bits, sum of the significant passages' bits, passages a hundred words, and passages."""
         bits = [self.bits(s, n) for _, _, s in found]
         good = [b for b in bits if b > 0]
-        return [max(bits, default=0.0) / 10, np.log1p(sum(good)), 100 * len(found) / max(n, 20)]
+        return [max(bits, default=0.0) / 10, np.log1p(sum(good)), 100 * len(found) / max(n, 20), np.log1p(len(found))]
 
     def probability(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + rows @ np.array(self.weights[1:]), -35, 35)))
@@ -270,7 +270,7 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
                     spans.append([{"start": at[a][0], "end": at[b][1], "bits": model.bits(s, len(words))} for a, b, s in good])
                 else:
                     spans.append([])
-            score = model.probability(np.array(rows).reshape(-1, 3))
+            score = model.probability(np.array(rows).reshape(-1, 4))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(spans, kind)], ["doc_id", "score", "passages"])
     return docs.select("doc_id", "text").mapInArrow(

@@ -66,7 +66,7 @@ def test_held_out_and_passages(spark, documents):
 
 
 def test_nulls_empty_long_and_clashing(spark, documents):
-    model = ToxicModel({"vile": (9.0, 4.0)}, -0.1, 1.0, 0.01, (-2.0, 1.0, 1.0, 0.1))
+    model = ToxicModel({"vile": (9.0, 4.0)}, -0.1, 1.0, 0.01, (-2.0, 1.0, 1.0, 0.1, 0.1))
     docs = documents([(1, None), (2, ""), (3, "1 2 3 ..."), (4, "İ vile " * 3), (None, "vile " * 100_000)])
     rows = {r["doc_id"]: r for r in toxic_passages(docs.withColumnRenamed("lang", "score").withColumnRenamed("source", "kind"), model).collect()}
     assert rows[1]["score"] == rows[2]["score"] == rows[3]["score"] < rows[4]["score"] <= rows[None]["score"]

@@ -250,6 +250,7 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "processed_periods": lambda i: agg.processed_periods(i.rec),
     "payroll_trend": lambda i: agg.payroll_trend(i.rec),
     "history_summary": lambda i: agg.history_summary(i.rec),
+    "history_summary_labels": lambda i: agg.history_summary_labels(i.rec),
     "department_distribution": lambda i: agg.department_distribution(i.emp),
     "dashboard_kpis": lambda i: agg.dashboard_kpis(i.emp, i.rec),
     "employee_stats": lambda i: agg.employee_stats(i.emp),

@@ -121,6 +121,12 @@ def history_summary(rec: DataFrame) -> DataFrame:
     )
 
 
+def history_summary_labels(rec: DataFrame) -> DataFrame:
+    """The history summary as it is shown: amounts with thousands separators."""
+    amounts = ("total_paid", "avg_pay", "highest_pay", "lowest_pay")
+    return history_summary(rec).withColumns({name: text.amount_text(F.col(name)) for name in amounts})
+
+
 def department_distribution(emp: DataFrame, slots: int | None = None, collation: str | None = None) -> DataFrame:
     """Headcount, share of all employees and position of each department."""
     emp = one_spelling(emp, collation)

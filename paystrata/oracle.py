@@ -34,6 +34,13 @@ def _percent(part: str, whole: str) -> str:
     return _half_up(f"10000 * {_cents(part)}", _cents(whole))
 
 
+def _shown(amount: str) -> str:
+    """An amount with thousands separators."""
+    cents = f"abs({_cents(amount)})"
+    whole = "format('{:,}', " + f"CAST({cents} // 100 AS BIGINT))"
+    return f"(CASE WHEN {amount} < 0 THEN '-' ELSE '' END || {whole} || '.' || lpad(CAST({cents} % 100 AS VARCHAR), 2, '0'))"
+
+
 def _sum(amount: str) -> str:
     return f"CAST(sum({amount}) AS DECIMAL(22,2))"
 
@@ -437,6 +444,11 @@ def oracle_sql() -> dict[str, str]:
         "history_summary": _with(f"""SELECT count(*) AS total_records, {_sum0('net_amount')} AS total_paid,
             coalesce({_mean('net_amount')}, 0) AS avg_pay, max(net_amount) AS highest_pay, min(net_amount) AS lowest_pay,
             count(DISTINCT employee_id) AS unique_employees FROM processed""", "processed"),
+        "history_summary_labels": _with(f"""SELECT total_records, {_shown('total_paid')} AS total_paid, {_shown('avg_pay')} AS avg_pay,
+            {_shown('highest_pay')} AS highest_pay, {_shown('lowest_pay')} AS lowest_pay, unique_employees
+            FROM (SELECT count(*) AS total_records, {_sum0('net_amount')} AS total_paid,
+                coalesce({_mean('net_amount')}, 0) AS avg_pay, max(net_amount) AS highest_pay, min(net_amount) AS lowest_pay,
+                count(DISTINCT employee_id) AS unique_employees FROM processed)""", "processed"),
         "department_distribution": _with(f"""SELECT row_number() OVER (ORDER BY emp_count DESC, department) AS position,
             department, emp_count, {_half_up('CAST(1000 * emp_count AS HUGEINT)',
             '(SELECT CAST(count(*) AS HUGEINT) FROM employees)', scale='0.1')} AS percentage

@@ -56,6 +56,7 @@ def validate_employees(candidates: DataFrame, editing: bool = False) -> DataFram
 
     An edit has no code and no hire date of its own.
     """
+    # The messages of the form.
     checks = [
         (_blank("first_name"), "First name required"),
         (_blank("last_name"), "Last name required"),

@@ -96,7 +96,3 @@ KEYS = {
 
 # The allowed states of each enumerated column.
 EMPLOYEE_STATUSES = ("active", "inactive", "terminated")
-PAYROLL_STATUSES = ("draft", "processed", "paid")
-JOB_STATUSES = ("running", "completed", "failed")
-USER_ROLES = ("admin", "staff")
-USER_STATUSES = ("active", "inactive")

@@ -9,6 +9,7 @@ from paystrata.functions.text import action_label
 from paystrata.schema import ACTIVITY_LOGS, ETL_JOBS, WAREHOUSE
 from paystrata.sources.tables import append_table, load_tables
 
+# Fixed value: the name of the warehouse job.
 JOB_NAME = "Payroll ETL"
 
 
@@ -39,6 +40,7 @@ def write_activity(actions: DataFrame, users: DataFrame, folder: str) -> None:
 
 # --- exports ---------------------------------------------------------------
 
+# The headings of the audit export.
 AUDIT_COLUMNS = ["Timestamp", "User", "Action", "Module", "Details", "IP Address"]
 
 

@@ -1,21 +1,40 @@
-"""Encoding texts with a public tokenizer, each distinct chunk once per worker.
+"""Encoding texts with a public tokenizer, each distinct word about once per worker.
 
 The tokenizer drops white space and never forms a token across it, and its
 normalisation never reaches across an ASCII white-space character. So the ids
-of a text are the ids of its white-space separated chunks in a row, and the
-library has to encode a chunk only when it has not been seen lately. The memo
-is emptied when it is full, so memory does not grow with the vocabulary.
+of a text are the ids of its white-space separated chunks in a row, and a chunk
+has to be encoded only when it is not remembered. For the same reason a chunk's
+ids are those of what comes before its closing punctuation, and of the
+punctuation, if the two meet at an ASCII letter or digit; and A-Z may be put in
+lower case first, as the tokenizer does so itself, unless a combining mark
+could join the letter or the chunk could name a special token.
+
+The memo is bounded. When it is full, the half that was learnt last goes: words
+met early are the frequent ones.
 """
 
 from __future__ import annotations
 
 import os
 from functools import cache
+from itertools import islice
 
 import numpy as np
 
 END_ID = 1
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 1_000_000
+_CLOSING = b".,!?;:"
+
+
+def parts_of(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk's word in the form it is remembered in, and its closing punctuation."""
+    word = chunk.rstrip(_CLOSING)
+    if not word or not word[-1:].isalnum():
+        word = chunk
+    if word.isascii() or not (b"\xcc" in word or b"\xcd" in word):  # first bytes of the combining marks
+        if b"<|" not in word:
+            return word.lower(), chunk[len(word):]
+    return word, chunk[len(word):]
 
 
 class ChunkEncoder:
@@ -26,7 +45,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.end = np.uint32(end_id).astype("<u4").tobytes()
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
@@ -35,16 +54,20 @@ class ChunkEncoder:
             chunks = text.split()
             missing = set(chunks).difference(self.memo)
             if missing:
-                if len(self.memo) + len(missing) > MEMO_CHUNKS:
-                    self.memo.clear()
-                    missing = set(chunks)
+                if len(self.memo) + 2 * len(missing) > MEMO_CHUNKS:
+                    self.memo = dict(islice(self.memo.items(), MEMO_CHUNKS // 2))
+                    missing = set(chunks).difference(self.memo)
                 self._learn(sorted(missing))
             done.append(b"".join(map(self.memo.__getitem__, chunks)) + self.end)
         return done
 
     def _learn(self, chunks: list[bytes]) -> None:
-        encoded = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.memo.update(zip(chunks, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        memo = self.memo
+        parts = [parts_of(c) for c in chunks]
+        new = sorted({p for both in parts for p in both if p not in memo})
+        encoded = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        memo.update((c, memo[word] + memo[closing]) for c, (word, closing) in zip(chunks, parts))
 
 
 @cache

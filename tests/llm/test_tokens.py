@@ -15,7 +15,7 @@ from paystrata.llm.tokens import ChunkEncoder, vocabulary_path
 
 tokenizers = pytest.importorskip("tokenizers")
 TEXTS = ["", None, "Plain words, and more words.", "it's we'll DON'T 'S x'd", "<|endoftext|> a<|startoftext|>b <|END|>", "tab\tnl\nvt\x0bff\x0ccr\r\x1c\x1d end",
-         "nbsp here   wide　", "é e ́ İ ΣΣ σΣ. Σ", "日本語 テキスト 123 ½ ²", "emoji 👩‍👩‍👧 ‍ x", "a" * 3000, "\0 nul ﻿ bom", "word " * 5000]
+         "nbsp here   wide　", "é e ́ İ ΣΣ σΣ. Σ", "日本語 テキスト 123 ½ ²", "emoji 👩‍👩‍👧 ‍ x", "a" * 3000, "J\u030c H\u0331, T\u0308. W\u030a! Y\u030aA; I\u0307 E\u0301.", "End. END., 'S 'S. X's. don't. 3.5, <|endoftext|>. <|ENDOFTEXT|>, ...a .a. a.b, ²., Ⅳ.", "\0 nul ﻿ bom", "word " * 5000]
 
 
 @pytest.fixture(scope="module")
@@ -44,12 +44,24 @@ def test_any_text(library, text):
     assert np.frombuffer(tokens.encoder(vocabulary_path()).encode([text.encode()])[0], "<u4").tolist() == library(text)
 
 
+_PIECES = st.sampled_from(["J", "j", "H", "W", "Y", "T", "I", "\u030c", "\u0331", "\u030a", "\u0307", "\u0301", "a", "Z", "9", "²", "é", "É", ".", ",", "!", "'s", "'T", "<|", "|>",
+                           "endoftext", "<|endoftext|>", " ", "\n", "\u00a0", "\x1c", "ß", "Σ", "ǅ", "Ⅳ", "-", ":"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(_PIECES, max_size=14).map("".join))
+def test_texts_of_awkward_pieces(library, text):
+    assert np.frombuffer(tokens.encoder(vocabulary_path()).encode([text.encode()])[0], "<u4").tolist() == library(text)
+
+
 def test_memo_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 5)
+    monkeypatch.setattr(tokens, "MEMO_CHUNKS", 12)
     encoder = ChunkEncoder(vocabulary_path())
     texts = ["one two three", "four five six one", "one two three four five six seven eight"]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [library(t) for t in texts]
-    assert len(encoder.memo) <= 8
+    assert len(encoder.memo) <= 6 + 8
+    encoder.encode([b"nine ten eleven twelve thirteen fourteen"])
+    assert len(encoder.memo) <= 6 + 6 and b"one" in encoder.memo
 
 
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))

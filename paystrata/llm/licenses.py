@@ -29,6 +29,7 @@ from paystrata.llm.words import mixed
 SHINGLE = 5
 _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
+_TOGETHER = 256  # texts whose windows are looked up at once
 
 # The usual wording of license notices and grants.
 TEMPLATES = {
@@ -93,12 +94,40 @@ def shingle_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
 
 @dataclass
 class _Class:
-    """The templates of one length class and the values of their bands."""
+    """The templates of one length class, and by band the MinHash value of each."""
 
     length: int
-    seeds: np.ndarray
-    values: list[np.ndarray]  # by band, ascending MinHash values
-    owners: list[np.ndarray]  # by band, the template of each
+    members: list[int]
+    values: np.ndarray  # bands x members
+
+
+def _permuted(hashes: np.ndarray, band: int) -> np.ndarray:
+    """The permutation of 64-bit values that a band takes the least of."""
+    step = np.uint64(0x9E3779B97F4A7C15 * (2 * band + 1) & (1 << 64) - 1)
+    return (hashes ^ (step >> np.uint64(7))) * (step | np.uint64(1))
+
+
+class _Windows:
+    """Where the windows of one class lie in the shingles of several texts.
+
+    ``at`` are the starts of blocks of L shingles, a text's first block at its
+    first shingle; a window is a block and the next one of the same text.
+    """
+
+    def __init__(self, begins: np.ndarray, sizes: np.ndarray, length: int):
+        blocks = -(-sizes // length)
+        self.text = np.repeat(np.arange(len(sizes)), blocks)
+        self.at = begins[self.text] + (np.arange(len(self.text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * length
+        self.paired = np.flatnonzero(self.text[1:] == self.text[:-1])
+
+    def least(self, blocks: np.ndarray) -> np.ndarray:
+        """Least value of every window, from those of the blocks."""
+        low = blocks.copy()
+        low[self.paired] = np.minimum(blocks[self.paired], blocks[self.paired + 1])
+        return low
+
+
+_FINE = 4  # blocks of longer classes are put together from blocks of this length
 
 
 class LicenseIndex:
@@ -117,38 +146,44 @@ class LicenseIndex:
             t = min(len(self.shingles[i]) for i in members)
             need = int(np.ceil(contained * t))
             bands = bands_needed(need / (2 * length + t - need), missed)
-            seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64) + np.uint64(length << 32))
-            lows = np.array([[mixed(hashes[i] ^ s).min() for i in members] for s in seeds])
-            order = np.argsort(lows, axis=1, kind="stable")
-            self.classes.append(_Class(length, seeds, list(np.take_along_axis(lows, order, 1)), list(np.array(members)[order])))
-
-    def candidates(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first shingle, end) of the windows that meet a template in a band."""
-        found: set[tuple[int, int, int]] = set()
-        n = len(hashes)
-        if not n:
+            values = np.array([[_permuted(hashes[i], band).min() for i in members] for band in range(bands)])
+            self.classes.append(_Class(length, members, values))
+
+    def candidates(self, hashes: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(text, template, first shingle, end) of the windows that meet a template in a band.
+
+        ``hashes`` are the shingles of several texts in a row, ``sizes`` their numbers.
+        """
+        found: set[tuple[int, int, int, int]] = set()
+        texts = np.flatnonzero(sizes)
+        if not len(texts) or not self.classes:
             return found
-        for c in self.classes:
-            starts = np.arange(0, n, c.length)
-            for seed, values, owners in zip(c.seeds, c.values, c.owners):
-                low = np.minimum.reduceat(mixed(hashes ^ seed), starts)
-                low = np.minimum(low, np.r_[low[1:], low[-1:]])
-                at = np.searchsorted(values, low)
-                for window in np.flatnonzero(values[np.minimum(at, len(values) - 1)] == low).tolist():
-                    first = window * c.length
-                    for i in range(int(at[window]), len(values)):
-                        if values[i] != low[window]:
-                            break
-                        found.add((int(owners[i]), first, min(n, first + 2 * c.length)))
+        counts = sizes[texts]
+        begins = np.cumsum(counts) - counts
+        fine = _Windows(begins, counts, _FINE)
+        places = [_Windows(begins, counts, c.length) for c in self.classes]
+        inside = [np.searchsorted(fine.at, w.at) if c.length >= _FINE else None for c, w in zip(self.classes, places)]
+        for band in range(max(len(c.values) for c in self.classes)):
+            permuted = _permuted(hashes, band)
+            blocks = np.minimum.reduceat(permuted, fine.at)
+            for c, windows, at in zip(self.classes, places, inside):
+                if band >= len(c.values):
+                    continue
+                low = windows.least(np.minimum.reduceat(permuted, windows.at) if at is None else np.minimum.reduceat(blocks, at))
+                for template, value in zip(c.members, c.values[band]):
+                    for k in np.flatnonzero(low == value).tolist():
+                        text = int(windows.text[k])
+                        first = int(windows.at[k] - begins[text])
+                        found.add((int(texts[text]), template, first, min(int(counts[text]), first + 2 * c.length)))
         return found
 
-    def matches(self, words: list[str], hashes: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, share) of the verified windows, overlapping ones joined.
+    def matches(self, words: list[str], windows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, share) of the windows of a text that hold their template, overlapping ones joined.
 
         A window's stretch runs from the first to the last shingle of the template in it.
         """
         spans: dict[int, list[tuple[int, int, float]]] = {}
-        for template, first, end in sorted(self.candidates(hashes)):
+        for template, first, end in sorted(windows):
             wanted = self.shingles[template]
             k = min(SHINGLE, len(words))
             here = [(i, tuple(words[i:i + k])) for i in range(first, end)]
@@ -178,12 +213,18 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
         known = _WordHashes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                words = words_of(text.as_py())
-                found = index.matches(words, shingle_hashes(words, known))
-                if found:
-                    at = [m.span() for m in _WORD.finditer(text.as_py())]
-                    rows += [(doc_id.as_py(), index.names[t], at[a][0], at[b - 1][1], share) for t, a, b, share in found]
+            for at in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(at, _TOGETHER)
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                words = [words_of(t) for t in texts]
+                hashes = [shingle_hashes(w, known) for w in words]
+                windows: dict[int, list[tuple[int, int, int]]] = {}
+                for text, *window in index.candidates(np.concatenate(hashes), np.array([len(h) for h in hashes])):
+                    windows.setdefault(text, []).append(tuple(window))
+                for i, mine in sorted(windows.items()):
+                    if found := index.matches(words[i], mine):
+                        spans = [m.span() for m in _WORD.finditer(texts[i])]
+                        rows += [(ids[i], index.names[t], spans[a][0], spans[b - 1][1], share) for t, a, b, share in found]
             columns = list(zip(*rows)) or [()] * 5
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "license", "start", "end", "share"])

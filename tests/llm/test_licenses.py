@@ -54,9 +54,9 @@ def test_bands_meet_the_wanted_probability():
         assert 1 - (1 - similarity) ** bands_needed(similarity) >= 1 - 1e-4
     index = LicenseIndex(TEMPLATES)
     for c in index.classes:
-        t = min(len(index.shingles[i]) for owners in c.owners for i in owners.tolist())
+        t = min(len(index.shingles[i]) for i in c.members)
         need = int(np.ceil(0.8 * t))
-        assert t <= c.length and len(c.seeds) >= bands_needed(need / (2 * c.length + t - need))
+        assert t <= c.length and len(c.values) >= bands_needed(need / (2 * c.length + t - need))
 
 
 def test_hashes_follow_the_shingles():

@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paystrata.llm.tokens import END_ID, encoder, vocabulary_path
+from paystrata.llm.tokens import END_ID, encoder, narrowest, vocabulary_path
 from paystrata.llm.words import utf8
-from paystrata.sources.staging import staged, staging_path
+from paystrata.sources.staging import staging_path
 
 BLOCK_IDS = 1 << 20
 _LENGTHS = np.array([[(control >> 2 * i & 3) + 1 for i in range(4)] for control in range(256)], np.int64)
@@ -55,24 +55,24 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     return ranks
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): every document's ids as little-endian unsigned 32-bit values."""
+def token_ids(docs: DataFrame, path: str, end_id: int = END_ID, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids): every document's ids as little-endian unsigned values of that type."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = encoder(path, end_id).encode(utf8(part.column(1)))
+                ids = encoder(path, end_id, kind).encode(utf8(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, kind: str = "<u4") -> DataFrame:
     """(id, n) over all documents; a task sends one row for each id of the vocabulary it met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for value in batch.column(0):
-                more = np.bincount(np.frombuffer(value.as_buffer(), "<u4"))
+                more = np.bincount(np.frombuffer(value.as_buffer(), kind))
                 if len(more) > len(counts):
                     more, counts = counts, more
                 counts[:len(more)] += more
@@ -89,8 +89,12 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     first. Only the id counts reach the driver: one row per vocabulary entry.
     """
     spark = docs.sparkSession
-    ids = staged(token_ids(docs, path, end_id), "token-ids")
-    ranked = np.array([r["id"] for r in id_counts(ids).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
+    kind = narrowest(path, end_id)
+    size = np.dtype(kind).itemsize
+    place = staging_path(spark, "token-ids")
+    token_ids(docs, path, end_id, kind).write.option("compression", "zstd").parquet(place)
+    ids = spark.read.schema("doc_id long, ids binary").parquet(place)
+    ranked = np.array([r["id"] for r in id_counts(ids, kind).orderBy(F.desc("n"), "id").select("id").collect()], np.int64)
     spark.createDataFrame(pa.table({"rank": np.arange(len(ranked)), "id": ranked}).to_pandas(), "rank long, id long") \
         .coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(int(ranked.max(initial=0)) + 1, np.uint32)
@@ -100,10 +104,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
         file_no, block_no, doc_ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            control, data = encode_ranks(rank_of[np.frombuffer(b"".join(parts), "<u4")])
+            control, data = encode_ranks(rank_of[np.frombuffer(b"".join(parts), kind)])
             return pa.RecordBatch.from_arrays(
                 [pa.array([file_no], pa.int32()), pa.array([block_no], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())),
-                 pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), pa.array([held], pa.int64()),
+                 pa.array([[len(p) // size for p in parts]], pa.list_(pa.int64())), pa.array([held], pa.int64()),
                  pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 ["file_no", "block_no", "doc_ids", "counts", "n_ids", "control", "data"])
 
@@ -111,7 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
                 parts.append(value)
-                held += len(value) // 4
+                held += len(value) // size
                 if held >= BLOCK_IDS:
                     yield block()
                     block_no, doc_ids, parts, held = block_no + 1, [], [], 0
@@ -121,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = END
     count = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(
         run, "file_no int, block_no int, doc_ids array<long>, counts array<long>, n_ids long, control binary, data binary",
-    ).write.parquet(f"{folder}/blocks")
+    ).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,13 +38,14 @@ def parts_of(chunk: bytes) -> tuple[bytes, bytes]:
 
 
 class ChunkEncoder:
-    """Token ids of texts as little-endian unsigned 32-bit values, the end id included."""
+    """Token ids of texts as little-endian unsigned values, of 32 bits unless told otherwise, the end id included."""
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.end = np.uint32(end_id).astype("<u4").tobytes()
+        self.kind = kind
+        self.end = np.array([end_id], kind).tobytes()
         self.memo: dict[bytes, bytes] = {b"": b""}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -66,14 +67,21 @@ class ChunkEncoder:
         parts = [parts_of(c) for c in chunks]
         new = sorted({p for both in parts for p in both if p not in memo})
         encoded = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        memo.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded)))
+        memo.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in encoded)))
         memo.update((c, memo[word] + memo[closing]) for c, (word, closing) in zip(chunks, parts))
 
 
 @cache
-def encoder(path: str, end_id: int = END_ID) -> ChunkEncoder:
+def encoder(path: str, end_id: int = END_ID, kind: str = "<u4") -> ChunkEncoder:
     """The encoder of this worker for one tokenizer file."""
-    return ChunkEncoder(path, end_id)
+    return ChunkEncoder(path, end_id, kind)
+
+
+def narrowest(path: str, end_id: int = END_ID) -> str:
+    """The narrowest type that holds every id of a tokenizer: 16 bits where they do, else 32."""
+    from tokenizers import Tokenizer
+    most = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    return "<u2" if most < 1 << 16 else "<u4"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:

@@ -84,11 +84,12 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Offsets count characters of the original text. Null and empty texts have no
     units. Repeated rows of one doc_id and text hold their units at the same
     place, so they lose none to each other and lose the same to earlier
-    documents. Other columns of ``docs`` are not read.
+    documents. A document without a doc_id counts as the earliest and loses
+    nothing. Other columns of ``docs`` are not read.
     """
     units = staged(text_units(docs, min_words), "units")
-    groups = units.groupBy("high", "low").agg(
-        F.min(F.struct(F.col("doc_id"), F.col("start"))).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    groups = staged(units.groupBy("high", "low").agg(
+        F.min(F.struct(F.col("doc_id"), F.col("start"))).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "unit-groups")
     return units.join(groups, ["high", "low"]).filter(
         (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select(
             "doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),

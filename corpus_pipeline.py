@@ -29,11 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
     """
-    first = simhash.simhash_groups(docs).filter("doc_id = component_id")
-    kept = staged(first.groupBy("doc_id").agg(F.count("*").alias("rows")), "near-kept")
-    once = docs.join(kept.filter("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(kept.filter("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    rows = simhash.simhash_groups(docs).filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("rows"))
+    # What goes or is repeated is the smaller part, so the join is on that.
+    touched = staged(rows.filter("doc_id <> component_id or rows > 1"), "near-touched")
+    untouched = docs.join(touched, "doc_id", "left_anti")
+    repeated = docs.join(touched.filter("doc_id = component_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return untouched.unionByName(repeated)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,8 +48,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return packing.pack(docs, vocabulary_path())
+    """The pieces of the packed sequences.
+
+    Workers have run the stages before and keep memory from them, so they
+    remember fewer words than for packing alone.
+    """
+    return packing.pack(docs, vocabulary_path(), memo=250_000)
 
 
 def _shipped(stage):

@@ -183,12 +183,13 @@ def cut(tokens: int, window: int = WINDOW, unit: int = UNIT) -> list[tuple[int,
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT, end_id: int = END_ID,
-         with_ids: bool = False) -> DataFrame:
+         with_ids: bool = False, memo: int | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often
     as they occur. Sequences are gapless from 0 and at most ``window`` long;
-    ``unit`` must divide ``window``. Other columns of ``docs`` are not read.
+    ``unit`` must divide ``window``. ``memo`` bounds the chunks a worker remembers
+    (its memory against time), if not the usual number. Other columns of ``docs`` are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, seen = TaskContext.get().partitionId(), {}
@@ -196,7 +197,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT, end
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path, end_id).encode(utf8(part.column(1)))):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(path, end_id, most=memo).encode(utf8(part.column(1)))):
                     total = len(ids) // 4
                     for start, length in cut(total, window, unit):
                         number = seen[length] = seen.get(length, -1) + 1

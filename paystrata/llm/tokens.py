@@ -40,11 +40,12 @@ def parts_of(chunk: bytes) -> tuple[bytes, bytes]:
 class ChunkEncoder:
     """Token ids of texts as little-endian unsigned values, of 32 bits unless told otherwise, the end id included."""
 
-    def __init__(self, path: str, end_id: int = END_ID, kind: str = "<u4"):
+    def __init__(self, path: str, end_id: int = END_ID, kind: str = "<u4", most: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.kind = kind
+        self.most = MEMO_CHUNKS if most is None else most
         self.end = np.array([end_id], kind).tobytes()
         self.memo: dict[bytes, bytes] = {b"": b""}
 
@@ -55,8 +56,8 @@ class ChunkEncoder:
             chunks = text.split()
             missing = set(chunks).difference(self.memo)
             if missing:
-                if len(self.memo) + 2 * len(missing) > MEMO_CHUNKS:
-                    self.memo = dict(islice(self.memo.items(), MEMO_CHUNKS // 2))
+                if len(self.memo) + 2 * len(missing) > self.most:
+                    self.memo = dict(islice(self.memo.items(), self.most // 2))
                     missing = set(chunks).difference(self.memo)
                 self._learn(sorted(missing))
             done.append(b"".join(map(self.memo.__getitem__, chunks)) + self.end)
@@ -72,9 +73,9 @@ class ChunkEncoder:
 
 
 @cache
-def encoder(path: str, end_id: int = END_ID, kind: str = "<u4") -> ChunkEncoder:
-    """The encoder of this worker for one tokenizer file."""
-    return ChunkEncoder(path, end_id, kind)
+def encoder(path: str, end_id: int = END_ID, kind: str = "<u4", most: int | None = None) -> ChunkEncoder:
+    """The encoder of this worker for one tokenizer file, with a memo of at most ``most`` chunks."""
+    return ChunkEncoder(path, end_id, kind, most)
 
 
 def narrowest(path: str, end_id: int = END_ID) -> str:

@@ -12,6 +12,14 @@ words. Equal digests are grouped over all documents; the earliest unit by
 The earliest unit of a digest is a minimum, which combines before the shuffle,
 so no group of copies meets in one task; the join that names the others is a
 plain equi-join that adaptive execution splits when one digest is frequent.
+
+Host text shifts the units at the ends of a passage that lies inside a line. So
+runs of words are looked up too, wherever they lie: of ``_window`` runs of
+``_gram`` words in a row the one with the least hash is an anchor, so every
+passage of PASSAGE words holds an anchor that its own words choose. Anchors that
+occur earlier are chained, the ends of a chain are moved outward word by word
+along the earliest occurrence, and chains of PASSAGE words or more go. Only
+texts at the end of a chain are read for that, a bounded number of words each.
 """
 
 from __future__ import annotations
@@ -22,12 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paystrata.llm.words import WORD, mixed
 from paystrata.sources.staging import staged
 
 MIN_WORDS = 5
+#: Words of a passage that is found wherever it lies.
+PASSAGE = 50
+_MEMO = 200_000
+_PLACE = re.compile(WORD)
 #: Up to and with a line end, or the spaces after a sentence end.
 UNIT = re.compile(r"(?:[^\n.!?]+|[.!?]+[^ \t\n.!?])*(?:\n|[.!?]+(?:[ \t]+\n?|\n)|[.!?]*\Z)")
 
@@ -56,30 +69,46 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, byte
     return found
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text): the key tells apart different texts of one doc_id."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+
+
 def text_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, length, high, low): the units of every document, with 128-bit digests."""
+    """(doc_id, text_key, start, length, high, low): the units of every document, with 128-bit digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for at in range(0, len(ids), 512):
-                doc, start, length, digests = [], [], [], []
-                for doc_id, text in zip(ids[at:at + 512], texts[at:at + 512].to_pylist()):
+                part = slice(at, at + 512)
+                doc, key, start, length, digests = [], [], [], [], []
+                for doc_id, text_key, text in zip(ids[part], keys[part], texts[part].to_pylist()):
                     for a, b, words in units_of(text or "", min_words):
                         doc.append(doc_id)
+                        key.append(text_key)
                         start.append(a)
                         length.append(b - a)
                         digests.append(digest(words))
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
+                    [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
                      pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                    ["doc_id", "start", "length", "high", "low"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start int, length int, high long, low long")
+                    ["doc_id", "text_key", "start", "length", "high", "low"])
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, start int, length int, high long, low long")
+
+
+def _later(rows: DataFrame, at: str, label: str) -> DataFrame:
+    """The rows whose digest occurs earlier, with ``first`` (doc_id, text_key, at) and ``copies``."""
+    groups = staged(rows.groupBy("high", "low").agg(
+        F.min(F.struct("doc_id", "text_key", at)).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), label)
+    return rows.join(groups, ["high", "low"]).filter(
+        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key"))
+        | (F.col(at) != F.col(f"first.{at}")))
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, length, first_doc_id, first_start, copies) of every unit to remove.
+    """(doc_id, start, length, first_doc_id, first_start, copies, text_key) of every unit to remove.
 
     Offsets count characters of the original text. Null and empty texts have no
     units. Repeated rows of one doc_id and text hold their units at the same
@@ -88,12 +117,159 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     nothing. Other columns of ``docs`` are not read.
     """
     units = staged(text_units(docs, min_words), "units")
-    groups = staged(units.groupBy("high", "low").agg(
-        F.min(F.struct(F.col("doc_id"), F.col("start"))).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "unit-groups")
-    return units.join(groups, ["high", "low"]).filter(
-        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select(
-            "doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),
-            F.col("first.start").alias("first_start"), "copies")
+    return _later(units, "start", "unit-groups").select(
+        "doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.start").alias("first_start"), "copies", "text_key")
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _MEMO:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def _gram(passage: int) -> int:
+    """Words of an anchor: at least as many as there are starts in a window, so that anchors in a row touch."""
+    return passage // 2 + 1
+
+
+def _window(passage: int) -> int:
+    return passage - _gram(passage) + 1
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def anchors_of(hashes: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
+    """First words of the anchors of a text of these word hashes: at least one in every ``passage`` words."""
+    gram, window = _gram(passage), _window(passage)
+    count = len(hashes) - gram + 1
+    if count < window:
+        return np.zeros(0, np.int64)
+    total, value, width, done, rest = np.zeros(count, np.uint64), hashes, 1, 0, gram
+    while rest:  # runs of 1, 2, 4, ... words, put together to ``gram``
+        if rest & 1:
+            total = mixed(total + value[done:done + count])
+            done += width
+        rest >>= 1
+        if rest:
+            value = mixed(mixed(value[:-width]) + value[width:])
+            width *= 2
+    chosen = np.pad(_least(total, window), window - 1)
+    return np.flatnonzero(total == ~_least(~chosen, window))
+
+
+def text_anchors(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, text_key, at, high, low): the anchors of every document by their first word, with 128-bit digests."""
+    gram = _gram(passage)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, known = xxhash.xxh3_128_digest, _WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                places, digests = [np.zeros(0, np.int64)], []
+                for text in part.column(2).to_pylist():
+                    words = (text or "").encode().lower().split()
+                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    places.append(anchors_of(hashes, passage))
+                    digests += [digest(hashes[i:i + gram].tobytes()) for i in places[-1].tolist()]
+                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(p) for p in places[1:]]))
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.int64()).take(owner), part.column(1).take(owner), pa.array(np.concatenate(places).astype(np.int32)),
+                     pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
+                    ["doc_id", "text_key", "at", "high", "low"])
+    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, at int, high long, low long")
+
+
+def surroundings(text: str, spots: list[tuple[int, int]], gram: int, reach: int) -> Iterator[tuple[list[str], list[int]]]:
+    """For each (first word of an anchor, side): up to ``reach`` words beside it, outward, and the offsets before, between and after them.
+
+    Side 0 is the left one and offsets are where words begin; on side 1 they are
+    where words end, with the blanks that follow on the line.
+    """
+    spans = [m.span() for m in _PLACE.finditer(text)]
+
+    def after(i: int) -> int:
+        gap = text[spans[i][1]:spans[i + 1][0] if i + 1 < len(spans) else len(text)]
+        return spans[i][1] + len(gap) - len(gap.lstrip(" \t"))
+
+    for at, side in spots:
+        if side:
+            near, edge = range(at + gram, min(at + gram + reach, len(spans))), after
+            offsets = [after(at + gram - 1)]
+        else:
+            near, edge = range(at - 1, max(at - reach, 0) - 1, -1), lambda i: spans[i][0]
+            offsets = [spans[at][0]]
+        yield [text[a:b].encode().lower().decode() for a, b in (spans[i] for i in near)], offsets + [edge(i) for i in near]
+
+
+def _beside(docs: DataFrame, spots: DataFrame, gram: int, reach: int) -> DataFrame:
+    """(doc_id, text_key, at, side, words, offsets) of the distinct spots (doc_id, text_key, at, side)."""
+    asked = spots.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("at", "side")).alias("spots"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for doc_id, key, text, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    wanted = [(s["at"], s["side"]) for s in wanted]
+                    rows += [(doc_id, key, *spot, *found) for spot, found in zip(wanted, surroundings(text, wanted, gram, reach))]
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)],
+                                                 ["doc_id", "text_key", "at", "side", "words", "offsets"])
+
+    texts = keyed(docs).alias("t").join(asked.alias("s"), F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (
+        F.col("t.text_key") == F.col("s.text_key"))).select("t.doc_id", "t.text_key", "text", "spots")
+    found = texts.mapInArrow(run, "doc_id long, text_key long, at int, side int, words array<string>, offsets array<int>")
+    return staged(found, "passage-ends").dropDuplicates(["doc_id", "text_key", "at", "side"])
+
+
+def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, start, length, first_doc_id, first_start, copies, text_key) of every passage to remove.
+
+    A passage is a run of at least ``passage`` words that occur earlier, wherever
+    it begins and ends. ``first_doc_id`` and ``first_start`` say where its
+    beginning occurs first, ``copies`` how often. Otherwise as ``repeated_units``.
+    """
+    gram, window = _gram(passage), _window(passage)
+    later = _later(staged(text_anchors(docs, passage), "anchors"), "at", "anchor-groups").filter("doc_id is not null")
+    along = Window.partitionBy("doc_id", "text_key").orderBy("at")
+    apart = F.coalesce(F.col("at") - F.lag("at").over(along) > window, F.lit(True)).cast("int")
+    chains = staged(
+        later.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(along)).groupBy("doc_id", "text_key", "chain").agg(
+            F.min(F.struct("at", "first", "copies")).alias("head"), F.max(F.struct("at", "first", "copies")).alias("tail")), "passage-chains")
+    ends = chains.select("doc_id", "text_key", "chain", F.posexplode(F.array("head", "tail")).alias("side", "end")).select(
+        "doc_id", "text_key", "chain", "side", "end.*")
+    beside = _beside(docs, ends.select("doc_id", "text_key", "at", "side").unionByName(ends.select("first.*", "side")), gram, window - 1)
+    own, other = beside.alias("own"), beside.alias("other")
+    both = ends.alias("e").join(own, ["doc_id", "text_key", "at", "side"]).join(
+        other, F.col("e.first.doc_id").eqNullSafe(F.col("other.doc_id")) & (F.col("e.first.text_key") == F.col("other.text_key"))
+        & (F.col("e.first.at") == F.col("other.at")) & (F.col("e.side") == F.col("other.side")))
+    differs = F.array_position(F.zip_with("own.words", "other.words", lambda x, y: x.eqNullSafe(y)), False)
+    moved = both.withColumn("more", F.when(differs == 0, F.size("own.words")).otherwise(differs - 1).cast("int")).select(
+        "e.doc_id", "e.text_key", "chain", F.struct(
+            F.col("e.side").alias("side"), F.col("e.at").alias("at"), "more", F.get("own.offsets", F.col("more")).alias("offset"),
+            F.col("first.doc_id").alias("first_doc_id"), F.get("other.offsets", F.col("more")).alias("first_start"), "copies").alias("end"))
+    whole = moved.groupBy("doc_id", "text_key", "chain").agg(F.min("end").alias("left"), F.max("end").alias("right"))
+    return whole.filter(F.col("right.at") + gram + F.col("right.more") - F.col("left.at") + F.col("left.more") >= passage).select(
+        "doc_id", F.col("left.offset").alias("start"), (F.col("right.offset") - F.col("left.offset")).alias("length"),
+        "left.first_doc_id", "left.first_start", "left.copies", "text_key")
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """Every unit and every passage to remove; a passage's row may cover rows of units."""
+    return repeated_units(docs, min_words).unionByName(repeated_passages(docs, passage))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -106,13 +282,25 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept)
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text`` and ``n_chars`` counted anew where both exist.
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted (start, length) spans with overlapping and touching ones made one."""
+    found: list[tuple[int, int]] = []
+    for start, length in spans:
+        if found and start <= sum(found[-1]):
+            found[-1] = (found[-1][0], max(sum(found[-1]), start + length) - found[-1][0])
+        else:
+            found.append((start, length))
+    return found
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with repeated units and passages cut out of ``text`` and ``n_chars`` counted anew where both exist.
 
     Every row stays, with all its columns, even if its text becomes empty.
     """
-    spans = repeated_units(docs, min_words).select(F.col("doc_id").alias("__doc"), F.struct("start", "length").alias("span")).distinct()
-    cuts = spans.groupBy("__doc").agg(F.array_sort(F.collect_list("span")).alias("__cuts"))
+    spans = repeats(docs, min_words, passage).select(
+        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.struct("start", "length").alias("span")).distinct()
+    cuts = spans.groupBy("__doc", "__key").agg(F.array_sort(F.collect_list("span")).alias("__cuts"))
     names = docs.columns
     at = names.index("text")
 
@@ -120,7 +308,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             columns = {name: batch.column(i) for i, name in enumerate(names)}
             cut = batch.column(len(names)).to_pylist()
-            texts = [t if not c else without(t, [(s["start"], s["length"]) for s in c])
+            texts = [t if not c else without(t, joined_spans([(s["start"], s["length"]) for s in c]))
                      for t, c in zip(columns["text"].to_pylist(), cut)]
             columns["text"] = pa.array(texts, batch.schema.field(at).type)
             if "n_chars" in columns:
@@ -128,10 +316,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 columns["n_chars"] = pa.array(counts, pa.int64()).cast(batch.schema.field(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    joined = docs.join(cuts, F.col("doc_id") == F.col("__doc"), "left").select(*names, "__cuts")
+    joined = docs.join(cuts, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").select(*names, "__cuts")
     return joined.mapInArrow(run, docs.schema)
 
 
 def op8_substring_dedup(spark, folder: str) -> DataFrame:
-    """All documents: one row for each unit that goes, with its original offset and the unit that stays."""
-    return repeated_units(spark.read.parquet(f"{folder}/documents.parquet"))
+    """All documents: one row for each unit or passage that goes, with its original offset and the one that stays."""
+    return repeats(spark.read.parquet(f"{folder}/documents.parquet")).drop("text_key")

@@ -2,7 +2,7 @@
 
 import random
 
-from paystrata.llm.lines import UNIT, remove_repeats, repeated_units, units_of, without
+from paystrata.llm.lines import UNIT, remove_repeats, repeated_passages, repeated_units, units_of, without
 
 
 def brute(docs, min_words=5):
@@ -82,3 +82,41 @@ def test_empty_table_repeated_rows_and_clashing_columns(spark, documents):
     named = docs.withColumnRenamed("lang", "start").withColumnRenamed("source", "span")
     rows = sorted((r["doc_id"] or 0, r["text"]) for r in remove_repeats(named).collect())
     assert rows == [(0, "None of these has a number here."), (1, text), (1, text), (3, "")]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choices("abcdefghi", k=rng.randint(2, 8))) for _ in range(n)]
+
+
+def test_passages_that_start_and_end_in_mid_sentence(spark, documents):
+    whole, stops, short = " ".join(prose(1, 50)), " ".join(w + "." * (i % 9 == 4) for i, w in enumerate(prose(2, 120))), " ".join(prose(3, 40))
+    host = [" ".join(prose(i, 30)) for i in range(10, 22)]
+    rows = [(1, f"{host[0]} {whole} {host[1]}"), (2, f"{host[2]} {whole.upper()}  {host[3]}"),
+            (3, f"{host[4]} {stops} {host[5]}"), (4, f"{host[6]}\n{host[7]} {stops}\n{host[8]}"),
+            (5, f"{host[9]} {short} a"), (6, f"{host[10]} {short} b"), (7, f"{whole} {stops}"), (8, f"{host[11]} {whole}, not the same end")]
+    texts = {r["doc_id"]: r["text"] for r in remove_repeats(documents(rows)).collect()}
+    assert texts[2] == f"{host[2]} {host[3]}" and texts[4] == f"{host[6]}\n{host[7]} \n{host[8]}" and texts[7] == ""
+    # 49 equal words are not a passage
+    assert all(texts[i] == dict(rows)[i] for i in (1, 3, 5, 6, 8))
+
+
+def test_passages_against_their_earliest_copy(spark, documents):
+    rng = random.Random(5)
+    shared = [prose(100 + i, rng.randint(50, 400)) for i in range(12)]
+    rows, planted, seen = [], [], set()
+    for i in range(80):
+        n, words = rng.randrange(12), prose(1000 + i, 60)
+        at = rng.randint(0, 60)
+        rows.append((i, " ".join(words[:at] + shared[n] + words[at:])))
+        if n in seen:
+            planted.append((i, len("".join(w + " " for w in words[:at])), len(" ".join(shared[n]) + " " * (at < 60))))
+        seen.add(n)
+    assert sorted(tuple(r)[:3] for r in repeated_passages(documents(rows)).collect()) == planted
+
+
+def test_cuts_stay_with_their_text(spark, documents):
+    one, two = "Five words are in this. Six other ones are here too.", "Nothing here is said again. Five words are in this."
+    rows = [(1, "Five words are in this."), (5, one), (5, two)]
+    assert sorted(r["text"] for r in remove_repeats(documents(rows)).collect()) == [
+        "Five words are in this.", "Nothing here is said again. ", "Six other ones are here too."]

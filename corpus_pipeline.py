@@ -27,13 +27,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    Of its different texts in the group the one with the smallest hash stays,
+    once. Different texts of one doc_id in different groups are judged apart.
+    Rows without a doc_id all stay.
     """
-    rows = simhash.simhash_groups(docs).filter("doc_id is not null").groupBy("doc_id", "component_id").agg(F.count("*").alias("rows"))
+    rows = simhash.keyed_groups(docs).filter("doc_id is not null").groupBy("doc_id", "group", "component_id").agg(
+        F.count("*").alias("rows"), F.min("text_key").alias("least"), F.collect_set("text_key").alias("keys"))
     # What goes or is repeated is the smaller part, so the join is on that.
-    touched = staged(rows.filter("doc_id <> component_id or rows > 1"), "near-touched")
-    untouched = docs.join(touched, "doc_id", "left_anti")
-    repeated = docs.join(touched.filter("doc_id = component_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    touched = staged(rows.filter("doc_id <> component_id or rows > 1").select(
+        "doc_id", "component_id", "least", F.explode("keys").alias("text_key")), "near-touched")
+    kept = touched.filter("doc_id = component_id and text_key = least")
+    same = lambda t: (docs["doc_id"] == t["doc_id"]) & (F.xxhash64(docs["text"]) == t["text_key"])
+    untouched = docs.join(touched, same(touched), "left_anti")
+    repeated = docs.join(kept, same(kept), "left_semi").dropDuplicates(["doc_id", "text"])
     return untouched.unionByName(repeated)
 
 

@@ -57,12 +57,12 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, print) of every document; ``print`` is the fingerprint as a signed long."""
+    """(doc_id, text_key, print) of every document; ``print`` is the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long")
+            prints = np.array([fingerprint(t, shingle) for t in utf8(batch.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "print"])
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, print long")
 
 
 @cache
@@ -169,13 +169,11 @@ def print_links(prints: DataFrame, most_bits: int = 4, entries_per_task: int = 4
     return spread.groupBy("part").applyInArrow(_linked(most_bits), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document.
+def keyed_groups(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> DataFrame:
+    """(doc_id, text_key, group, fingerprint, component_id) of every document.
 
-    ``component_id`` is the smallest doc_id reachable over fingerprints that
-    differ in at most ``most_bits`` bits. Null and empty texts have fingerprint
-    zero and link like any other. Repeated rows give repeated rows. Other
-    columns of ``docs`` are not read.
+    ``text_key`` is the text's xxhash64; ``group`` tells apart the groups of
+    different texts that share a smallest doc_id. Otherwise as ``simhash_groups``.
     """
     prints = staged(fingerprints(docs, shingle), "prints")
     distinct = staged(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-prints")
@@ -183,9 +181,20 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> Dat
     named = distinct.join(component.withColumnRenamed("node", "print"), "print", "left").withColumn(
         "component", F.coalesce("component", "print"))
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = staged(named.join(first, "component").select("print", "component_id"), "print-components")
+    by_print = staged(named.join(first, "component").select("print", F.col("component").alias("group"), "component_id"), "print-components")
     return prints.join(by_print, "print").select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_key", "group", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_groups(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document.
+
+    ``component_id`` is the smallest doc_id reachable over fingerprints that
+    differ in at most ``most_bits`` bits. Null and empty texts have fingerprint
+    zero and link like any other. Repeated rows give repeated rows. Other
+    columns of ``docs`` are not read.
+    """
+    return keyed_groups(docs, shingle, most_bits).select("doc_id", "fingerprint", "component_id")
 
 
 def op10_simhash_near_dedup(spark, folder: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_against_sql(spark, name):
 
 def test_names():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+
+
+def test_different_texts_of_one_doc_id(spark, documents):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghi", k=6)) for _ in range(80)) for _ in range(4))
+    kept = lambda rows: sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect())
+    assert kept([(5, a), (5, b), (3, b)]) == sorted([(5, a), (3, b)])
+    assert kept([(5, a), (5, b), (5, b), (7, b)]) == sorted([(5, a), (5, b)])
+    one = kept([(5, c), (5, c.upper()), (8, d)])
+    assert one[1:] == [(8, d)] and one[0] in [(5, c), (5, c.upper())]

@@ -18,6 +18,9 @@ through one window.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from paystrata.sources.staging import staged
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 OFFSETS = 16
+_SLOTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -105,18 +109,30 @@ def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mixed corpus: every document as often as the sample takes it, with its columns.
 
-    A document occurs 0 to ``most`` times. Documents are matched by doc_id, so
-    rows that share one must be told apart by source and size; equal rows share
-    their copies evenly as far as they go.
+    A document occurs 0 to ``most`` times. Rows that share doc_id, source and
+    size share the copies of them all evenly, the rest going to the first rows.
+    These are numbered by slots of a salt, as there may be many without a doc_id.
     """
-    picked = mixed_copies(docs, weights, most).filter("copies > 0").groupBy("doc_id", "source", "size").agg(
-        F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    picked = staged(mixed_copies(docs, weights, most).groupBy("doc_id", "source", "size").agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0"), "mix-copies")
     renamed = picked.select(*[F.col(c).alias(f"__{c}") for c in picked.columns])
     sized = docs.withColumn("__words", word_count(F.col("text")))
-    joined = sized.join(renamed, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
-                        & (F.col("__words") == F.col("__size")))
-    times = F.greatest(F.round(F.col("__copies") / F.col("__rows")), F.lit(1)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    mine = (F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
+            & (F.col("__words") == F.col("__size")))
+    alone = sized.join(renamed.filter("__rows = 1"), mine).withColumn("__times", F.col("__copies"))
+    salt = (F.pmod(F.xxhash64("text"), F.lit(_SLOTS)) * _SLOTS + F.floor(F.rand(0) * _SLOTS)).cast("int")
+    shared = staged(sized.join(renamed.filter("__rows > 1"), mine).withColumn("__salt", salt), "mix-shared")
+    group = ["__doc_id", "__source", "__size"]
+    held = shared.groupBy(*group, "__salt").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = held.select(*[F.col(c).alias(f"{c}_of") for c in (*group, "__salt")], F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
+    place = F.row_number().over(Window.partitionBy(*group, "__salt").orderBy(F.xxhash64("text")))
+    numbered = shared.withColumn("__place", place).join(shifts, reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*group, "__salt")]))
+    evenly = F.floor(F.col("__copies") / F.col("__rows")) + F.when(
+        F.col("__place") + F.col("__shift") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    rows = alone.select(*docs.columns, "__times").unionByName(numbered.withColumn("__times", evenly).select(*docs.columns, "__times"))
+    times = F.col("__times").cast("int")
+    return rows.filter(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op2_mix_sources(spark, folder: str) -> DataFrame:

@@ -85,3 +85,14 @@ def test_empty_repeated_and_clashing(spark, documents):
     named = docs.withColumnRenamed("lang", "size").withColumnRenamed("n_chars", "copies")
     assert sum(r["copies"] for r in mixed_copies(named).collect()) >= 1
     assert mix(named).columns == named.columns
+
+
+def test_rows_that_share_id_source_and_size(spark, documents):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, None, 1, 2]), " ".join(rng.choices("abc", k=rng.randint(1, 3))), rng.choice(["x", "y", "z", None])) for _ in range(300)]
+    docs = documents(rows + [(i, "w " * 40, "x") for i in range(10, 30)])
+    key = lambda r: (r["doc_id"], r["source"], len(r["text"].split()))
+    decided = Counter()
+    for r in mixed_copies(docs).collect():
+        decided[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert Counter(map(key, mix(docs).collect())) == +decided

@@ -99,11 +99,11 @@ def text_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _later(rows: DataFrame, at: str, label: str) -> DataFrame:
-    """The rows whose digest occurs earlier, with ``first`` (doc_id, text_key, at) and ``copies``."""
+    """The rows with a doc_id whose digest occurs earlier, with ``first`` (doc_id, text_key, at) and ``copies``."""
     groups = staged(rows.groupBy("high", "low").agg(
         F.min(F.struct("doc_id", "text_key", at)).alias("first"), F.count("*").alias("copies")).filter("copies > 1"), label)
-    return rows.join(groups, ["high", "low"]).filter(
-        (F.col("doc_id") != F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key"))
+    return rows.join(groups, ["high", "low"]).filter("doc_id is not null").filter(
+        ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")) | (F.col("text_key") != F.col("first.text_key"))
         | (F.col(at) != F.col(f"first.{at}")))
 
 
@@ -243,7 +243,7 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     beginning occurs first, ``copies`` how often. Otherwise as ``repeated_units``.
     """
     gram, window = _gram(passage), _window(passage)
-    later = _later(staged(text_anchors(docs, passage), "anchors"), "at", "anchor-groups").filter("doc_id is not null")
+    later = _later(staged(text_anchors(docs, passage), "anchors"), "at", "anchor-groups")
     along = Window.partitionBy("doc_id", "text_key").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(along) > window, F.lit(True)).cast("int")
     chains = staged(

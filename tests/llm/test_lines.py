@@ -120,3 +120,10 @@ def test_cuts_stay_with_their_text(spark, documents):
     rows = [(1, "Five words are in this."), (5, one), (5, two)]
     assert sorted(r["text"] for r in remove_repeats(documents(rows)).collect()) == [
         "Five words are in this.", "Nothing here is said again. ", "Six other ones are here too."]
+
+
+def test_copies_of_a_document_without_a_number(spark, documents):
+    line = "This line is in every one of them."
+    rows = [(None, line), (None, line + "\nAnd another one stands only in here."), (3, line), (4, "Ten words stand before it in here, all of them. " + line)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in remove_repeats(documents(rows)).collect())
+    assert got == [(0, rows[0][1]), (0, rows[1][1]), (3, ""), (4, "Ten words stand before it in here, all of them. ")]

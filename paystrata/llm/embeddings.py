@@ -39,8 +39,14 @@ def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return values, scale, np.linalg.norm(back, axis=1) + slack, np.linalg.norm(vectors - back, axis=1) + slack
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring the largest component to 0.5 to 1, so that no square overflows or vanishes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, int]:
     """Rows (i, j) with a[i].b[j] / (|a[i]| |b[j]|) >= threshold, and how many were recomputed."""
+    a, b = _scaled(a), _scaled(b)
     norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     qa, sa, na, ra = quantised(a / norm_a[:, None])
     qb, sb, _, rb = quantised(b / norm_b[:, None])
@@ -66,9 +72,9 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tu
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """One row for a tile: its class numbers, class sizes and vectors."""
+    """One row for a tile: its class numbers, class sizes and vectors, of the element type they have."""
     vectors = table.column("embedding").combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
     return pa.table({
         "label": table.column("label").slice(0, 1), "tile": table.column("tile").slice(0, 1), "tiles": table.column("tiles").slice(0, 1),
         "nodes": pa.array([table.column("node").to_numpy().tobytes()], pa.binary()),
@@ -77,12 +83,12 @@ def _pack(table: pa.Table) -> pa.Table:
     })
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, stored: str):
     def run(table: pa.Table) -> pa.Table:
         tiles = sorted(table.to_pylist(), key=lambda r: r["tile"])
         nodes = [np.frombuffer(r["nodes"], "<i8") for r in tiles]
         sizes = [np.frombuffer(r["sizes"], "<i8") for r in tiles]
-        vectors = [np.frombuffer(r["vectors"], "<f4").astype(np.float64).reshape(len(n), -1) for r, n in zip(tiles, nodes)]
+        vectors = [np.frombuffer(r["vectors"], stored).astype(np.float64).reshape(len(n), -1) for r, n in zip(tiles, nodes)]
         i, j, _ = tile_links(vectors[0], vectors[-1], threshold, len(tiles) == 1)
         shift = 0 if len(tiles) == 1 else len(nodes[0])
         node, size = np.concatenate(nodes), np.concatenate(sizes)
@@ -106,15 +112,17 @@ def linked_embeddings(vectors: DataFrame, threshold: float = 0.93, tile: int = T
     the threshold. Vectors that are null, empty, zero or hold null or non-finite
     components, and rows without a label, link with nothing. Repeated rows link
     with each other. Vectors of different lengths never link. A vec_id names one
-    vector. Other columns are not read.
+    vector. Components keep their type if it is float and are taken as doubles
+    otherwise. Other columns are not read.
     """
     kind = vectors.schema["label"].dataType.simpleString()
-    plain = vectors.select("vec_id", "label", F.col("embedding").cast("array<float>").alias("embedding"))
+    element = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    plain = vectors.select("vec_id", "label", F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     usable = (F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
               & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
               & F.exists("embedding", lambda x: x != 0))
     rows = staged(plain.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
-    able = rows.filter("usable").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast("float")))
+    able = rows.filter("usable").withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0).cast(element)))
     classes = staged(able.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("size")), "vector-classes")
     per_label = classes.groupBy("label", F.size("embedding").alias("width")).agg(F.ceil(F.count("*") / tile).alias("tiles"))
     dealt = classes.withColumn("width", F.size("embedding")).join(per_label, ["label", "width"]) \
@@ -124,7 +132,7 @@ def linked_embeddings(vectors: DataFrame, threshold: float = 0.93, tile: int = T
         _pack, f"label struct<label:{kind},width:int>, tile long, tiles long, nodes binary, sizes binary, vectors binary")
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     pairs = staged(packed, "vector-tiles").withColumn("other", other).withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
-    met = staged(pairs.groupBy("label", "x", "y").applyInArrow(_compare(threshold), "node long, n long, low long"), "vector-links")
+    met = staged(pairs.groupBy("label", "x", "y").applyInArrow(_compare(threshold, "<f4" if element == "float" else "<f8"), "node long, n long, low long"), "vector-links")
     counted = met.groupBy("node").agg(F.sum("n").alias("n"))
     components = connected_components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     named = classes.join(counted, "node", "left").join(components, "node", "left").select(

@@ -69,3 +69,13 @@ def test_empty_repeated_and_clashing(spark):
     assert linked_embeddings(df.filter("vec_id > 9")).collect() == []
     got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in linked_embeddings(df).collect())
     assert got == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
+def test_double_components_are_not_rounded(spark):
+    # cosine with (1, 0) just below and at 0.6; float32 cannot tell these apart
+    below, at = [0.6 - 1e-12, (1 - (0.6 - 1e-12) ** 2) ** 0.5], [0.6 + 1e-12, (1 - (0.6 + 1e-12) ** 2) ** 0.5]
+    rows = [(1, [1.0, 0.0], 1), (2, below, 1), (3, [1.0, 0.0], 2), (4, at, 2),
+            (5, [1e300, 1e300], 3), (6, [1e-300, 1.1e-300], 3), (7, [1.0, -1.0], 3)]
+    got = linked_embeddings(spark.createDataFrame(rows, SCHEMA.replace("float", "double")), threshold=0.6)
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [
+        (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5), (7, 0, 7)]

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paystrata.llm.divergence import OP12_SQL, op12_source_divergence
 from paystrata.llm.embeddings import OP6_SQL, op6_embedding_near_dedup
+from paystrata.llm.graph import op11_graph_neighbours
 from paystrata.llm.licenses import op5_license_scan
 from paystrata.llm.lines import op8_substring_dedup
+from paystrata.llm.merkle import OP13_SQL, op13_merkle_manifest
 from paystrata.llm.mixing import OP2_SQL, op2_mix_sources
 from paystrata.llm.packing import op9_pack
 from paystrata.llm.quality import op4_quality_rules
@@ -19,7 +22,8 @@ from paystrata.llm.toxicity import op1_toxicity
 from paystrata.session import ship_package
 
 _QUERIES = (op1_toxicity, op2_mix_sources, op3_suffix_dedup, op4_quality_rules, op5_license_scan, op6_embedding_near_dedup,
-            op7_token_files, op8_substring_dedup, op9_pack, op10_simhash_near_dedup)
+            op7_token_files, op8_substring_dedup, op9_pack, op10_simhash_near_dedup,
+            op11_graph_neighbours, op12_source_divergence, op13_merkle_manifest)
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,4 +39,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op12_source_divergence": OP12_SQL,
+            "op13_merkle_manifest": OP13_SQL}

@@ -38,7 +38,7 @@ SCALE = 1_000_000_000
 LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 #: Distinct terms, and (group, term) counts, that a task remembers before it passes them on.
-_VOCABULARY, _HELD = 400_000, 4_000_000
+_VOCABULARY, _HELD = 400_000, 2_000_000
 #: Bytes of the texts that are counted at once.
 _BYTES = 1 << 20
 
@@ -86,7 +86,7 @@ class _Counts:
         self._keep(*(np.concatenate(c) for c in zip(*parts)))
 
     def full(self) -> bool:
-        return len(self.terms) > _VOCABULARY or self.held > _HELD
+        return len(self.terms) > _VOCABULARY or self.held > _HELD // 2 and len(self.parts) == 1
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         """(lang, source, term, n, docs) of what is held, and one row with a null term for each group."""

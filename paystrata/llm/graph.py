@@ -260,9 +260,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD
     classes = staged(few.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "graph-classes")
     wide = classes.withColumn("width", F.size("embedding"))
     shards = staged(wide.groupBy("width").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "graph-shards")
-    index = staged(wide.join(shards, "width").select("width", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "node", "embedding")
-                   .groupBy("width", "shard").applyInArrow(
-                       _index(stored, degree, beam, alpha), "width int, shard int, vectors binary, nodes binary, edges binary, entries binary"), "graph-index")
+    # A shard is much work for little data, so its number of tasks is given and not left to sizes.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = wide.join(shards, "width").select("width", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int").alias("shard"), "node", "embedding")
+    index = staged(dealt.repartition(tasks, "width", "shard").groupBy("width", "shard").applyInArrow(
+        _index(stored, degree, beam, alpha), "width int, shard int, vectors binary, nodes binary, edges binary, entries binary"), "graph-index")
 
     asked = queries.select("vec_id", "embedding").filter(_usable()).select(F.col("vec_id").cast("long").alias("query_id"), vector)
     asked = staged(asked.dropDuplicates(["query_id"]), "graph-queries").withColumn("width", F.size("embedding"))
@@ -273,7 +275,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD
         F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk"), "query_id", "embedding")
     held = index.join(chunks, "width").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
     key = ["width", "shard", "chunk"]
-    met = staged(held.groupBy(*key).cogroup(spread.groupBy(*key)).applyInArrow(
+    met = staged(held.repartition(tasks, *key).groupBy(*key).cogroup(spread.repartition(tasks, *key).groupBy(*key)).applyInArrow(
         _search(stored, degree, beam, k + 1), "query_id long, node long, score double"), "graph-met")
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))).filter(F.col("nth") <= k + 1)
     answers = best.join(classes.select("node", "ids"), "node").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")

@@ -6,8 +6,12 @@ A unit's digest covers its words (A-Z in lower case, white space normalised).
 Units of fewer than ``min_words`` words would match by chance; such a unit is
 digested together with as many units before it as are needed for ``min_words``
 words. Equal digests are grouped over all documents; the earliest unit by
-(doc_id, offset) stays and the others go. Units whose document has fewer than
-``min_words`` words up to their end, and units without words, always stay.
+(doc_id, offset) stays and the others are repeats. Units whose document has fewer
+than ``min_words`` words up to their end, and units without words, always stay.
+
+A sentence or a short line that occurs elsewhere does not make a repeated
+passage. Repeats in a row are a run, and a run goes if it has ``min_run`` words;
+with 1 every repeated unit goes, down to a line of ``min_words`` words.
 
 The earliest unit of a digest is a minimum, which combines before the shuffle,
 so no group of copies meets in one task; the join that names the others is a
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,9 +42,12 @@ from paystrata.llm.words import WORD, mixed
 from paystrata.sources.staging import staged
 
 MIN_WORDS = 5
+#: Words that repeats in a row must have together to go.
+MIN_RUN = 20
 #: Words of a passage that is found wherever it lies.
 PASSAGE = 50
-_MEMO = 200_000
+#: Words whose hashes a task remembers, and bytes of the texts that are cut at once.
+_MEMO, _AT_ONCE = 200_000, 1 << 20
 _PLACE = re.compile(WORD)
 #: Up to and with a line end, or the spaces after a sentence end.
 UNIT = re.compile(r"(?:[^\n.!?]+|[.!?]+[^ \t\n.!?])*(?:\n|[.!?]+(?:[ \t]+\n?|\n)|[.!?]*\Z)")
@@ -47,14 +55,23 @@ UNIT = re.compile(r"(?:[^\n.!?]+|[.!?]+[^ \t\n.!?])*(?:\n|[.!?]+(?:[ \t]+\n?|\n)
 
 def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digested words) of the units that are judged, in order."""
-    found, before = [], []
+    return [(start, end, words) for start, end, words, *_ in _cut(text, min_words)[0]]
+
+
+def _cut(text: str, min_words: int) -> tuple[list[tuple[int, int, bytes, int, int, int]], list[bytes]]:
+    """Units with their number, the words before them and their own, and all words of the text."""
+    found, before, all_words, nth = [], [], [], 0
     for match in UNIT.finditer(text):
         words = match.group().encode().lower().split()
         if not words:
             continue
+        start, end = match.span()
+        place = (nth, len(all_words), len(words))
+        nth += 1
+        all_words += words
         if len(words) >= min_words:
             before = [words]
-            found.append((match.start(), match.end(), b" ".join(words)))
+            found.append((start, end, b" ".join(words), *place))
             continue
         before.append(words)
         need, parts = min_words, []
@@ -65,8 +82,8 @@ def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, byte
                 break
         before = parts[::-1]
         if need <= 0:
-            found.append((match.start(), match.end(), b" ".join([w for part in before for w in part]) + b" |%d" % len(words)))
-    return found
+            found.append((start, end, b" ".join([w for part in before for w in part]) + b" |%d" % len(words), *place))
+    return found, all_words
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -74,28 +91,50 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
-def text_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_key, start, length, high, low): the units of every document, with 128-bit digests."""
+def text_marks(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+    """(doc_id, text_key, at, length, nth, before, words, high, low): units and anchors of every document, with 128-bit digests.
+
+    A unit lies ``at`` a character, an anchor ``at`` a word; anchors have length
+    0 and no more but their digest.
+    """
+    gram = _gram(passage)
+    names = ["doc_id", "text_key", "at", "length", "nth", "before", "words", "high", "low"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest, known = xxhash.xxh3_128_digest, _WordHashes()
         for batch in batches:
-            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for at in range(0, len(ids), 512):
-                part = slice(at, at + 512)
-                doc, key, start, length, digests = [], [], [], [], []
-                for doc_id, text_key, text in zip(ids[part], keys[part], texts[part].to_pylist()):
-                    for a, b, words in units_of(text or "", min_words):
-                        doc.append(doc_id)
-                        key.append(text_key)
-                        start.append(a)
-                        length.append(b - a)
-                        digests.append(digest(words))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _AT_ONCE, "right")))
+                part, rows, counts, digests = batch.slice(at, end - at), [], [], []
+                for text in part.column(2).to_pylist():
+                    units, words = _cut(text or "", min_words)
+                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                    anchors = anchors_of(hashes, passage).tolist()
+                    rows += [(u[0], u[1] - u[0], *u[3:]) for u in units]
+                    rows += [(i, 0, 0, 0, 0) for i in anchors]
+                    digests += [digest(u[2]) for u in units]
+                    digests += [digest(hashes[i:i + gram].tobytes()) for i in anchors]
+                    counts.append(len(units) + len(anchors))
+                owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                places = np.array(rows, np.int32).reshape(-1, 5)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
-                     pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                    ["doc_id", "text_key", "start", "length", "high", "low"])
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, start int, length int, high long, low long")
+                    [part.column(0).cast(pa.int64()).take(owner), part.column(1).take(owner), *(pa.array(places[:, i].copy()) for i in range(5)),
+                     pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names)
+                at = end
+        pa.default_memory_pool().release_unused()
+    return keyed(docs).mapInArrow(
+        run, "doc_id long, text_key long, at int, length int, nth int, before int, words int, high long, low long")
+
+
+def _units(marks: DataFrame) -> DataFrame:
+    return marks.filter("length > 0").withColumnRenamed("at", "start")
+
+
+def _anchors(marks: DataFrame) -> DataFrame:
+    return marks.filter("length = 0").select("doc_id", "text_key", "at", "high", "low")
 
 
 def _later(rows: DataFrame, at: str, label: str) -> DataFrame:
@@ -107,8 +146,8 @@ def _later(rows: DataFrame, at: str, label: str) -> DataFrame:
         | (F.col(at) != F.col(f"first.{at}")))
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, length, first_doc_id, first_start, copies, text_key) of every unit to remove.
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = 1) -> DataFrame:
+    """(doc_id, start, length, first_doc_id, first_start, copies, text_key) of every repeated unit of a run that goes.
 
     Offsets count characters of the original text. Null and empty texts have no
     units. Repeated rows of one doc_id and text hold their units at the same
@@ -116,10 +155,19 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     documents. A document without a doc_id counts as the earliest and loses
     nothing. Other columns of ``docs`` are not read.
     """
-    units = staged(text_units(docs, min_words), "units")
-    return _later(units, "start", "unit-groups").select(
-        "doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),
-        F.col("first.start").alias("first_start"), "copies", "text_key")
+    return _repeated_units(staged(text_marks(docs, min_words), "marks"), min_run)
+
+
+def _repeated_units(marks: DataFrame, min_run: int) -> DataFrame:
+    later = _later(_units(marks), "start", "unit-groups")
+    if min_run > 1:
+        # Units in a row differ in number and in rank by the same. A run's words are counted by place, so that repeated rows count once.
+        run = Window.partitionBy("doc_id", "text_key", "run")
+        rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("nth"))
+        held = F.max(F.col("before") + F.col("words")).over(run) - F.min("before").over(run)
+        later = later.withColumn("run", F.col("nth") - rank).withColumn("held", held).filter(F.col("held") >= min_run)
+    return later.select("doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),
+                        F.col("first.start").alias("first_start"), "copies", "text_key")
 
 
 class _WordHashes(dict):
@@ -168,30 +216,6 @@ def anchors_of(hashes: np.ndarray, passage: int = PASSAGE) -> np.ndarray:
     return np.flatnonzero(total == ~_least(~chosen, window))
 
 
-def text_anchors(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
-    """(doc_id, text_key, at, high, low): the anchors of every document by their first word, with 128-bit digests."""
-    gram = _gram(passage)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, known = xxhash.xxh3_128_digest, _WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                places, digests = [np.zeros(0, np.int64)], []
-                for text in part.column(2).to_pylist():
-                    words = (text or "").encode().lower().split()
-                    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    places.append(anchors_of(hashes, passage))
-                    digests += [digest(hashes[i:i + gram].tobytes()) for i in places[-1].tolist()]
-                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(p) for p in places[1:]]))
-                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()).take(owner), part.column(1).take(owner), pa.array(np.concatenate(places).astype(np.int32)),
-                     pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1]))],
-                    ["doc_id", "text_key", "at", "high", "low"])
-    return keyed(docs).mapInArrow(run, "doc_id long, text_key long, at int, high long, low long")
-
-
 def surroundings(text: str, spots: list[tuple[int, int]], gram: int, reach: int) -> Iterator[tuple[list[str], list[int]]]:
     """For each (first word of an anchor, side): up to ``reach`` words beside it, outward, and the offsets before, between and after them.
 
@@ -242,8 +266,12 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     it begins and ends. ``first_doc_id`` and ``first_start`` say where its
     beginning occurs first, ``copies`` how often. Otherwise as ``repeated_units``.
     """
+    return _repeated_passages(docs, staged(text_marks(docs, passage=passage), "marks"), passage)
+
+
+def _repeated_passages(docs: DataFrame, marks: DataFrame, passage: int) -> DataFrame:
     gram, window = _gram(passage), _window(passage)
-    later = _later(staged(text_anchors(docs, passage), "anchors"), "at", "anchor-groups")
+    later = _later(_anchors(marks), "at", "anchor-groups")
     along = Window.partitionBy("doc_id", "text_key").orderBy("at")
     apart = F.coalesce(F.col("at") - F.lag("at").over(along) > window, F.lit(True)).cast("int")
     chains = staged(
@@ -267,9 +295,10 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
         "left.first_doc_id", "left.first_start", "left.copies", "text_key")
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE, min_run: int = MIN_RUN) -> DataFrame:
     """Every unit and every passage to remove; a passage's row may cover rows of units."""
-    return repeated_units(docs, min_words).unionByName(repeated_passages(docs, passage))
+    marks = staged(text_marks(docs, min_words, passage), "marks")
+    return _repeated_units(marks, min_run).unionByName(_repeated_passages(docs, marks, passage))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -293,14 +322,14 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return found
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeated units and passages cut out of ``text`` and ``n_chars`` counted anew where both exist.
 
     Every row stays, with all its columns, even if its text becomes empty.
     """
-    spans = repeats(docs, min_words, passage).select(
-        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.struct("start", "length").alias("span")).distinct()
-    cuts = spans.groupBy("__doc", "__key").agg(F.array_sort(F.collect_list("span")).alias("__cuts"))
+    spans = repeats(docs, min_words, passage, min_run).select(
+        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.struct("start", "length").alias("span"))
+    cuts = spans.groupBy("__doc", "__key").agg(F.array_sort(F.collect_set("span")).alias("__cuts"))
     names = docs.columns
     at = names.index("text")
 
@@ -315,6 +344,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = P
                 counts = [None if t is None else len(t) for t in texts]
                 columns["n_chars"] = pa.array(counts, pa.int64()).cast(batch.schema.field(names.index("n_chars")).type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+        pa.default_memory_pool().release_unused()
 
     joined = docs.join(cuts, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left").select(*names, "__cuts")
     return joined.mapInArrow(run, docs.schema)

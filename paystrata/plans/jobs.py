@@ -8,24 +8,20 @@ request that would collide with an earlier one of the batch is refused.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paystrata.functions import calendar, text
 from paystrata.functions.money import DEFAULT_RATES, PayRates, net_of, pay_columns
-from paystrata.operators.components import connected_components
 from paystrata.operators.filters import select_payees
 from paystrata.operators.joins import deletable_employees
 from paystrata.operators.ranking import global_row_number
+from paystrata.plans.serving import ORDER, first_come
 from paystrata.schema import EMPLOYEE_STATUSES, EMPLOYEES, MONEY, PAYROLL_RECORDS
 from paystrata.sources.staging import staged
 
-ORDER = "request_order"
-
 
 def _shaped(df: DataFrame, schema) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType) for f in schema])
@@ -88,84 +84,7 @@ def validate_periods(rows: DataFrame) -> DataFrame:
     ]))
 
 
-# --- first come, first served ----------------------------------------------
-
-#: Conflicting requests of one component that are served in one task.
-SERVED_TOGETHER = 10_000
-
-
-def first_come(requests: DataFrame, keys: list[str], together: int = SERVED_TOGETHER) -> DataFrame:
-    """The requests that take effect when every key value may be used once.
-
-    Requests are served in ``request_order``; one is refused when an accepted
-    request before it has the same value in any key. NULL never collides. A
-    request refused for one key does not hold its other keys, so the answer of
-    a request can hang on a long chain of others. Only requests that share a
-    value with another one are looked at further. They fall into connected
-    components that do not affect each other: a component of up to ``together``
-    requests is served in order by one task, a larger one in rounds.
-
-    Returns the accepted ``request_order`` values.
-    """
-    # A shared value is named by the first request that has it; equality of the
-    # keys, under whatever collation, is left to the grouping.
-    shared = staged(requests.select(ORDER, *keys), "first-come")
-    names = [f"_shared{i}" for i in range(len(keys))]
-    for key, name in zip(keys, names):
-        first = shared.filter(F.col(key).isNotNull()).groupBy(key).agg(
-            F.min(ORDER).cast("long").alias(name), F.count("*").alias("_n")).filter("_n > 1").select(key, name)
-        shared = shared.join(first, key, "left")
-    shared = staged(shared.select(ORDER, *names), "first-come-shared")
-    links = reduce(DataFrame.unionByName, [
-        shared.filter(F.col(name).isNotNull()).select(F.col(ORDER).cast("long").alias("a"), F.col(name).alias("b")) for name in names])
-    component = staged(connected_components(links).withColumnRenamed("node", ORDER), "first-come-components")
-    sizes = component.groupBy("component").agg(F.count("*").alias("_size"))
-    contested = staged(shared.join(component, ORDER).join(sizes, "component"), "first-come-contested")
-    free = shared.filter(reduce(Column.__and__, [F.col(name).isNull() for name in names])).select(ORDER)
-    served = contested.filter(F.col("_size") <= together).drop("_size").groupBy("component").applyInPandas(
-        _served(names), f"{ORDER} {requests.schema[ORDER].dataType.simpleString()}")
-    return free.unionByName(served).unionByName(
-        _in_rounds(contested.filter(F.col("_size") > together).select(ORDER, *names), names))
-
-
-def _served(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Serve one component request by request."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used: list[set] = [set() for _ in keys]
-        accepted = []
-        for order, *values in rows.sort_values(ORDER)[[ORDER, *keys]].itertuples(index=False):
-            wanted = [(u, v) for u, v in zip(used, values) if not pd.isna(v)]
-            if all(v not in u for u, v in wanted):
-                accepted.append(order)
-                for u, v in wanted:
-                    u.add(v)
-        return pd.DataFrame({ORDER: accepted}, dtype=rows[ORDER].dtype)
-    return run
-
-
-def _in_rounds(open_: DataFrame, keys: list[str]) -> DataFrame:
-    """Accept whatever is first in all of its key groups, refuse what collides with that, repeat.
-
-    A value that many requests share is settled in the round in which its first
-    request is, so large components take few rounds. One table is written a round.
-    """
-    rounds: list[DataFrame] = []
-    while True:
-        firsts = [open_.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(ORDER).alias(f"_first{i}"))
-                  for i, key in enumerate(keys)]
-        flagged = open_
-        for key, first in zip(keys, firsts):
-            flagged = flagged.join(first, key, "left")
-        first = reduce(Column.__and__, [F.coalesce(F.col(f"_first{i}") == F.col(ORDER), F.lit(True)) for i in range(len(keys))])
-        flagged = staged(flagged.select(ORDER, *keys, first.alias("_accepted")), "first-come-round")
-        if flagged.isEmpty():
-            return reduce(DataFrame.unionByName, rounds) if rounds else flagged.select(ORDER)
-        accepted = flagged.filter("_accepted")
-        rounds.append(accepted.select(ORDER))
-        open_ = flagged.filter("not _accepted").drop("_accepted")
-        for key in keys:
-            open_ = open_.join(accepted.select(key).distinct(), key, "left_anti")
-
+# --- keys -----------------------------------------------------------------
 
 def next_id(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import random
+import time
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from paystrata.operators import components
-from paystrata.plans import activity, jobs
+from paystrata.plans import activity, jobs, serving
 from paystrata.sources import staging
 from tests.fixtures import employee, employees, record, records
 
@@ -43,18 +44,38 @@ def test_first_come_follows_a_long_chain(spark, length, monkeypatch):
     rows = [(i, f"c{(i + 1) // 2}", f"m{i // 2}") for i in range(length)]
     df = spark.createDataFrame(rows, "request_order long, code string, email string")
     written = []
-    for module in (jobs, components):
+    for module in (serving, components):
         monkeypatch.setattr(module, "staged", lambda df, label: written.append(label) or staging.staged(df, label))
     assert {r[0] for r in jobs.first_come(df, ["code", "email"]).collect()} == set(range(0, length, 2)) == serve(rows, 2)
-    assert len(written) <= 8 + 2 * length.bit_length()
+    assert len(written) <= 12 + 2 * length.bit_length()
 
 
-def test_large_components_are_served_in_rounds(spark):
+@pytest.mark.parametrize("rounds, window", [(0, 3), (1, 7), (0, 1000)])
+def test_components_are_served_in_windows(spark, rounds, window):
     rng = random.Random(8)
     rows = [(i, f"c{rng.randrange(15)}", rng.choice([None, *[f"m{j}" for j in range(15)]])) for i in range(80)]
+    rows += [(1000 + i, f"d{(i + 1) // 2}", f"n{i // 2}") for i in range(60)]
     df = spark.createDataFrame(rows, "request_order long, code string, email string")
-    assert {r[0] for r in jobs.first_come(df, ["code", "email"], together=3).collect()} == serve(rows, 2)
-    assert jobs.first_come(df.limit(0), ["code", "email"]).count() == 0
+    assert {r[0] for r in jobs.first_come(df, ["code", "email"], rounds, window).collect()} == serve(rows, 2)
+    assert jobs.first_come(df.limit(0), ["code", "email"], rounds, window).count() == 0
+
+
+def test_a_chain_of_100_000_takes_as_many_steps_as_windows(spark, monkeypatch):
+    length, steps = 100_000, []
+    df = spark.range(length).selectExpr("id AS request_order", "concat('c', (id + 1) div 2) AS code", "concat('m', id div 2) AS email")
+    monkeypatch.setattr(serving, "staged", lambda df, label: steps.append(label) or staging.staged(df, label))
+    got = jobs.first_come(df, ["code", "email"], rounds=1, window=40_000)
+    assert got.agg(F.count("*"), F.sum("request_order"), F.max(F.col("request_order") % 2)).first()[:] == (
+        length // 2, sum(range(0, length, 2)), 0)
+    assert steps.count("first-come-served") <= length // 40_000 + 2
+
+
+def test_many_small_components_need_no_python(spark, monkeypatch):
+    monkeypatch.setattr(serving, "_along_chains", None)
+    df = spark.range(100_000).selectExpr("id AS request_order", "concat('c', id div 2) AS code", "concat('m', id) AS email")
+    begun = time.perf_counter()
+    assert jobs.first_come(df, ["code", "email"]).agg(F.count("*"), F.max(F.col("request_order") % 2)).first()[:] == (50_000, 0)
+    assert time.perf_counter() - begun < 30
 
 
 CANDIDATE = ("request_order long, employee_code string, first_name string, last_name string, email string, "

@@ -16,7 +16,7 @@ from paystrata.operators import filters, joins, topk, windows
 from paystrata.operators.ranking import global_row_number
 from paystrata.plans import activity, etl, jobs
 from paystrata.schema import ETL_JOBS, OPERATIONAL
-from paystrata.sources import lens, sinks, tables
+from paystrata.sources import lens, sinks, tables, versions
 from paystrata.sources.staging import staged, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,9 +73,8 @@ def _load_tables(i: Inputs) -> DataFrame:
     folder = staging_path(i.spark, "tables")
     tables.save_tables(lens.operational(i.spark, i.folder), folder)
     loaded = tables.load_tables(i.spark, folder, tuple(OPERATIONAL))
-    counts = [df.select(F.lit(name).alias("table_name")).groupBy("table_name").agg(F.count("*").alias("row_count"))
-              for name, df in loaded.items()]
-    first, *rest = counts
+    parts = [tables.content(df, name) for name, df in loaded.items()]
+    first, *rest = parts
     for more in rest:
         first = first.unionByName(more)
     return first
@@ -169,17 +168,14 @@ def _log_etl(i: Inputs) -> DataFrame:
     return sinks.append_activity(i.log, done, i.users)
 
 
-def _stored(i: Inputs) -> tuple[str, DataFrame]:
-    """A folder that holds the payroll records as a stored table, and the table."""
+def _published_job(i: Inputs, job: Callable[[DataFrame, jobs.Reserve], tuple[DataFrame, DataFrame]], years: list[int]) -> DataFrame:
+    """Run a job on stored records with reserved ids, publish the years it may change, and read the table again."""
     folder = staging_path(i.spark, "operational")
     tables.save_tables({"payroll_records": i.rec}, folder)
-    return folder, tables.load_tables(i.spark, folder, ("payroll_records",))["payroll_records"]
-
-
-def _published_job(i: Inputs, job: Callable[[DataFrame], DataFrame], years: list[int]) -> DataFrame:
-    """Run a job on the stored records, publish the years it may change, and read the table again."""
-    folder, rec = _stored(i)
-    tables.publish_records(job(rec), folder, years)
+    reserve = lambda count, free: versions.reserve_ids(i.spark, folder, "payroll_id", count, free)
+    code, _ = jobs.publish_job(i.spark, folder, years, lambda rec: job(rec, reserve))
+    if code != tables.PUBLISHED:
+        raise RuntimeError("another writer has replaced the records")
     return tables.load_tables(i.spark, folder, ("payroll_records",))["payroll_records"]
 
 
@@ -316,11 +312,12 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "run_payroll_specific": lambda i: jobs.run_payroll(
         i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS, "specific", ids=_paid(i))[0],
     "published_run_payroll": lambda i: _published_job(
-        i, lambda rec: jobs.run_payroll(rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[0], [NEW_YEAR]),
+        i, lambda rec, reserve: jobs.run_payroll(rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS, reserve=reserve), [NEW_YEAR]),
     "published_merge_payroll": lambda i: _published_job(
-        i, lambda rec: jobs.merge_payroll(rec, i.emp, i.derived("staged_payroll"), RUN_TS)[0],
+        i, lambda rec, reserve: jobs.merge_payroll(rec, i.emp, i.derived("staged_payroll"), RUN_TS, reserve=reserve),
         sorted(r[0] for r in i.derived("staged_payroll").select("payroll_year").distinct().collect())),
-    "published_delete_period": lambda i: _published_job(i, lambda rec: filters.delete_period(rec, YEAR, MONTH), [YEAR]),
+    "published_delete_period": lambda i: _published_job(
+        i, lambda rec, _: (filters.delete_period(rec, YEAR, MONTH), filters.period_records(rec, YEAR, MONTH)), [YEAR]),
     "run_payroll_outcome": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[1],
     "run_payroll_refused": lambda i: jobs.run_payroll(i.stored_rec, i.emp, YEAR, MONTH, RUN_TS)[1],
     "run_payroll_employee_guard": lambda i: jobs.run_payroll(

@@ -58,8 +58,10 @@ def deletable_employees(emp: DataFrame, ids: DataFrame, rec: DataFrame) -> tuple
     Returns the employees that may go, and the rejected ids with their count of
     records. The count is combined before the join, so a hot id is one row.
     """
-    wanted = emp.join(ids.select("employee_id").distinct(), "employee_id", "left_semi")
-    held = rec.groupBy("employee_id").agg(F.count("*").alias("record_count"))
+    # The ids that exist are written first: a small batch is then broadcast, and only its own records are counted.
+    wanted = staged(emp.join(ids.select("employee_id").distinct(), "employee_id", "left_semi"), "wanted-employees")
+    held = staged(rec.select("employee_id").join(wanted.select("employee_id"), "employee_id", "left_semi").groupBy("employee_id").agg(
+        F.count("*").alias("record_count")), "held-records")
     allowed = wanted.join(held, "employee_id", "left_anti")
     rejected = wanted.select("employee_id", "employee_code").join(held, "employee_id")
     return allowed, rejected

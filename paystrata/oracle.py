@@ -10,6 +10,7 @@ from __future__ import annotations
 from paystrata.catalog import (
     DAY_FROM, DAY_TO, DEPARTMENT, DONE_TS, MONTH, NEW_MONTH, NEW_YEAR, RUN_TS, YEAR,
 )
+from paystrata.schema import OPERATIONAL
 
 _STAMP = f"TIMESTAMP '{RUN_TS}'"
 
@@ -288,6 +289,13 @@ def _with(body: str, *names: str) -> str:
     return f"WITH {recursive}{parts}\n{body}"
 
 
+def _content(table: str, column: str) -> str:
+    """How many rows a column has, how many are filled, and a sum of 32-bit hashes of their text."""
+    return f"""
+        SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS row_count, count({column}) AS filled,
+            CAST(coalesce(sum(CAST('0x' || substr(md5(CAST({column} AS VARCHAR)), 1, 8) AS BIGINT)), 0) AS BIGINT) AS hash_sum FROM {table}"""
+
+
 def _whole(table: str, where: str = "true") -> str:
     return _with(f"SELECT * FROM {table} WHERE {where}", table)
 
@@ -348,12 +356,8 @@ def oracle_sql() -> dict[str, str]:
     quick = " OR ".join(f"lower({c}) LIKE '%mach%'" for c in ("first_name", "last_name", "department"))
     sql = {
         # sources and sinks
-        "load_tables": _with("""
-            SELECT 'users' AS table_name, count(*) AS row_count FROM users UNION ALL
-            SELECT 'employees', count(*) FROM employees UNION ALL
-            SELECT 'payroll_records', count(*) FROM payroll_records UNION ALL
-            SELECT 'activity_logs', count(*) FROM activity_logs""",
-            "users", "employees", "payroll_records", "activity_logs"),
+        "load_tables": _with(" UNION ALL ".join(_content(name, column) for name, schema in OPERATIONAL.items() for column in schema.names),
+                             *OPERATIONAL),
         "append_activity": _whole("log_with_actions"),
         "write_activity": _whole("log_with_actions"),
         "export_audit_csv": _csv(),

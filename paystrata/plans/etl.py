@@ -12,7 +12,7 @@ from paystrata.functions import calendar, text
 from paystrata.operators.filters import processed_only
 from paystrata.operators.ranking import global_row_number
 from paystrata.schema import WAREHOUSE
-from paystrata.sources.sinks import log_job, write_snapshot
+from paystrata.sources.sinks import claim_job, log_job, write_snapshot
 from paystrata.sources.staging import staged
 from paystrata.sources.tables import load_tables
 
@@ -126,19 +126,22 @@ def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
 
 
-def run_etl(emp: DataFrame, rec: DataFrame, folder: str, job_id: int, run_ts: str,
+def run_etl(emp: DataFrame, rec: DataFrame, folder: str, job_id: int | None, run_ts: str,
             collation: str | None = None, slots: int | None = None, clock: Callable[[], str] = _now) -> str:
     """Load the warehouse and publish it as the new current snapshot.
 
     The tables go to a directory of their own; only the ``completed`` job row
     makes readers see it, so a failed run leaves the previous snapshot in
-    place. One writer at a time is assumed. Returns ``completed`` or
-    ``nothing to load``; a failure is logged in full and raised again. ``clock``
-    gives the time a job ends.
+    place. Each run has a job id of its own: the next one if ``job_id`` is None;
+    one that has been used is refused with a ValueError before a row is written,
+    so no run can overrule another's state. Returns ``completed`` or ``nothing
+    to load``; a failure is logged in full and raised again. ``clock`` gives the
+    time a job ends.
     """
     spark = emp.sparkSession
     if not etl_precheck(rec):
         return NOTHING_TO_LOAD
+    job_id = claim_job(spark, folder, job_id)
     log_job(spark, folder, job_id, "running", 0, None, run_ts, None)
     try:
         dims = _dimensions(emp, rec, run_ts, collation, slots)

@@ -8,9 +8,9 @@ request that would collide with an earlier one of the batch is refused.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paystrata.functions import calendar, text
@@ -21,6 +21,7 @@ from paystrata.operators.ranking import global_row_number
 from paystrata.plans.serving import ORDER, first_come
 from paystrata.schema import EMPLOYEE_STATUSES, EMPLOYEES, MONEY, PAYROLL_RECORDS
 from paystrata.sources.staging import staged
+from paystrata.sources.tables import load_tables, publish_records, records_version
 
 
 def _shaped(df: DataFrame, schema) -> DataFrame:
@@ -86,10 +87,20 @@ def validate_periods(rows: DataFrame) -> DataFrame:
 
 # --- keys -----------------------------------------------------------------
 
+#: Takes how many ids are needed and the first one that the stored rows leave free, and returns the first to use.
+Reserve = Callable[[int, int], int]
+
+
 def next_id(df: DataFrame, column: str) -> int:
     return (df.agg(F.max(column)).first()[0] or 0) + 1
 
 
+def _first_id(df: DataFrame, column: str, rows: DataFrame, reserve: Reserve | None) -> int:
+    """The first id of new rows: the next one, or of a range that is reserved for them (``sources.versions.reserve_ids``)."""
+    free = next_id(df, column)
+    return reserve(rows.count(), free) if reserve else free
+
+
 # --- employees -------------------------------------------------------------
 
 # Result codes of the add and merge jobs.
@@ -97,7 +108,8 @@ OK, DUPLICATE, CONFLICT, REFUSED = 0, 1, 2, 3
 
 
 def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
-                  collation: str | None = None, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  collation: str | None = None, slots: int | None = None,
+                  reserve: Reserve | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert candidates whose code and e-mail are free.
 
     Outcome codes: 0 added, 1 duplicate code or e-mail, 3 invalid. The code and
@@ -123,12 +135,13 @@ def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
 
     inserted = global_row_number(
         valid.join(accepted, ORDER, "left_semi"), [F.col(ORDER)], "employee_id",
-        start=next_id(emp, "employee_id"), slots=slots)
+        start=_first_id(emp, "employee_id", accepted, reserve), slots=slots)
     stamp = F.lit(run_ts).cast("timestamp_ntz")
     new_rows = _shaped(
         inserted.withColumn("emp_status", F.lit("active")).withColumn("version_number", F.lit(1))
         .withColumn("created_at", stamp).withColumn("updated_at", stamp), EMPLOYEES)
 
+    # The messages of the job.
     added = accepted.withColumn("_added", F.lit(True))
     code = (F.when(F.col("invalid"), REFUSED).when(F.col("_added"), OK).otherwise(DUPLICATE))
     outcome = checked.select(ORDER, "employee_code", "invalid").join(added, ORDER, "left").select(
@@ -243,7 +256,7 @@ def compute_pay(payees: DataFrame, rates: PayRates = DEFAULT_RATES) -> DataFrame
 def run_payroll(rec: DataFrame, emp: DataFrame, year: int, month: int, run_ts: str, mode: str = "all",
                 department: str | None = None, ids: Iterable[int] | DataFrame | None = None,
                 guard: str = "period", rates: PayRates = DEFAULT_RATES,
-                slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+                slots: int | None = None, reserve: Reserve | None = None) -> tuple[DataFrame, DataFrame]:
     """Pay the selected active employees for one period, all of them or none.
 
     ``guard="period"`` refuses when the period has any record of any status;
@@ -260,13 +273,14 @@ def run_payroll(rec: DataFrame, emp: DataFrame, year: int, month: int, run_ts: s
     if guard == "employee":
         payees = payees.join(same_period.select("employee_id"), "employee_id", "left_anti")
     pay = compute_pay(payees, rates)
-    numbered = global_row_number(pay, [F.col("employee_id")], "payroll_id",
-                                 start=next_id(rec, "payroll_id"), slots=slots)
+    numbered = global_row_number(pay, [F.col("employee_id")], "_nth", start=0, slots=slots)
     count = numbered.count()
     if count == 0:
         return rec, _payroll_outcome(rec, REFUSED, 0, "No active employees found.")
+    first = _first_id(rec, "payroll_id", numbered, reserve)
     new_rows = _shaped(
         numbered.withColumns({
+            "payroll_id": F.col("_nth") + first,
             "payroll_year": F.lit(int(year)), "payroll_month": F.lit(int(month)),
             "payroll_status": F.lit("processed"), "lock_version": F.lit(1),
             "processed_at": F.lit(run_ts).cast("timestamp_ntz"),
@@ -289,7 +303,7 @@ _SUMS = ["gross_amount", "total_deductions_amount", "net_amount"]
 
 
 def merge_payroll(rec: DataFrame, emp: DataFrame, requests: DataFrame, run_ts: str,
-                  slots: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  slots: int | None = None, reserve: Reserve | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert or update one record per request, guarded by its lock version.
 
     Result codes, the first that fits: 3 employee absent or not active, or a
@@ -330,8 +344,8 @@ def merge_payroll(rec: DataFrame, emp: DataFrame, requests: DataFrame, run_ts: s
         .otherwise(CONFLICT).alias("result_code"))
 
     stamp = F.lit(run_ts).cast("timestamp_ntz")
-    inserted = global_row_number(winners.filter(F.col("_payroll_id").isNull()), [F.col(ORDER)], "payroll_id",
-                                 start=next_id(rec, "payroll_id"), slots=slots)
+    new = winners.filter(F.col("_payroll_id").isNull())
+    inserted = global_row_number(new, [F.col(ORDER)], "payroll_id", start=_first_id(rec, "payroll_id", new, reserve), slots=slots)
     new_rows = _shaped(inserted.withColumns({
         "payroll_status": F.lit("processed"), "processed_at": stamp, "lock_version": F.lit(1)}), PAYROLL_RECORDS)
 
@@ -346,3 +360,17 @@ def merge_payroll(rec: DataFrame, emp: DataFrame, requests: DataFrame, run_ts: s
         "lock_version": F.col("lock_version") + hit.cast("int"),
     })
     return _shaped(updated, PAYROLL_RECORDS).unionByName(new_rows), outcome
+
+
+def publish_job(spark: SparkSession, folder: str, years: Iterable[int], job: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+                ) -> tuple[int, DataFrame]:
+    """Run a job on the stored records and publish the years that it may change.
+
+    The job takes the records and returns their new state and an outcome. The
+    answer is 0 and the outcome, or 2 when another writer has replaced one of
+    the years since the records were read: nothing is published then, and the
+    job may be run again on the new records.
+    """
+    version = records_version(spark, folder)
+    state, outcome = job(load_tables(spark, folder, ("payroll_records",))["payroll_records"])
+    return publish_records(state, folder, list(years), version), outcome

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paystrata.functions.text import action_label
 from paystrata.schema import ACTIVITY_LOGS, ETL_JOBS, WAREHOUSE
+from paystrata.sources import versions
 from paystrata.sources.tables import append_table, load_tables
 
 # Fixed value: the name of the warehouse job.
@@ -20,6 +21,7 @@ def append_activity(log: DataFrame, actions: DataFrame, users: DataFrame) -> Dat
 
     The name is frozen: later changes of the user do not reach the log.
     """
+    # The name and the address where there is none.
     names = users.select("user_id", "username")
     rows = actions.join(names, "user_id", "left").select(
         "log_id", "user_id",
@@ -79,6 +81,25 @@ def write_snapshot(star: dict[str, DataFrame], folder: str, job_id: int) -> str:
     return path
 
 
+def claim_job(spark: SparkSession, folder: str, job_id: int | None = None) -> int:
+    """Take a job id that no run has had: the given one, or the next. Each id goes to one caller.
+
+    A used id is refused before anything is written.
+    """
+    log = f"{folder}/etl_jobs"
+    used = read_jobs(spark, folder).select("job_id") if versions.names(spark, log) else None
+    if job_id is not None:
+        taken = used is not None and not used.filter(F.col("job_id") == job_id).isEmpty()
+        if taken or not versions.put_if_absent(spark, f"{folder}/_jobs/{job_id}", ""):
+            raise ValueError(f"job {job_id} has been run")
+        return job_id
+    newest = used.agg(F.max("job_id")).first()[0] if used is not None else None
+    job_id = max([newest or 0, *(int(name) for name in versions.names(spark, f"{folder}/_jobs") if name.isdigit())]) + 1
+    while not versions.put_if_absent(spark, f"{folder}/_jobs/{job_id}", ""):
+        job_id += 1
+    return job_id
+
+
 def log_job(spark: SparkSession, folder: str, job_id: int, status: str, records: int,
              message: str | None, started: str, completed: str | None) -> None:
     row = spark.range(1).select(
@@ -90,9 +111,9 @@ def log_job(spark: SparkSession, folder: str, job_id: int, status: str, records:
 
 
 def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    """The job log, one row per job: its final state once there is one."""
+    """The job log, one row per job: completed if it ever was, else its latest final state, else running."""
     log = spark.read.schema(ETL_JOBS).parquet(f"{folder}/etl_jobs")
-    state = F.struct(F.col("completed_at").isNotNull().alias("done"), *ETL_JOBS.names)
+    state = F.struct((F.col("job_status") == "completed").alias("whole"), F.col("completed_at").alias("ended"), *ETL_JOBS.names)
     return log.groupBy("job_id").agg(F.max(state).alias("state")) \
         .select([F.col(f"state.{name}") for name in ETL_JOBS.names])
 

@@ -9,6 +9,7 @@ above it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ def staging_root(spark: SparkSession) -> str:
         folder = spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/") + "/paystrata"
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {_SETTING} to a folder that every executor can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="paystrata-stage-")

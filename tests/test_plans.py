@@ -5,7 +5,7 @@ import pytest
 from paystrata.operators import aggregates as agg
 from paystrata.operators import filters, joins, topk, windows
 from paystrata.plans import etl
-from paystrata.sources import tables
+from paystrata.sources import staging, tables
 from tests.fixtures import log_row, logs, seed, users
 
 
@@ -137,3 +137,18 @@ def test_a_hot_key_is_split(spark, hot):
         for key in settings:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_small_delete_does_not_shuffle_the_records(spark, stored, monkeypatch):
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staging.staged(df, label)
+    monkeypatch.setattr(joins, "staged", noted)
+    ids = spark.createDataFrame([(1,)], "employee_id long")
+    joins.deletable_employees(stored["employees"], ids, stored["payroll_records"])
+    plan = plans["held-records"]
+    above = plan[:plan.index("BroadcastHashJoin")]
+    # The records reach the join as they are scanned; what is exchanged above it are their counts.
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan and above.count("Exchange hashpartitioning") == 1 and "partial_count" in above

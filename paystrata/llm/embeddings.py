@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paystrata.llm.components import block_components, connected_components
+from paystrata.llm.components import block_components
+from paystrata.operators.components import connected_components
 from paystrata.sources.staging import staged
 
 TILE = 2048

@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paystrata.llm.components import block_components, connected_components
+from paystrata.llm.components import block_components
 from paystrata.llm.words import by_group, mixed, utf8, word_spans
+from paystrata.operators.components import connected_components
 from paystrata.sources.staging import staged
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))

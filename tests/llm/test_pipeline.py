@@ -62,7 +62,20 @@ def test_against_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("number", [0, 1, 2, 3])
+def test_stages_with_clashing_columns(spark, documents, tmp_path, number):
+    tables(spark, documents, str(tmp_path))
+    names = ["__key", "group", "component_id", "text_key", "start", "words", "size", "copies", "__nth", "first", "rows", "score"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    more = docs.selectExpr("*", *[f"{i} AS `{n}_`" if n.startswith("__") else f"{i} AS `{n}`" for i, n in enumerate(names)])
+    _, stage = corpus_pipeline.STAGES[number]
+    got = stage(spark, more, str(tmp_path))
+    assert got.columns == more.columns
+    plain = lambda rows: sorted((r["doc_id"], r["text"] or "") for r in rows.collect())
+    assert plain(got) == plain(stage(spark, docs, str(tmp_path)))
 
 
 def test_different_texts_of_one_doc_id(spark, documents):

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from paystrata.llm.components import block_components, connected_components
+from paystrata.llm.components import block_components
 from paystrata.llm.simhash import bucket_keys, fingerprint, print_links, segment_keys, simhash_groups
+from paystrata.operators.components import connected_components
 
 
 def plain_fingerprint(text, k=4):

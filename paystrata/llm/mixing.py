@@ -119,9 +119,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     sized = docs.withColumn("__words", word_count(F.col("text")))
     mine = (F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source"))
             & (F.col("__words") == F.col("__size")))
-    alone = sized.join(renamed.filter("__rows = 1"), mine).withColumn("__times", F.col("__copies"))
+    # The copies grow with the documents, so they are never broadcast: each text is shuffled once, at any size.
     salt = (F.pmod(F.xxhash64("text"), F.lit(_SLOTS)) * _SLOTS + F.floor(F.rand(0) * _SLOTS)).cast("int")
-    shared = staged(sized.join(renamed.filter("__rows > 1"), mine).withColumn("__salt", salt), "mix-shared")
+    taken = staged(sized.join(renamed.hint("merge"), mine).withColumn("__salt", salt), "mix-taken")
+    alone = taken.filter("__rows = 1").withColumn("__times", F.col("__copies"))
+    shared = taken.filter("__rows > 1")
     group = ["__doc_id", "__source", "__size"]
     held = shared.groupBy(*group, "__salt").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)

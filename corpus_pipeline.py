@@ -8,7 +8,7 @@ tested against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paystrata.llm import lines, mixing, packing, quality, simhash
@@ -33,18 +33,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = simhash.keyed_groups(docs).filter("doc_id is not null").groupBy("doc_id", "group", "component_id").agg(
         F.count("*").alias("rows"), F.min("text_key").alias("least"), F.collect_set("text_key").alias("keys"))
-    # What goes or is repeated is the smaller part, so the join is on that.
-    touched = staged(rows.filter("doc_id <> component_id or rows > 1").select(
-        "doc_id", "component_id", "least", F.explode("keys").alias("text_key")), "near-touched")
-    kept = touched.filter("doc_id = component_id and text_key = least")
-    same = lambda t: (docs["doc_id"] == t["doc_id"]) & (F.xxhash64(docs["text"]) == t["text_key"])
-    untouched = docs.join(touched, same(touched), "left_anti")
-    repeated = docs.join(kept, same(kept), "left_semi").dropDuplicates(["doc_id", "text"])
-    return untouched.unionByName(repeated)
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("least"))
+    touched = staged(rows.filter("doc_id <> component_id or rows > 1").withColumn("text_key", F.explode("keys")).select(
+        F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text_key"), stays.alias("__stays")), "near-touched")
+    keyed = docs.filter("doc_id is not null").withColumn("__key", F.xxhash64("text"))
+    # Decisions grow with the documents, so they are never broadcast: each text is shuffled once, at any size.
+    judged = keyed.join(touched.hint("merge"), (F.col("doc_id") == F.col("__doc")) & (F.col("__key") == F.col("__text_key")), "left")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("__key"))
+    kept = judged.withColumn("__nth", nth).filter("__stays is null or (__stays and __nth = 1)").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines and sentences are cut out of the texts; every document stays."""
+    """Repeated passages are cut out of the texts; every document stays."""
     return lines.remove_repeats(docs)
 
 

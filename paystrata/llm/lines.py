@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paystrata.llm.words import WORD, mixed
@@ -55,23 +55,23 @@ UNIT = re.compile(r"(?:[^\n.!?]+|[.!?]+[^ \t\n.!?])*(?:\n|[.!?]+(?:[ \t]+\n?|\n)
 
 def units_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, bytes]]:
     """(start, end, digested words) of the units that are judged, in order."""
-    return [(start, end, words) for start, end, words, *_ in _cut(text, min_words)[0]]
+    places, digested, _ = _cut(text, min_words)
+    return [(start, end, words) for start, end, words in zip(places[::4], places[1::4], digested)]
 
 
-def _cut(text: str, min_words: int) -> tuple[list[tuple[int, int, bytes, int, int, int]], list[bytes]]:
-    """Units with their number, the words before them and their own, and all words of the text."""
-    found, before, all_words, nth = [], [], [], 0
+def _cut(text: str, min_words: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Start, end, words before and own words of each unit in a row, what is digested of each, and all words of the text."""
+    places, digested, before, all_words = [], [], [], []
     for match in UNIT.finditer(text):
         words = match.group().encode().lower().split()
         if not words:
             continue
-        start, end = match.span()
-        place = (nth, len(all_words), len(words))
-        nth += 1
+        at = len(all_words)
         all_words += words
         if len(words) >= min_words:
             before = [words]
-            found.append((start, end, b" ".join(words), *place))
+            places += (*match.span(), at, len(words))
+            digested.append(b" ".join(words))
             continue
         before.append(words)
         need, parts = min_words, []
@@ -82,8 +82,9 @@ def _cut(text: str, min_words: int) -> tuple[list[tuple[int, int, bytes, int, in
                 break
         before = parts[::-1]
         if need <= 0:
-            found.append((start, end, b" ".join([w for part in before for w in part]) + b" |%d" % len(words), *place))
-    return found, all_words
+            places += (*match.span(), at, len(words))
+            digested.append(b" ".join([w for part in before for w in part]) + b" |%d" % len(words))
+    return places, digested, all_words
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -91,14 +92,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
 
+_MARKS = ("doc_id long, text_key long, units array<struct<span:long,place:long,high:long,low:long>>, "
+          "anchors array<struct<at:int,high:long,low:long>>")
+
+
 def text_marks(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSAGE) -> DataFrame:
-    """(doc_id, text_key, at, length, nth, before, words, high, low): units and anchors of every document, with 128-bit digests.
+    """(doc_id, text_key, units, anchors) of every document, with 128-bit digests.
 
-    A unit lies ``at`` a character, an anchor ``at`` a word; anchors have length
-    0 and no more but their digest.
+    ``span`` holds a unit's start and length and ``place`` the words before it
+    and its own, each pair as the halves of one number.
     """
     gram = _gram(passage)
-    names = ["doc_id", "text_key", "at", "length", "nth", "before", "words", "high", "low"]
+    weights = mixed(np.arange(1, 2 * gram + 1, dtype=np.uint64)).reshape(2, gram) | np.uint64(1)
+
+    def lists(counts: list[int], **columns: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns.values()], list(columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, known = xxhash.xxh3_128_digest, _WordHashes()
@@ -107,34 +116,41 @@ def text_marks(docs: DataFrame, min_words: int = MIN_WORDS, passage: int = PASSA
             at = 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _AT_ONCE, "right")))
-                part, rows, counts, digests = batch.slice(at, end - at), [], [], []
+                part = batch.slice(at, end - at)
+                places, digests, n_units, firsts, sums = [], [], [], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
                 for text in part.column(2).to_pylist():
-                    units, words = _cut(text or "", min_words)
+                    mine, digested, words = _cut(text or "", min_words)
+                    places += mine
+                    digests += map(digest, digested)
+                    n_units.append(len(digested))
                     hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    anchors = anchors_of(hashes, passage).tolist()
-                    rows += [(u[0], u[1] - u[0], *u[3:]) for u in units]
-                    rows += [(i, 0, 0, 0, 0) for i in anchors]
-                    digests += [digest(u[2]) for u in units]
-                    digests += [digest(hashes[i:i + gram].tobytes()) for i in anchors]
-                    counts.append(len(units) + len(anchors))
-                owner = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                    firsts.append(anchors_of(hashes, passage))
+                    runs = hashes[firsts[-1][:, None] + np.arange(gram)]
+                    # Two sums of all word hashes, each times an odd number of its place.
+                    sums.append(np.stack([(runs * w).sum(axis=1) for w in weights], axis=1))
+                start, stop, before, words = np.array(places, np.int64).reshape(-1, 4).T
                 halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                places = np.array(rows, np.int32).reshape(-1, 5)
+                anchors = mixed(np.concatenate(sums)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()).take(owner), part.column(1).take(owner), *(pa.array(places[:, i].copy()) for i in range(5)),
-                     pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names)
+                    [part.column(0).cast(pa.int64()), part.column(1),
+                     lists(n_units, span=start << 32 | stop - start, place=before << 32 | words, high=halves[:, 0], low=halves[:, 1]),
+                     lists([len(f) for f in firsts[1:]], at=np.concatenate(firsts).astype(np.int32), high=anchors[:, 0], low=anchors[:, 1])],
+                    ["doc_id", "text_key", "units", "anchors"])
                 at = end
         pa.default_memory_pool().release_unused()
-    return keyed(docs).mapInArrow(
-        run, "doc_id long, text_key long, at int, length int, nth int, before int, words int, high long, low long")
+    return keyed(docs).mapInArrow(run, _MARKS)
 
 
 def _units(marks: DataFrame) -> DataFrame:
-    return marks.filter("length > 0").withColumnRenamed("at", "start")
+    return marks.select("doc_id", "text_key", F.inline("units"))
 
 
 def _anchors(marks: DataFrame) -> DataFrame:
-    return marks.filter("length = 0").select("doc_id", "text_key", "at", "high", "low")
+    return marks.select("doc_id", "text_key", F.inline("anchors"))
+
+
+def _halves(pair: str) -> tuple[Column, Column]:
+    return F.shiftright(pair, 32).cast("int"), F.col(pair).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def _later(rows: DataFrame, at: str, label: str) -> DataFrame:
@@ -159,15 +175,21 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, min_run: int = 1
 
 
 def _repeated_units(marks: DataFrame, min_run: int) -> DataFrame:
-    later = _later(_units(marks), "start", "unit-groups")
+    later = _later(_units(marks), "span", "unit-groups")
     if min_run > 1:
-        # Units in a row differ in number and in rank by the same. A run's words are counted by place, so that repeated rows count once.
-        run = Window.partitionBy("doc_id", "text_key", "run")
-        rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_key").orderBy("nth"))
-        held = F.max(F.col("before") + F.col("words")).over(run) - F.min("before").over(run)
-        later = later.withColumn("run", F.col("nth") - rank).withColumn("held", held).filter(F.col("held") >= min_run)
-    return later.select("doc_id", "start", "length", F.col("first.doc_id").alias("first_doc_id"),
-                        F.col("first.start").alias("first_start"), "copies", "text_key")
+        # A run begins where the words before a unit are not those up to the last unit's end. Places, not rows, are
+        # compared, so that repeated rows count once.
+        before, words = _halves("place")
+        text = Window.partitionBy("doc_id", "text_key").orderBy("before")
+        later = later.withColumn("before", before).withColumn("end", before + words)
+        follows = F.max("end").over(text.rangeBetween(Window.unboundedPreceding, -1)) == F.col("before")
+        later = later.withColumn("begin", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("before")))
+        later = later.withColumn("run", F.max("begin").over(text.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        held = F.max("end").over(Window.partitionBy("doc_id", "text_key", "run")) - F.col("run")
+        later = later.withColumn("held", held).filter(F.col("held") >= min_run)
+    start, length = _halves("span")
+    return later.select("doc_id", start.alias("start"), length.alias("length"), F.col("first.doc_id").alias("first_doc_id"),
+                        F.shiftright("first.span", 32).cast("int").alias("first_start"), "copies", "text_key")
 
 
 class _WordHashes(dict):

@@ -156,9 +156,18 @@ def _counted(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
     return counted.groupBy("feature", "kind").agg(F.sum("n").alias("n"))
 
 
+def _remainder(doc_id):
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3
+
+
 def in_training(doc_id):
-    """True unless the document is held out: crc32 of the doc_id as text, modulo 3, is 1."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
+    """Whether labels of the document may be learnt from: crc32 of the doc_id as text, modulo 3, is not 1. Without a doc_id never."""
+    return F.coalesce(_remainder(doc_id) != 1, F.lit(False))
+
+
+def held_out(doc_id):
+    """Whether that remainder is 1; without a doc_id there is none."""
+    return F.coalesce(_remainder(doc_id) == 1, F.lit(False))
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -253,8 +262,9 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     ``passages`` are the maximal segments that beat chance: start and end as
     character offsets of the text, and bits. Null and empty texts, and texts
-    without letters, have none and the lowest score. Other columns of ``docs``
-    are not read.
+    without letters, have none and the lowest score. Repeated rows get the same
+    score each, an empty table has no rows. Other columns of ``docs`` are not
+    read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = model.word_scores()
@@ -282,5 +292,5 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return toxic_passages(docs, fit(docs, labels)).select(
-        "doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score",
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

@@ -3,10 +3,11 @@
 import os
 import random
 import zlib
+import zlib
 
 import pytest
 
-from paystrata.llm.toxicity import ToxicModel, _Scores, fit, maximal_segments, toxic_passages
+from paystrata.llm.toxicity import op1_toxicity, ToxicModel, _Scores, fit, maximal_segments, toxic_passages
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -95,3 +96,12 @@ def test_held_out_accuracy_on_the_sample(spark):
     caught = sum(f for f, r in zip(found, rows) if r["toxic"]) / sum(r["toxic"] for r in rows)
     wrong = sum(f for f, r in zip(found, rows) if not r["toxic"]) / sum(1 - r["toxic"] for r in rows)
     assert caught > 0.8 and wrong < 0.01
+
+
+def test_rows_without_a_number_and_repeated_rows(spark, documents, tmp_path):
+    documents([(1, "vile words"), (1, "vile words"), (None, "no number"), (5, "clean words"), (0, "other words")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 1), (1, 1, 1), (None, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(rows) == 5 and len({r.score for r in rows if r.doc_id == 1}) == 1
+    out = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (0, 1, 5)} | {None: False}
+    assert all(r.held_out == out[r.doc_id] for r in rows)

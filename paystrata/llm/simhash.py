@@ -13,9 +13,9 @@ segments, and every pair of segments is one kind of bucket (24 bits, 85 keys a
 fingerprint on average). What shares a bucket is verified on all 64 bits.
 
 Fingerprints are made distinct first, so exact copies cost one row. Buckets
-are spread over tasks by a hash of the key. A task reports, for what is linked
-inside it, one link to the smallest member: the links stay linear in the keys
-and no pair list is ever written.
+are spread over tasks by a hash of the key, a large bucket over pairs of its
+slices. A task reports, for what is linked inside it, one link to the smallest
+member: the links stay linear in the keys and no pair list is ever written.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from paystrata.sources.staging import staged
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 _ENTRY = np.dtype([("key", "<u4"), ("print", "<u8")])
+_HELD = 2_000_000  # links a task holds before it reduces them to a forest
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -114,12 +115,12 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(found)
 
 
-def _spread(parts: int):
+def _spread(parts: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(all_prints), 4096):
-                prints = all_prints[at:at + 4096]
+            for at in range(0, len(all_prints), step):
+                prints = all_prints[at:at + step]
                 owner, key = bucket_keys(prints)
                 entries = np.empty(len(key), _ENTRY)
                 entries["key"], entries["print"] = key, prints[owner]
@@ -131,31 +132,69 @@ def _spread(parts: int):
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what ``a`` and ``b`` connect: from every member but the smallest to the smallest."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    root = block_components(len(nodes), place[:len(a)], place[len(a):])
+    leaf = root != np.arange(len(nodes))
+    return nodes[leaf], nodes[root[leaf]]
+
+
 def _linked(most_bits: int):
+    """Links among the entries of a part, or between two slices of a large one."""
     def run(table: pa.Table) -> pa.Table:
-        entries = np.frombuffer(b"".join(table.column("entries").to_pylist()), _ENTRY)
-        entries = entries[np.argsort(entries["key"], kind="stable")]
-        key, prints = entries["key"], entries["print"]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        last = np.repeat(starts + sizes - 1, sizes)
-        at = np.flatnonzero(np.arange(len(key)) < last)
-        left, right, lag = [], [], 1
-        while len(at):  # every entry against the one ``lag`` places on in its bucket
-            near = at[np.bitwise_count(prints[at] ^ prints[at + lag]) <= most_bits]
-            left.append(near)
-            right.append(near + lag)
-            lag += 1
-            at = at[at + lag <= last[at]]
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        nodes, place = np.unique(np.r_[prints[a], prints[b]], return_inverse=True)
-        root = block_components(len(nodes), place[:len(a)], place[len(a):])
-        leaf = root != np.arange(len(nodes))
-        return pa.table({"a": nodes[leaf].view(np.int64), "b": nodes[root[leaf]].view(np.int64)})
+        first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+        slices = table.column("slice").to_numpy()
+        data = table.column("entries").to_pylist()
+
+        def entries_of(number: int) -> np.ndarray:
+            entries = np.frombuffer(b"".join(data[i] for i in np.flatnonzero(slices == number).tolist()), _ENTRY)
+            return entries[np.argsort(entries["key"], kind="stable")]
+
+        left = entries_of(first)
+        right = left if first == second else entries_of(second)
+        # Every left entry against the right ones of its bucket, one step at a time; inside a slice, those after it.
+        to = np.arange(1, len(left) + 1) if first == second else np.searchsorted(right["key"], left["key"], side="left")
+        stop = np.searchsorted(right["key"], left["key"], side="right")
+        prints, others = left["print"], right["print"]
+        a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        found, held = [], 0
+        at = np.flatnonzero(to < stop)
+        while len(at):
+            near = at[np.bitwise_count(prints[at] ^ others[to[at]]) <= most_bits]
+            found.append((prints[near], others[to[near]]))
+            held += len(near)
+            if held > _HELD:
+                a, b = _forest(*map(np.concatenate, zip((a, b), *found)))
+                found, held = [], 0
+            to[at] += 1
+            at = at[to[at] < stop[at]]
+        a, b = _forest(*map(np.concatenate, zip((a, b), *found)))
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
     return run
 
 
+def bucket_tiles(prints: DataFrame, entries_per_task: int = 400_000) -> DataFrame:
+    """(part, first, second, slice, entries): what the tasks compare, a task for each (part, first, second).
+
+    A part holds whole buckets. One with more than twice ``entries_per_task``
+    entries, as a bucket of very many fingerprints makes it, is cut into slices
+    of about a quarter of that size, and every pair of slices is a task of its
+    own: a task's entries are bounded whatever a bucket holds.
+    """
+    count = prints.count()
+    parts = max(1, -(-count * 85 // entries_per_task))
+    step = max(1, min(4096, entries_per_task // 32))
+    spread = prints.repartition(max(1, -(-count // 8192)), "print").mapInArrow(_spread(parts, step), "part long, entries binary")
+    size = F.sum(F.length("entries")) / _ENTRY.itemsize
+    large = staged(spread.groupBy("part").agg(size.alias("size")).filter(F.col("size") > 2 * entries_per_task).select(
+        "part", F.ceil(4 * F.col("size") / entries_per_task).alias("slices")), "large-parts")
+    placed = spread.join(large, "part", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn(
+        "slice", F.pmod(F.xxhash64("entries"), "slices"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).select(
+        "part", F.least("slice", "other").alias("first"), F.greatest("slice", "other").alias("second"), "slice", "entries")
+
+
 def print_links(prints: DataFrame, most_bits: int = 4, entries_per_task: int = 400_000) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``most_bits`` of each other.
 
@@ -164,10 +203,8 @@ def print_links(prints: DataFrame, most_bits: int = 4, entries_per_task: int = 4
     """
     if not 0 <= most_bits <= 4:
         raise ValueError("the segments cover up to four differing bits")
-    count = prints.count()
-    parts = max(1, -(-count * 85 // entries_per_task))
-    spread = prints.repartition(max(1, -(-count // 8192)), "print").mapInArrow(_spread(parts), "part long, entries binary")
-    return spread.groupBy("part").applyInArrow(_linked(most_bits), "a long, b long").distinct()
+    tiles = bucket_tiles(prints, entries_per_task)
+    return tiles.groupBy("part", "first", "second").applyInArrow(_linked(most_bits), "a long, b long").distinct()
 
 
 def keyed_groups(docs: DataFrame, shingle: int = 4, most_bits: int = 4) -> DataFrame:

@@ -3,11 +3,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from paystrata.llm import simhash
 from paystrata.llm.components import block_components
-from paystrata.llm.simhash import bucket_keys, fingerprint, print_links, segment_keys, simhash_groups
+from paystrata.llm.simhash import _ENTRY, bucket_keys, bucket_tiles, fingerprint, print_links, segment_keys, simhash_groups
 from paystrata.operators.components import connected_components
 
 
@@ -90,6 +93,36 @@ def test_links_connect_exactly_what_is_near(spark):
     assert [got.get(p, p) for p in signed] == [signed[i] for i in want]
 
 
+def test_a_bucket_of_most_fingerprints_is_cut_into_bounded_tasks(spark):
+    rng = np.random.default_rng(11)
+    hot = np.uint64(0x2A5A5A5A5A5A) | rng.choice(1 << 18, 1800, replace=False).astype(np.uint64) << np.uint64(46)
+    prints = np.unique(np.r_[hot, rng.integers(0, 1 << 64, 200, dtype=np.uint64)])
+    table = spark.createDataFrame([(p,) for p in prints.view(np.int64).tolist()], "print long")
+    sizes = {(r["part"], r["first"], r["second"]): r["n"] for r in bucket_tiles(table, 400).groupBy("part", "first", "second").agg(
+        (F.sum(F.length("entries")) / _ENTRY.itemsize).alias("n")).collect()}
+    owner, key = bucket_keys(prints)
+    assert np.unique(key, return_counts=True)[1].max() >= 1800 and max(sizes.values()) <= 800
+    left, right = np.nonzero(np.bitwise_count(prints[:, None] ^ prints) <= 4)
+    want = block_components(len(prints), left, right)
+    got = {r["node"]: r["component"] for r in connected_components(print_links(table, entries_per_task=400)).collect()}
+    signed = prints.view(np.int64)
+    low = np.full(len(prints), np.iinfo(np.int64).max)
+    np.minimum.at(low, want, signed)
+    assert [got.get(p, p) for p in signed.tolist()] == low[want].tolist()
+
+
+def test_a_task_reduces_the_links_it_holds(spark, monkeypatch):
+    prints = np.array([0, 1, 3, 7, 15, 31, 63, 63 << 40, 63 << 40 | 1], np.uint64)
+    entries = np.zeros(len(prints), _ENTRY)
+    entries["print"] = prints
+    one = np.zeros(1, np.int64)
+    table = pa.table({"part": one, "first": one, "second": one, "slice": one, "entries": pa.array([entries.tobytes()], pa.binary())})
+    whole = simhash._linked(4)(table)
+    monkeypatch.setattr(simhash, "_HELD", 1)
+    assert simhash._linked(4)(table).equals(whole)
+    assert sorted(whole.column("b").to_pylist()) == [0] * 6 + [63 << 40]
+
+
 def test_groups(spark, documents):
     base = " ".join(f"word{i}" for i in range(120))
     rows = [(7, base), (3, base.upper().replace("WORD", "Word")), (9, base.replace("word60", "other")), (1, None), (2, ""), (4, " \n"),

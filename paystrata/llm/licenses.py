@@ -31,25 +31,68 @@ _WORD = re.compile(r"[^\W_]+")
 _MEMO = 300_000
 _TOGETHER = 256  # texts whose windows are looked up at once
 
-# The usual wording of license notices and grants.
+# The usual wording of license notices, headers, grants and disclaimers.
 TEMPLATES = {
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+                       "your option) any later version.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance "
-                         "with the License. You may obtain a copy of the License at",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+                         "compliance with the License. You may obtain a copy of the License at",
+    "apache-2.0-disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+                             "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+                             "implied. See the License for the specific language governing permissions and limitations under the "
+                             "License.",
+    "apache-2.0-patent-grant": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a "
+                               "perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (except as stated in this "
+                               "section) patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer "
+                               "the Work",
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
                  "following conditions are met:",
+    "bsd-conditions": "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+                      "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of "
+                      "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+                      "distribution.",
+    "bsd-3-clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+                                "promote products derived from this software without specific prior written permission.",
+    "bsd-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+                      "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+                      "PARTICULAR PURPOSE ARE DISCLAIMED.",
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                      "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+                      "option) any later version.",
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-                      "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-                      "later version.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+                      "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+                      "option) any later version.",
+    "gpl-disclaimer": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+                      "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+                      "for more details.",
+    "gpl-preamble": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the "
+                    "GNU General Public License is intended to guarantee your freedom to share and change free software",
+    "gpl-3.0-preamble": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+                 "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                       "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+                       "(at your option) any later version.",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                       "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+                       "your option) any later version.",
     "mit-notice": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-                 "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-                 "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+                 "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+                 "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
                  "permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+                      "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                      "not distributed with this file, You can obtain one at",
 }
 
 
@@ -141,6 +184,9 @@ class LicenseIndex:
         classes: dict[int, list[int]] = {}
         for i, s in enumerate(self.shingles):
             classes.setdefault(1 << (len(s) - 1).bit_length(), []).append(i)
+        # Templates that share at least half of the shingles of either.
+        self.rivals = [{j for j, t in enumerate(self.shingles) if j != i and 2 * len(s & t) >= max(len(s), len(t))}
+                       for i, s in enumerate(self.shingles)]
         self.classes = []
         for length, members in sorted(classes.items()):
             t = min(len(self.shingles[i]) for i in members)
@@ -200,12 +246,25 @@ class LicenseIndex:
         return [(t, a, b, share) for t, found in sorted(spans.items()) for a, b, share in found]
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = 0.8) -> DataFrame:
+    def best(self, found: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+        """Those matches that no overlapping match of a rival template beats with a larger share; equal shares all stay."""
+        kept: list[tuple[int, int, int, float]] = []
+        for t, a, b, share in sorted(found, key=lambda m: -m[3]):
+            if not any(o in self.rivals[t] and share < other and a < y and x < b for o, x, y, other in kept):
+                kept.append((t, a, b, share))
+        return sorted(kept)
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, contained: float = 0.8,
+                    best_only: bool = False) -> DataFrame:
     """(doc_id, license, start, end, share) of every stretch that holds a template.
 
     ``start`` and ``end`` are character offsets, ``share`` the part of the
-    template's shingles found. Null and empty texts hold nothing; repeated rows
-    give repeated rows; no templates give no rows. Other columns are not read.
+    template's shingles found. With ``best_only``, of templates that share half
+    of their shingles (headers of two versions of a license) only those with the
+    largest share of a stretch are reported for it. Null and empty texts hold
+    nothing; repeated rows give repeated rows; no templates give no rows. Other
+    columns are not read.
     """
     index = LicenseIndex(TEMPLATES if templates is None else templates, contained)
 
@@ -222,7 +281,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
                 for text, *window in index.candidates(np.concatenate(hashes), np.array([len(h) for h in hashes])):
                     windows.setdefault(text, []).append(tuple(window))
                 for i, mine in sorted(windows.items()):
-                    if found := index.matches(words[i], mine):
+                    found = index.matches(words[i], mine)
+                    if found:
+                        found = index.best(found) if best_only else found
                         spans = [m.span() for m in _WORD.finditer(texts[i])]
                         rows += [(ids[i], index.names[t], spans[a][0], spans[b - 1][1], share) for t, a, b, share in found]
             columns = list(zip(*rows)) or [()] * 5
@@ -233,5 +294,5 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, co
 
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents against the built-in templates."""
-    return license_matches(spark.read.parquet(f"{folder}/documents.parquet"))
+    """All documents against the built-in templates; of versions that share their wording, the one that fits best."""
+    return license_matches(spark.read.parquet(f"{folder}/documents.parquet"), best_only=True)

@@ -70,3 +70,29 @@ def test_nulls_empty_long_and_clashing(spark, documents):
     got = license_matches(docs.withColumnRenamed("lang", "license").withColumnRenamed("n_chars", "start")).collect()
     assert [(r["doc_id"], r["license"]) for r in got] == [(None, "cc-by-nc-4.0-notice")]
     assert license_matches(docs.filter("doc_id > 9")).collect() == [] and license_matches(docs, {}).collect() == []
+
+
+def test_versions_with_the_same_wording_are_told_apart(spark, documents):
+    headers = [n for n in TEMPLATES if n.endswith("-header")]
+    rows = [(i, f"# filler before it\n# {TEMPLATES[n]}\n# and words after it") for i, n in enumerate(headers)]
+    every = {(r["doc_id"], r["license"]) for r in license_matches(documents(rows)).collect()}
+    assert (headers.index("gpl-2.0-header"), "gpl-3.0-header") in every
+    got = license_matches(documents(rows), best_only=True).collect()
+    found = {(r["doc_id"], r["license"]) for r in got}
+    assert {(d, n) for d, n in found if n.endswith("-header")} == set(enumerate(headers))
+    assert found - set(enumerate(headers)) == {(headers.index("apache-2.0-header"), "apache-2.0-notice"),
+                                               (headers.index("mpl-2.0-header"), "mpl-2.0-notice")}
+
+
+def test_best_share_follows_what_is_kept():
+    index = LicenseIndex({"x": "a b c d e f g h i j", "y": "a b c d e f g h i k", "z": "p q r s t u v"})
+    assert index.rivals == [{1}, {0}, set()]
+    assert index.best([(0, 0, 10, 0.9), (1, 0, 10, 1.0), (2, 5, 12, 0.8)]) == [(1, 0, 10, 1.0), (2, 5, 12, 0.8)]
+    assert index.best([(0, 0, 10, 0.9), (1, 10, 20, 1.0)]) == [(0, 0, 10, 0.9), (1, 10, 20, 1.0)]
+    assert index.best([(0, 0, 10, 0.9), (1, 3, 13, 0.9)]) == [(0, 0, 10, 0.9), (1, 3, 13, 0.9)]
+
+
+def test_repeated_rows_give_repeated_rows(spark, documents):
+    text = f"{TEMPLATES['isc-grant']} {TEMPLATES['bsd-disclaimer']}"
+    got = license_matches(documents([(1, text), (1, text)]), best_only=True).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(1, "bsd-disclaimer")] * 2 + [(1, "isc-grant")] * 2

@@ -12,7 +12,9 @@ from the target by little more than one long document. The offset is the one of
 A window over a whole source would sort a hot source in one task. Instead the
 (source, size, doc_id) rows are range-partitioned and written once; rows are
 numbered inside each slot, and each slot is shifted by what earlier slots hold
-of the source. Only the sources themselves (one row each, already summed) pass
+of the source. Rows that agree in all three (a source may hold many of one size
+without a doc_id) are told apart by their place in the input, so they spread over
+slots as well; which of them is which makes no difference. Only the sources themselves (one row each, already summed) pass
 through one window.
 """
 
@@ -74,6 +76,13 @@ def _copies(rate: Column, offset: Column, most: int) -> Column:
     return F.least(F.floor(ordinal * rate + offset) - F.floor((ordinal - 1) * rate + offset), F.lit(most)).cast("long")
 
 
+def range_slots(docs: DataFrame, slots: int) -> DataFrame:
+    """(doc_id, source, size, tie, slot): the documents in ranges of about equal numbers of rows."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("tie"))
+    ranged = sized.repartitionByRange(slots, F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last(), "tie")
+    return ranged.withColumn("slot", F.spark_partition_id())
+
+
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every document.
 
@@ -82,16 +91,14 @@ def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     sources form one source. Repeated rows are counted as often as they occur.
     Reruns agree: the order and the offset depend on the rows alone.
     """
-    slots = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    numbered = staged(sized.repartitionByRange(int(slots), F.col("source").asc_nulls_last(), "size", F.col("doc_id").asc_nulls_last())
-                      .withColumn("slot", F.spark_partition_id()), "mix-sizes")
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = staged(range_slots(docs, slots), "mix-sizes")
     held = staged(numbered.groupBy("slot", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-slots")
     targets = source_targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     shift = held.select("slot", "source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
     plan = shift.join(targets.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    inside = Window.partitionBy("slot", "source").orderBy("size", F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy("slot", "source").orderBy("size", F.col("doc_id").asc_nulls_last(), "tie")
     ranked = numbered.withColumn("place", F.row_number().over(inside))
     placed = ranked.alias("r").join(
         plan.alias("p"), (F.col("r.slot") == F.col("p.slot")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select(

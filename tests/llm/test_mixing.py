@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from paystrata.llm.mixing import OP2_SQL, mix, mixed_copies, op2_mix_sources, source_targets
+from paystrata.llm.mixing import OP2_SQL, mix, mixed_copies, op2_mix_sources, range_slots, source_targets
 
 
 def corpus(seed=1, n=400):
@@ -96,3 +96,19 @@ def test_rows_that_share_id_source_and_size(spark, documents):
     for r in mixed_copies(docs).collect():
         decided[r["doc_id"], r["source"], r["size"]] += r["copies"]
     assert Counter(map(key, mix(docs).collect())) == +decided
+
+
+def test_one_size_without_ids_spreads_over_the_slots(spark, documents):
+    rows = [(None, "a b", "hot")] * 1800 + [(i, "w " * (1 + i % 5), "x") for i in range(200)]
+    docs = documents(rows)
+    copies = mixed_copies(docs)
+    got = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in copies.collect()]
+    assert len(got) == 2000
+    hot = [n for doc_id, source, _, n in got if source == "hot"]
+    goal = next(r["target"] for r in copies.filter("source = 'hot'").select("target").limit(1).collect())
+    assert abs(2 * sum(hot) - goal) <= 2 and max(hot) - min(hot) <= 1
+    again = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixed_copies(docs.repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    largest = range_slots(docs, slots).groupBy("slot").count().agg({"count": "max"}).first()[0]
+    assert largest < 2 * 2000 / slots

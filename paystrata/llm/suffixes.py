@@ -24,7 +24,12 @@ cut to ``least`` bytes and split into buckets that hold all equal ones:
 4. Each block merges its windows into spans and cuts them out.
 
 Whatever a block sends is distinct within the block, so a frequent string
-arrives at most once per block.
+arrives at most once per block. Where that is still too much for one task (a
+string in every document), the anchor is hot: its segments are not asked about
+in step 2; all its windows go to the buckets of their own bytes, first in parts
+by block, and what no part finds earlier goes on to the whole bucket. Which
+anchors are hot is estimated from one block in ``SAMPLED``; it changes the way a
+window takes, never whether it goes.
 """
 
 from __future__ import annotations
@@ -41,12 +46,15 @@ from paystrata.llm.words import by_group, mixed
 
 LEAST, SEED = 100, 40
 BLOCK_BYTES = 1 << 20
-CROWDED = 1000  # different segments of one anchor from which their windows are spread
+CROWDED = 1000  # different segments of one anchor from which their windows are spread; a route, with equal results
+HOT = 1_000_000  # entries of one anchor that a task takes; from 10 TB on, one for each 10 MB of text
+SAMPLED = 16  # one block in so many is counted for that
+_PARTS = 1024
 _ENTRY = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("length", "<u4"), ("block", "<i8")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<u4"), ("end", "<u4")])
 _BASE = 0x5851F42D4C957F2D
-_UNIQUE, _EARLIER, _MIXED, _CROWD = range(4)
+_UNIQUE, _EARLIER, _MIXED, _CROWD, _HOT = range(5)
 
 
 @lru_cache(maxsize=2)
@@ -139,6 +147,10 @@ class Block:
         found["doc"], found["start"] = self.ids[self.doc[self.kinds]], self.start[self.kinds]
         return found
 
+    def is_hot(self, hot: np.ndarray) -> np.ndarray:
+        """Whether the anchors of the distinct segments are among the hot ones."""
+        return np.isin(self.segments.anchor[self.kinds], hot)
+
     def later(self, items: np.ndarray, firsts: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Whether items start later than the first of their kind (repeated rows of one doc_id do not)."""
         return (self.ids[doc[items]] != self.ids[doc[firsts]]) | (start[items] != start[firsts])
@@ -148,9 +160,28 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
-def _send(least: int, seed: int, buckets: int):
+def _census(least: int, seed: int):
     def run(docs: pa.Table) -> pa.Table:
-        entries = Block(docs, least, seed).entries()
+        anchors, n = np.unique(Block(docs, least, seed).entries()["anchor"], return_counts=True)
+        return pa.table({"anchor": pa.array(anchors.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+    return run
+
+
+def hot_anchors(dealt: DataFrame, least: int, seed: int, limit: int) -> np.ndarray:
+    """Anchors with more than about ``limit`` entries, in order.
+
+    ``limit`` grows with the text, so there are at most some 300,000 of them
+    (2.4 MB), whatever the corpus.
+    """
+    counted = dealt.filter(F.col("block") % SAMPLED == 0).groupBy("block").applyInArrow(_census(least, seed), "anchor long, n long")
+    found = counted.groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLED > limit)
+    return np.array(sorted(r["anchor"] for r in found.select("anchor").collect()), np.int64).view(np.uint64)
+
+
+def _send(least: int, seed: int, buckets: int, hot: np.ndarray):
+    def run(docs: pa.Table) -> pa.Table:
+        distinct = Block(docs, least, seed)
+        entries = distinct.entries()[~distinct.is_hot(hot)]
         order, starts, groups = by_group(_bucket_of(entries["anchor"], buckets))
         pieces = np.split(entries[order], starts[1:]) if len(starts) else []
         block = docs.column("block")[0].as_py()
@@ -181,7 +212,7 @@ def _answer(crowded: int):
     return run
 
 
-def _sort_out(least: int, seed: int, buckets: int, text_buckets: int):
+def _sort_out(least: int, seed: int, buckets: int, text_buckets: int, hot: np.ndarray):
     """Spans of what is settled, and the text of what is not, by bucket."""
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -189,23 +220,26 @@ def _sort_out(least: int, seed: int, buckets: int, text_buckets: int):
         block = Block(docs, least, seed)
         s = block.segments
         number = docs.column("block")[0].as_py()
-        order, _, _ = by_group(_bucket_of(s.anchor[block.kinds], buckets))
+        asked = np.flatnonzero(~block.is_hot(hot))
+        order, _, _ = by_group(_bucket_of(s.anchor[block.kinds[asked]], buckets))
         parts = [answers.column("data")[i].as_py() for i in np.argsort(answers.column("bucket").to_numpy(), kind="stable").tolist()]
-        state = np.empty(len(block.kinds), np.uint8)
-        state[order] = np.frombuffer(b"".join(parts), np.uint8)
+        state = np.full(len(block.kinds), _HOT, np.uint8)
+        state[asked[order]] = np.frombuffer(b"".join(parts), np.uint8)
         every = np.arange(len(s.first))
         gone = (state[block.kind_of] == _EARLIER) | block.later(every, block.kinds[block.kind_of], block.doc, block.start)
-        mine = block.kinds[state[np.arange(len(block.kinds))] == _MIXED]
-        crowd = block.kinds[state == _CROWD]
+        mine = block.kinds[state == _MIXED]
+        spread = (state == _CROWD) | (state == _HOT)
+        crowd = block.kinds[spread]
         first, last, doc = s.first[mine], s.last[mine], block.doc[mine]
         key = s.anchor[mine]
+        warm = np.zeros(len(mine), bool)
         spans = [_spans(block.ids[block.doc[gone]], block.start[gone], (block.start + s.last - s.first)[gone], least)]
         if len(crowd):
             size = s.last[crowd] - s.first[crowd] + 1
             at = np.repeat(s.first[crowd] - np.cumsum(size) + size, size) + np.arange(size.sum())
             home = np.repeat(block.doc[crowd], size)
             early = np.lexsort((at - block.begins[home], block.ids[home]))
-            at, home = at[early], home[early]
+            at, home, heat = at[early], home[early], np.repeat(state[spread] == _HOT, size)[early]
             inside = at - block.begins[home]
             windows = np.lib.stride_tricks.sliding_window_view(block.text, least)[at]
             value = np.ascontiguousarray(windows).view(f"S{least}").ravel()
@@ -219,23 +253,29 @@ def _sort_out(least: int, seed: int, buckets: int, text_buckets: int):
                 hashes = mixed(hashes + column)
             first, last = np.r_[first, at[lone]], np.r_[last, at[lone]]
             doc, key = np.r_[doc, home[lone]], np.r_[key, hashes]
-        rows = [(number % text_buckets, number, np.concatenate(spans).tobytes(), None, None)]
-        order, starts, groups = by_group(_bucket_of(key, text_buckets))
-        for group, part in zip(groups.tolist(), np.split(order, starts[1:]) if len(starts) else []):
-            heads = np.empty(len(part), _HEAD)
-            heads["doc"], heads["start"] = block.ids[doc[part]], first[part] - block.begins[doc[part]]
-            heads["length"], heads["block"] = last[part] - first[part] + least, number
-            raw = block.text.data
-            texts = b"".join(raw[a:b] for a, b in zip(first[part].tolist(), (last[part] + least).tolist()))
-            rows.append((group, number, None, heads.tobytes(), texts))
+            warm = np.r_[warm, heat[lone]]
+        rows = [(number % text_buckets, 0, number, np.concatenate(spans).tobytes(), None, None)]
+        raw = block.text.data
+        for part, chosen in ((0, np.flatnonzero(~warm)), (1 + number % _PARTS, np.flatnonzero(warm))):
+            order, starts, groups = by_group(_bucket_of(key[chosen], text_buckets))
+            for group, some in zip(groups.tolist(), np.split(chosen[order], starts[1:]) if len(starts) else []):
+                heads = np.empty(len(some), _HEAD)
+                heads["doc"], heads["start"] = block.ids[doc[some]], first[some] - block.begins[doc[some]]
+                heads["length"], heads["block"] = last[some] - first[some] + least, number
+                texts = b"".join(raw[a:b] for a, b in zip(first[some].tolist(), (last[some] + least).tolist()))
+                rows.append((group, part, number, None, heads.tobytes(), texts))
         return _rows(rows)
     return run
 
 
+_PIECES = "bucket long, part long, block long, spans binary, heads binary, texts binary"
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows)) or [()] * 5
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table(dict(zip(["bucket", "block", "spans", "heads", "texts"], (pa.array(c, t) for c, t in zip(columns, types)))))
+    columns = list(zip(*rows)) or [()] * 6
+    types = [pa.int64()] * 3 + [pa.binary()] * 3
+    names = ["bucket", "part", "block", "spans", "heads", "texts"]
+    return pa.table(dict(zip(names, (pa.array(c, t) for c, t in zip(columns, types)))))
 
 
 def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
@@ -269,10 +309,14 @@ def previous_factor_reaches(text: np.ndarray, starts: np.ndarray, place: np.ndar
     return reaches
 
 
-def _factor(least: int):
-    """Spans of the windows that occur earlier, among the segments of a bucket."""
+def _factor(least: int, buckets: int):
+    """Spans of the windows that occur earlier, among the segments of a bucket or of a part of it.
+
+    Of a part, the windows that do not occur earlier there are passed on to the bucket.
+    """
     def run(table: pa.Table) -> pa.Table:
         settled = [(r["block"], r["spans"]) for r in table.select(["block", "spans"]).to_pylist() if r["spans"]]
+        passed = []
         heads = np.frombuffer(b"".join(x for x in table.column("heads").to_pylist() if x), _HEAD)
         found = []
         if len(heads):
@@ -287,7 +331,11 @@ def _factor(least: int):
             new = np.r_[True, (doc[order][1:] != doc[order][:-1]) | (at[order][1:] != at[order][:-1])]
             place = np.empty(len(order), np.int64)
             place[order] = np.cumsum(new)
-            gone = np.flatnonzero(previous_factor_reaches(text, starts, place, least))
+            reaches = previous_factor_reaches(text, starts, place, least)
+            gone = np.flatnonzero(reaches)
+            if table.column("part")[0].as_py():  # every piece of a part is one window
+                passed = [(table.column("bucket")[0].as_py(), 0, None, None, heads[~reaches].tobytes(),
+                           text.reshape(-1, least)[~reaches].tobytes())]
             if len(gone):  # neighbouring windows of one segment make one span
                 new = np.r_[True, (owner[gone][1:] != owner[gone][:-1]) | (gone[1:] != gone[:-1] + 1)]
                 a = gone[new]
@@ -295,8 +343,7 @@ def _factor(least: int):
                 spans = _spans(doc[a], at[a], at[b], least)
                 order, begins, groups = by_group(heads["block"][owner[a]])
                 found = [(g, p.tobytes()) for g, p in zip(groups.tolist(), np.split(spans[order], begins[1:]))]
-        rows = settled + found
-        return pa.table({"block": pa.array([b for b, _ in rows], pa.int64()), "spans": pa.array([s for _, s in rows], pa.binary())})
+        return _rows([(b % buckets, 0, b, spans, None, None) for b, spans in settled + found] + passed)
     return run
 
 
@@ -329,14 +376,14 @@ def _cut(with_text: bool):
 
 
 def repeated_substrings(docs: DataFrame, least: int = LEAST, seed: int = SEED, block_bytes: int = BLOCK_BYTES,
-                        crowded: int = CROWDED, with_text: bool = False) -> DataFrame:
+                        crowded: int = CROWDED, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of every document.
 
     ``spans`` are the maximal removed runs as byte offsets, ``kept`` the
     remaining bytes (null unless ``with_text``). Null texts are empty. A null
     doc_id comes before all others. Rows that repeat a doc_id are ordered by
     start alone, so equal ones lose nothing to each other. Other columns of
-    ``docs`` are not read.
+    ``docs`` are not read. ``crowded`` and ``hot`` choose routes, not results.
     """
     if seed < 16 or not 0 <= least - seed < 128:
         raise ValueError("anchors need 16 <= seed <= least < seed + 128")
@@ -349,11 +396,14 @@ def repeated_substrings(docs: DataFrame, least: int = LEAST, seed: int = SEED, b
     buckets = max(1, -(-size // (16 * block_bytes)))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (32 << 20)))
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks))).repartition(parts, "block")
-    sent = dealt.groupBy("block").applyInArrow(_send(least, seed, buckets), "bucket long, block long, data binary")
+    often = hot_anchors(dealt, least, seed, max(hot, size // 10_000_000))
+    sent = dealt.groupBy("block").applyInArrow(_send(least, seed, buckets, often), "bucket long, block long, data binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer(crowded), "block long, bucket long, data binary")
-    sorted_out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _sort_out(least, seed, buckets, buckets), "bucket long, block long, spans binary, heads binary, texts binary")
-    found = sorted_out.groupBy("bucket").applyInArrow(_factor(least), "block long, spans binary")
+    pieces = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _sort_out(least, seed, buckets, buckets, often), _PIECES)
+    if len(often):
+        pieces = pieces.groupBy("bucket", "part").applyInArrow(_factor(least, buckets), _PIECES)
+    found = pieces.groupBy("bucket").applyInArrow(_factor(least, buckets), _PIECES).select("block", "spans")
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
         _cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                          "spans array<struct<start:long,end:long>>, kept binary")

@@ -3,9 +3,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
-from paystrata.llm.suffixes import repeated_substrings
+from paystrata.llm.suffixes import _ENTRY, _send, hot_anchors, repeated_substrings
 
 
 def brute(docs, least):
@@ -50,10 +51,10 @@ def corpus(seed, n, least):
     return docs
 
 
-@pytest.mark.parametrize("seed, crowded", [(1, 1000), (2, 2), (3, 1)])
-def test_against_all_strings(spark, documents, seed, crowded):
+@pytest.mark.parametrize("seed, crowded, hot", [(1, 1000, 10**6), (2, 2, 10**6), (3, 1, 10**6), (4, 1000, 0), (5, 2, 40)])
+def test_against_all_strings(spark, documents, seed, crowded, hot):
     docs = corpus(seed, 80, 100)
-    got = repeated_substrings(documents(docs), block_bytes=2000, crowded=crowded)
+    got = repeated_substrings(documents(docs), block_bytes=2000, crowded=crowded, hot=hot)
     rows = sorted(tuple(r)[:5] for r in got.collect())
     assert rows == brute(docs, 100)
 
@@ -87,3 +88,30 @@ def test_extra_columns_are_not_read(spark, documents):
     docs = documents([(1, "a" * 300, "s", 5, "x")], ", block long, bytes string")
     got = repeated_substrings(docs).collect()
     assert [tuple(r)[:4] for r in got] == [(1, 300, 299, 1)]
+
+
+def test_one_anchor_in_most_documents(spark, documents):
+    """Its entries stay out of the buckets of anchors, and the result is the same."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    common = "a string of more than forty bytes that nearly every document holds, at its own place"
+    docs = [(i, " ".join([word() for _ in range(12)] + [common] * (i % 10 > 0) + [word() for _ in range(12)])) for i in range(300)]
+    docs += [(1000 + i, docs[i * 7][1][20:]) for i in range(30)]
+    size = sum(len(t) for _, t in docs)
+    dealt = documents(docs).selectExpr("doc_id as doc", "cast(text as binary) as bytes", f"pmod(xxhash64(doc_id), {size // 600}) as block")
+    often = hot_anchors(dealt, 100, 40, 100)
+    assert 1 <= len(often) < 10
+    left = dealt.groupBy("block").applyInArrow(_send(100, 40, 1, often), "bucket long, block long, data binary").collect()
+    anchors = np.concatenate([np.frombuffer(r["data"], _ENTRY)["anchor"] for r in left])
+    assert np.unique(anchors, return_counts=True)[1].max() <= 200 and not np.isin(anchors, often).any()
+    got = repeated_substrings(documents(docs), block_bytes=600, hot=100)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == brute(docs, 100)
+
+
+def test_text_longer_than_a_block(spark, documents):
+    rng = random.Random(12)
+    long = "".join(rng.choices("abcd ", k=30_000))
+    docs = [(1, long), (2, "x" + long[5000:15_000]), (3, long[::-1]), (4, "")]
+    for hot in (10**6, 0):
+        got = repeated_substrings(documents(docs), block_bytes=4000, hot=hot)
+        assert sorted(tuple(r)[:5] for r in got.collect()) == brute(docs, 100)

@@ -18,9 +18,18 @@ def recent_employees(emp: DataFrame, k: int = 5) -> DataFrame:
 
 
 def fact_detail(star: dict[str, DataFrame], k: int = 30) -> DataFrame:
+    """The latest and highest facts; only these are joined with the wide dimensions."""
+    order = [F.desc("year_number"), F.desc("month_number"), F.desc("net_pay"), F.asc("fact_id")]
+    facts = star["fact_payroll"]
+    latest = (
+        facts.join(star["dim_time"].select("time_key", "year_number", "month_number"), "time_key")
+        .join(star["dim_department"].select("department_key"), "department_key", "left_semi")
+        .join(star["dim_employee"].select("employee_key"), "employee_key", "left_semi")
+        .orderBy(*order).limit(k).select(facts.columns)
+    )
     return (
-        star_join(star)
-        .orderBy(F.desc("year_number"), F.desc("month_number"), F.desc("net_pay"), "fact_id").limit(k)
+        star_join({**star, "fact_payroll": latest})
+        .orderBy(*order)
         .select("fact_id", "net_pay", "gross_pay", "total_deductions", "allowances", "overtime",
                 "full_name", F.col("employee_department").alias("department_name"), "position_title",
                 F.concat("month_name_text", F.lit(" "), "year_number").alias("period"), "quarter_number")

@@ -196,6 +196,7 @@ def update_employees(emp: DataFrame, edits: DataFrame, run_ts: str,
     winners = staged(passing.join(accepted, ORDER, "left_semi"), "winning-edits")
 
     # Why a passing edit lost: the employee was already written, else the e-mail was taken.
+    # The outcomes.
     written = winners.select("employee_id", F.col(ORDER).alias("_written_by"))
     outcome = looked_up.join(written, "employee_id", "left").select(
         ORDER, "employee_id",
@@ -266,6 +267,7 @@ def run_payroll(rec: DataFrame, emp: DataFrame, year: int, month: int, run_ts: s
         raise ValueError(f"unknown guard {guard!r}")
     if not (1 <= int(month) <= 12 and int(year) >= 2000):
         raise ValueError("month must be 1 to 12 and year 2000 or later")
+    # The messages of the run, here and below.
     payees = select_payees(emp, mode, department, ids)
     same_period = rec.filter((F.col("payroll_year") == int(year)) & (F.col("payroll_month") == int(month)))
     if guard == "period" and not same_period.limit(1).isEmpty():

@@ -1,5 +1,7 @@
 """What the physical plans must and must not contain."""
 
+import itertools
+
 import pytest
 
 from paystrata.operators import aggregates as agg
@@ -152,3 +154,18 @@ def test_a_small_delete_does_not_shuffle_the_records(spark, stored, monkeypatch)
     above = plan[:plan.index("BroadcastHashJoin")]
     # The records reach the join as they are scanned; what is exchanged above it are their counts.
     assert "LeftSemi" in plan and "SortMergeJoin" not in plan and above.count("Exchange hashpartitioning") == 1 and "partial_count" in above
+
+
+def test_detail_listing_cuts_facts_before_the_wide_dimensions(stored):
+    star = etl.build_star(stored["employees"], stored["payroll_records"], "2026-06-01 00:00:00")
+    lines = plan(topk.fact_detail(star, 3)).splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*(0123456789)")) for line in lines]
+    top = next(i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line)
+    below = list(itertools.takewhile(lambda i: depth[i] > depth[top], range(top + 1, len(lines))))
+    assert any("full_name" in line for line in lines) and not any("full_name" in lines[i] for i in below)
+    assert any("FileScan" in lines[i] for i in below)
+    every = topk.fact_detail(star, 10**6).collect()
+    gone = every[0]["department_name"]
+    fewer = {**star, "dim_department": star["dim_department"].filter(f"department_name <> '{gone}'")}
+    kept = {r["fact_id"] for r in joins.star_join(fewer).collect()}
+    assert topk.fact_detail(fewer, 3).collect() == [r for r in every if r["fact_id"] in kept][:3]

@@ -49,6 +49,11 @@ class Inputs:
         """Records written once, for queries that read the table several times."""
         return staged(self.rec, "records")
 
+    @cached_property
+    def stored_requests(self) -> DataFrame:
+        """Merge requests written once, as the job reads them several times."""
+        return staged(self.derived("staged_payroll"), "merge-requests")
+
     @cached_property
     def users(self) -> DataFrame:
         return lens.users(self.spark, self.folder)
@@ -322,8 +327,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "run_payroll_refused": lambda i: jobs.run_payroll(i.stored_rec, i.emp, YEAR, MONTH, RUN_TS)[1],
     "run_payroll_employee_guard": lambda i: jobs.run_payroll(
         i.stored_rec, i.emp, YEAR, MONTH, RUN_TS, guard="employee")[0],
-    "merge_payroll": lambda i: jobs.merge_payroll(i.stored_rec, i.emp, i.derived("staged_payroll"), RUN_TS)[0],
-    "merge_payroll_outcome": lambda i: jobs.merge_payroll(i.stored_rec, i.emp, i.derived("staged_payroll"), RUN_TS)[1],
+    "merge_payroll": lambda i: jobs.merge_payroll(i.stored_rec, i.emp, i.stored_requests, RUN_TS)[0],
+    "merge_payroll_outcome": lambda i: jobs.merge_payroll(i.stored_rec, i.emp, i.stored_requests, RUN_TS)[1],
     # warehouse load
     "dim_department": lambda i: etl.dim_department(i.emp, RUN_TS),
     "dim_employee": lambda i: etl.dim_employee(i.emp, RUN_TS),

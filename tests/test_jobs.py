@@ -308,3 +308,20 @@ def test_actions_of_jobs(spark):
     done = spark.createDataFrame([(4, "completed", 30), (5, "failed", 0)], "job_id long, job_status string, records_processed long")
     assert activity.etl_action(done, 4, 5, STAMP, 9).first().details_text == "ETL process completed - 30 records processed"
     assert activity.etl_action(done, 5, 5, STAMP, 9).isEmpty()
+
+
+def test_a_large_batch_is_not_sorted_for_its_keys(spark, monkeypatch):
+    """Large batches meet the stored tables as they are; small ones cut them first. Both give the same."""
+    rng = random.Random(5)
+    emp = employees(spark, *[employee(i, emp_status=rng.choice(["active", "inactive"])) for i in range(1, 7)], employee(2))
+    rec = records(spark, *[record(10 * i + m, i, 2026, m, "5.00", lock_version=1) for i in range(1, 7) for m in range(1, 4)])
+    rows = [staged_row(i, rng.randrange(1, 9), rng.randrange(0, 6), rng.randrange(3), rng.choice(["1.00", None])) for i in range(60)]
+    requests = spark.createDataFrame(rows + rows[:3], STAGED)
+    answers = []
+    for most in (100, 62):
+        labels = []
+        monkeypatch.setattr(jobs, "SMALL_BATCH", most)
+        monkeypatch.setattr(jobs, "staged", lambda df, label: labels.append(label) or staging.staged(df, label))
+        answers.append([sorted(map(str, df.collect())) for df in jobs.merge_payroll(rec, emp, requests, STAMP)])
+        assert ("asked-payroll" in labels) == (most == 100)
+    assert answers[0] == answers[1] and len(answers[0][1]) >= 63

@@ -7,7 +7,7 @@ import pytest
 from paystrata.operators import aggregates as agg
 from paystrata.operators import filters, joins, topk, windows
 from paystrata.plans import etl
-from paystrata.sources import staging, tables
+from paystrata.sources import lens, staging, tables
 from tests.fixtures import log_row, logs, seed, users
 
 
@@ -169,3 +169,20 @@ def test_detail_listing_cuts_facts_before_the_wide_dimensions(stored):
     fewer = {**star, "dim_department": star["dim_department"].filter(f"department_name <> '{gone}'")}
     kept = {r["fact_id"] for r in joins.star_join(fewer).collect()}
     assert topk.fact_detail(fewer, 3).collect() == [r for r in every if r["fact_id"] in kept][:3]
+
+
+def _lines(spark, folder, flags):
+    """Order lines of one day, one for each flag; those of a key come in a row of flags."""
+    rows = [(key, 1, 7, 2.0, 10.0, flag) for key, some in flags.items() for flag in some]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, "
+                          "l_returnflag string").selectExpr("*", "timestamp_ntz'1996-03-04' AS l_shipdate").write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_staged_payroll_is_not_sorted_to_be_grouped(spark, tmp_path):
+    flags = {1: "N", 2: "A", 3: "R", 4: "RN", 5: "NA", 6: "RA", 7: "BN", 8: ["0", "A"], 9: [None], 10: [None, "N"], 11: ["", "N"], 12: "Zz"}
+    _lines(spark, str(tmp_path), flags)
+    found = lens.staged_payroll(spark, str(tmp_path))
+    assert "SortAggregate" not in plan(found) and "HashAggregate" in plan(found)
+    least = {key: min((f for f in some if f is not None), default=None) for key, some in flags.items()}
+    assert {r.request_order: r.expected_lock for r in found.collect()} == {
+        key * 10 + 1: {"N": 0, "A": 1}.get(flag, 2) for key, flag in least.items()}

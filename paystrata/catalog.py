@@ -319,8 +319,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "published_run_payroll": lambda i: _published_job(
         i, lambda rec, reserve: jobs.run_payroll(rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS, reserve=reserve), [NEW_YEAR]),
     "published_merge_payroll": lambda i: _published_job(
-        i, lambda rec, reserve: jobs.merge_payroll(rec, i.emp, i.derived("staged_payroll"), RUN_TS, reserve=reserve),
-        sorted(r[0] for r in i.derived("staged_payroll").select("payroll_year").distinct().collect())),
+        i, lambda rec, reserve: jobs.merge_payroll(rec, i.emp, i.stored_requests, RUN_TS, reserve=reserve),
+        sorted(r[0] for r in i.stored_requests.select("payroll_year").distinct().collect())),
     "published_delete_period": lambda i: _published_job(
         i, lambda rec, _: (filters.delete_period(rec, YEAR, MONTH), filters.period_records(rec, YEAR, MONTH)), [YEAR]),
     "run_payroll_outcome": lambda i: jobs.run_payroll(i.stored_rec, i.emp, NEW_YEAR, NEW_MONTH, RUN_TS)[1],

@@ -4,6 +4,7 @@ import itertools
 
 import pytest
 
+from paystrata import catalog
 from paystrata.operators import aggregates as agg
 from paystrata.operators import filters, joins, topk, windows
 from paystrata.plans import etl
@@ -186,3 +187,17 @@ def test_staged_payroll_is_not_sorted_to_be_grouped(spark, tmp_path):
     least = {key: min((f for f in some if f is not None), default=None) for key, some in flags.items()}
     assert {r.request_order: r.expected_lock for r in found.collect()} == {
         key * 10 + 1: {"N": 0, "A": 1}.get(flag, 2) for key, flag in least.items()}
+
+
+def test_published_merge_builds_its_requests_once(spark, tmp_path, monkeypatch):
+    folder, calls = str(tmp_path), []
+    _lines(spark, folder, {1: "N", 2: "N"})
+    spark.sql("SELECT 7L AS c_custkey, 'Customer#7' AS c_name, 1 AS c_nationkey, 500.0D AS c_acctbal, 'MACHINERY' AS c_mktsegment").write.parquet(
+        f"{folder}/customer.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, 7L AS o_custkey, 'F' AS o_orderstatus, 10.0D AS o_totalprice, timestamp_ntz'1996-02-01' AS o_orderdate, "
+              "'5-LOW' AS o_orderpriority").write.parquet(f"{folder}/orders.parquet")
+    build = lens.staged_payroll
+    monkeypatch.setattr(lens, "staged_payroll", lambda *args: calls.append(1) or build(*args))
+    rows = catalog.queries()["published_merge_payroll"](spark, folder).collect()
+    assert sorted((r.payroll_year, r.payroll_month, str(r.basic_salary)) for r in rows) == [(2006, 2, "10.00"), (2006, 3, "10.00")]
+    assert len(calls) == 1

@@ -30,15 +30,10 @@ def _shaped(df: DataFrame, schema) -> DataFrame:
 
 # --- validation ------------------------------------------------------------
 
-def _blank(column: str) -> Column:
-    """Missing, blank or the text 0, which all count as not filled in."""
-    value = text.typed(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return value.isin("", "0")
-
-
 def _messages(checks: list[tuple[Column, str]]) -> Column:
-    found = F.array(*[F.when(broken, F.lit(message)) for broken, message in checks])
-    return F.filter(found, lambda message: message.isNotNull())
+    # Joined from lists of one and none: a filter over the list would be interpreted row by row.
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(broken, F.array(F.lit(message))).otherwise(none) for broken, message in checks])
 
 
 # The longest text each column holds, and what the field is called in messages.
@@ -53,27 +48,35 @@ def validate_employees(candidates: DataFrame, editing: bool = False) -> DataFram
 
     An edit has no code and no hire date of its own.
     """
+    # Every field is read as typed once, in a column of its own, which all checks share.
+    read = [*(column for column in LENGTHS if not (editing and column == "employee_code")), *([] if editing else ["hire_date"])]
+    typed = {column: F.col(f"_typed_{column}") for column in read}
+
+    def blank(column: str) -> Column:
+        """Missing, blank or the text 0, which all count as not filled in."""
+        return F.coalesce(typed[column], F.lit("")).isin("", "0")
+
     # The messages of the form.
     checks = [
-        (_blank("first_name"), "First name required"),
-        (_blank("last_name"), "Last name required"),
-        (_blank("email"), "Email required"),
-        (_blank("department"), "Department required"),
-        (_blank("emp_position"), "Position required"),
+        (blank("first_name"), "First name required"),
+        (blank("last_name"), "Last name required"),
+        (blank("email"), "Email required"),
+        (blank("department"), "Department required"),
+        (blank("emp_position"), "Position required"),
         (text.decimal_or_zero(F.col("basic_salary").cast("string")) <= 0, "Valid salary required"),
     ]
     if not editing:
-        checks = [(_blank("employee_code"), "Employee code required"), *checks,
-                  (_blank("hire_date"), "Hire date required"),
-                  (~_blank("hire_date") & text.typed(F.col("hire_date").cast("string")).try_cast("date").isNull(),
-                   "Valid hire date required")]
-    checks.append((~_blank("email") & ~text.is_email(text.typed(F.col("email"))), "Invalid email format"))
+        checks = [(blank("employee_code"), "Employee code required"), *checks,
+                  (blank("hire_date"), "Hire date required"),
+                  (~blank("hire_date") & typed["hire_date"].try_cast("date").isNull(), "Valid hire date required")]
+    checks.append((~blank("email") & ~text.is_email(typed["email"]), "Invalid email format"))
     if "emp_status" in candidates.columns:
         checks.append((F.col("emp_status").isNotNull() & ~F.col("emp_status").isin(*EMPLOYEE_STATUSES),
                        "Valid status required"))
-    checks += [(F.length(text.typed(F.col(column))) > most, f"{field} too long")
-               for column, (most, field) in LENGTHS.items() if not (editing and column == "employee_code")]
-    return candidates.withColumn("errors", _messages(checks))
+    checks += [(F.length(typed[column]) > most, f"{field} too long")
+               for column, (most, field) in LENGTHS.items() if column in typed]
+    rows = candidates.withColumns({f"_typed_{column}": text.typed(F.col(column).cast("string")) for column in read})
+    return rows.withColumn("errors", _messages(checks)).drop(*[f"_typed_{column}" for column in read])
 
 
 def validate_periods(rows: DataFrame) -> DataFrame:

@@ -325,3 +325,9 @@ def test_a_large_batch_is_not_sorted_for_its_keys(spark, monkeypatch):
         answers.append([sorted(map(str, df.collect())) for df in jobs.merge_payroll(rec, emp, requests, STAMP)])
         assert ("asked-payroll" in labels) == (most == 100)
     assert answers[0] == answers[1] and len(answers[0][1]) >= 63
+
+
+def test_validation_is_compiled(spark):
+    forms = spark.createDataFrame([candidate(1, "A", "a@example.com")], CANDIDATE)
+    # A filter over the messages would be interpreted, and with it all checks.
+    assert "lambda" not in jobs.validate_employees(forms)._jdf.queryExecution().optimizedPlan().toString()

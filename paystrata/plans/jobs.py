@@ -119,8 +119,9 @@ def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
     e-mail checks are two anti joins; one join on "either" would compare every
     pair.
     """
-    checked = validate_employees(candidates)
-    checked = checked.select(
+    # The forms are checked once, in as many tasks as there are cores, however few files they come from.
+    checked = validate_employees(candidates.repartition(ORDER))
+    checked = staged(checked.select(
         ORDER, text.typed(F.col("employee_code")).alias("employee_code"), text.typed(F.col("first_name")).alias("first_name"),
         text.typed(F.col("last_name")).alias("last_name"), text.typed(F.col("email")).alias("email"),
         text.typed(F.col("department")).alias("department"), text.typed(F.col("emp_position")).alias("emp_position"),
@@ -129,7 +130,7 @@ def add_employees(emp: DataFrame, candidates: DataFrame, run_ts: str,
         (F.size("errors") > 0).alias("invalid"),
         text.collated(text.typed(F.col("employee_code")), collation).alias("_code"),
         text.collated(text.typed(F.col("email")), collation).alias("_email"),
-    )
+    ), "checked-candidates")
     valid = checked.filter(~F.col("invalid"))
     held_codes = emp.select(text.collated(F.col("employee_code"), collation).alias("_code"))
     held_emails = emp.filter(F.col("email").isNotNull()).select(text.collated(F.col("email"), collation).alias("_email"))

@@ -327,6 +327,31 @@ def test_a_large_batch_is_not_sorted_for_its_keys(spark, monkeypatch):
     assert answers[0] == answers[1] and len(answers[0][1]) >= 63
 
 
+def test_candidates_are_checked_once_and_spread(spark, monkeypatch, tmp_path):
+    """One pass over the forms, behind a shuffle: they may come from one small file."""
+    rows = [candidate(i, f"C{i % 7}", f"m{i % 5}@example.com", last_name="Lee" if i % 3 else None) for i in range(40)]
+    spark.createDataFrame(rows, CANDIDATE).coalesce(1).write.parquet(f"{tmp_path}/candidates")
+    forms, emp = spark.read.schema(CANDIDATE).parquet(f"{tmp_path}/candidates"), employees(spark, employee(1))
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return staging.staged(df, label)
+    monkeypatch.setattr(jobs, "staged", noted)
+    monkeypatch.setattr(serving, "staged", noted)
+    state, outcome = jobs.add_employees(emp, forms, STAMP)
+    checking = plans["checked-candidates"]
+    assert "REPARTITION_BY_COL" in checking and "[request_order" in checking
+    # what follows reads the checked rows
+    assert not any("RLIKE" in text for label, text in plans.items() if label != "checked-candidates")
+    assert not any("RLIKE" in df._jdf.queryExecution().executedPlan().toString() for df in (state, outcome))
+    valid = [(r[0], r[1], r[4]) for r in rows if r[3]]
+    won = serve(valid, 2)
+    assert {r.request_order: r.result_code for r in outcome.collect()} == {
+        i: 3 if i % 3 == 0 else 0 if i in won else 1 for i in range(40)}
+    assert state.count() == 1 + len(won)
+
+
 def test_validation_is_compiled(spark):
     forms = spark.createDataFrame([candidate(1, "A", "a@example.com")], CANDIDATE)
     # A filter over the messages would be interpreted, and with it all checks.

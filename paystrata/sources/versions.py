@@ -13,6 +13,7 @@ HDFS does.
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _DIGITS = 12
+# A plain local disk renames a file and its checksum one after the other; threads of one driver wait for both.
+_renaming = threading.Lock()
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -38,7 +41,8 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     out.close()
     try:
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        files.rename(store.makeQualified(aside), store.makeQualified(target), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        with _renaming:
+            files.rename(store.makeQualified(aside), store.makeQualified(target), gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
     except Py4JJavaError as error:
         store.delete(aside, False)
         if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
@@ -49,11 +53,12 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
 
 def read_text(spark: SparkSession, path: str) -> str:
     place, store = _hadoop(spark, path)
-    file = store.open(place)
-    try:
-        return bytes(file.readAllBytes()).decode()
-    finally:
-        file.close()
+    with _renaming:
+        file = store.open(place)
+        try:
+            return bytes(file.readAllBytes()).decode()
+        finally:
+            file.close()
 
 
 def names(spark: SparkSession, folder: str) -> list[str]:
